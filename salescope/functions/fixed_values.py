@@ -101,10 +101,30 @@ SIMILAR_HOURS = 24
 MIN_SIMILAR_FAILURES = 3
 AUTO_APPLY_CONFIDENCE = 0.85
 AUTO_APPLY_COUNT = 5
-FIXABLE_ERRORS = [
-    "KeyError", "ValueError", "TypeError", "AttributeError", "IndexError", "ZeroDivisionError",
-    "FileNotFoundError", "PermissionError", "ImportError", "MemoryError", "TimeoutError", "ConnectionError",
-]
-
 # Smallest group an A/B percentile is given for.
 AB_P95_MIN_ROWS = 20
+
+# Advice per error type; %s is the name quoted in the message, then further details.
+FIX_TEXTS = {
+    "KeyError": "Check if column '%s' exists. Use df.columns to list available columns.",
+    "KeyError, up to 10 columns": "Column '%s' not found. Available columns: %s. Check column name spelling.",
+    "KeyError, more columns": "Column '%s' not found. Available columns (first 10): %s...",
+    "ValueError, date": "Invalid date format. Use pd.to_datetime() with errors='coerce' to handle invalid dates.",
+    "ValueError, number": "Invalid numeric value. Use pd.to_numeric() with errors='coerce' to convert or handle non-numeric values.",
+    "ValueError": "Validate input data types and formats. Use try/except to handle expected edge cases.",
+    "TypeError, none": "Encountered None value. Add null checks before processing. Use .fillna() or handle None cases.",
+    "TypeError": "Check data types. Use pd.to_numeric() for numbers, astype() for type conversion, or verify input types.",
+    "AttributeError, known type": "'%s' not found on %s. Check available attributes with dir(object).",
+    "AttributeError": "Check if object has '%s' attribute. Verify data structure and object type.",
+    "IndexError": "List/array index out of range. Check length before accessing by index, or use slicing with bounds checking.",
+    "ZeroDivisionError": "Division by zero detected. Add check for zero denominator: if denominator == 0: return 0 or handle appropriately.",
+    "FileNotFoundError": "File not found. Verify file path exists, check working directory with os.getcwd(), and ensure file permissions.",
+    "PermissionError": "Permission denied. Check file/directory permissions, close any open handles, or run with appropriate privileges.",
+    "ImportError": "Missing module '%s'. Install with: pip install %s",
+    "MemoryError": "Out of memory. Consider processing data in chunks, using more efficient data types, or increasing available memory.",
+    "TimeoutError": "Operation timed out. Consider increasing timeout, optimizing the operation, or implementing retry logic.",
+    "ConnectionError": "Connection error. Check network connectivity, verify service is running, and implement retry with backoff.",
+}
+DATE_ERROR_WORDS = ["date"]
+NUMBER_ERROR_WORDS = ["numeric", "float", "int"]
+NONE_ERROR_WORDS = ["nonetype"]

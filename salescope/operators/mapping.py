@@ -147,8 +147,9 @@ def coerce_types(df: DataFrame) -> DataFrame:
         if isinstance(df.schema[name].dataType, StringType):
             changes[name] = F.col(name).try_cast("double")
     typed = df.withColumns(changes)
+    # Typing only rounds the representation; flooring to cents belongs to conversion.
     for name in set(df.columns) & {"revenue", "cost"}:
-        typed = typed.withColumn(name, to_money(F.col(name)))
+        typed = typed.withColumn(name, F.col(name).try_cast("decimal(18,2)"))
     return with_profit(typed) if {"revenue", "cost"} <= set(df.columns) else typed
 
 
