@@ -128,3 +128,15 @@ FIX_TEXTS = {
 DATE_ERROR_WORDS = ["date"]
 NUMBER_ERROR_WORDS = ["numeric", "float", "int"]
 NONE_ERROR_WORDS = ["nonetype"]
+
+# Stored key figures and the category each belongs to.
+KPI_CATEGORIES = {
+    "total_revenue": "revenue",
+    "total_profit": "profit",
+    "profit_margin": "margin",
+    "avg_order_value": "revenue",
+    "total_transactions": "count",
+    "total_customers": "count",
+}
+INSIGHT_CONFIDENCE = {"answer": 0.9, "summary": 0.85, "anomaly": 0.7, "recommendation": 0.75}
+DEFAULT_ANSWER = "Analysis complete."
