@@ -140,3 +140,176 @@ KPI_CATEGORIES = {
 }
 INSIGHT_CONFIDENCE = {"answer": 0.9, "summary": 0.85, "anomaly": 0.7, "recommendation": 0.75}
 DEFAULT_ANSWER = "Analysis complete."
+
+# Question types in order of priority, and the words that speak for each.
+QUESTION_WORDS = {
+    "forecast": [
+        "forecast", "predict", "future", "will be", "will look", "projection", "estimate", "expected", "anticipate",
+        "next year", "coming year", "2025", "2026", "2027", "q1", "q2", "q3", "q4", "quarter", "first quarter",
+        "second quarter", "third quarter", "fourth quarter", "most likely", "likely to be", "projected", "outlook",
+    ],
+    "risk": [
+        "risk", "risks", "concern", "threat", "vulnerability", "danger", "issue", "problem", "challenge", "exposure",
+        "downside", "warning", "alert", "red flag", "critical", "urgent", "at risk", "vulnerable", "anomaly",
+        "anomalies", "outlier", "outliers", "unusual", "strange", "weird",
+    ],
+    "performance": [
+        "performance", "overview", "dashboard", "summary", "how is", "how are", "doing", "health", "status",
+        "business performance", "company performance", "metrics", "kpi", "kpis", "scorecard", "health check", "snapshot",
+    ],
+    "revenue_analysis": [
+        "revenue", "sales", "profit", "income", "earnings", "product", "customer", "region", "top", "best", "worst",
+        "ranking", "rank", "trend", "growth", "decline", "revenue breakdown", "revenue by", "sales by", "total revenue",
+        "average revenue", "revenue growth", "show", "tell", "what is", "how much", "calculate", "sum", "total",
+        "average", "count",
+    ],
+    "customer_analysis": [
+        "customer", "client", "buyer", "account", "customer behavior", "purchase pattern", "retention", "churn",
+        "lifetime value", "ltv", "acquisition", "customer segment", "customer group",
+    ],
+    "product_analysis": [
+        "product", "item", "sku", "inventory", "stock", "product performance", "product success", "product health",
+        "product category", "product line",
+    ],
+}
+CONTEXT_WORDS = [
+    "revenue", "sales", "profit", "customer", "product", "region", "trend", "growth", "decline", "forecast", "predict",
+    "anomaly", "kpi", "metric", "performance", "show", "tell", "what", "how", "which", "when", "where", "total",
+    "average", "sum", "count", "calculate", "compute",
+]
+FORECAST_INTENT = ["forecast", "predict", "future", "will be", "project", "estimate", "expected", "anticipate", "outlook"]
+RISK_INTENT = [
+    "risk", "concern", "threat", "danger", "issue", "problem", "challenge", "warning", "alert", "anomaly", "outlier",
+    "unusual", "strange",
+]
+
+# Time periods, specific before general; {n} is the n-th captured group.
+QUARTER_NUMBERS = {"first": "Q1", "second": "Q2", "third": "Q3", "fourth": "Q4"}
+PERIODS = [
+    (r"Q([1-4])\s*(\d{4})", "Q{1} {2}"),
+    (r"(first|second|third|fourth)\s+quarter\s+of\s+(\d{4})", "{quarter} {2}"),
+    (r"first\s+half\s+of\s+(\d{4})", "H1 {1}"),
+    (r"second\s+half\s+of\s+(\d{4})", "H2 {1}"),
+    (r"(\d{4})\s*-\s*(\d{4})", "{1}-{2}"),
+    (r"(\d{4})\s+to\s+(\d{4})", "{1}-{2}"),
+    (r"\b(20\d{2})\b", "{1}"),
+    (r"next\s+(\d+)\s+months?", "next {1} months"),
+    (r"next\s+(\d+)\s+quarters?", "next {1} quarters"),
+    (r"next\s+quarter", "next_quarter"),
+    (r"this\s+year", "this_year"),
+    (r"this\s+quarter", "this_quarter"),
+    (r"current\s+year", "this_year"),
+    (r"current\s+quarter", "this_quarter"),
+    (r"next\s+year", "next_year"),
+    (r"the\s+coming\s+year", "next_year"),
+    (r"next\s+month", "next_month"),
+    (r"last\s+month", "last_month"),
+    (r"last\s+quarter", "last_quarter"),
+    (r"last\s+year", "last_year"),
+    (r"previous\s+quarter", "last_quarter"),
+    (r"previous\s+year", "last_year"),
+]
+
+# What makes a question a link, noise, small talk or business.
+LINK_PATTERNS = [
+    r"https?://", r"www\.", r"\.com\b", r"\.ie\b", r"\.net\b", r"\.org\b", r"\.io\b", r"google\.com",
+    r"docs\.google\.com", r"spreadsheets/d/", r"edit\?gid=", r"/d/e/", r"github\.com", r"bit\.ly", r"tinyurl\.com",
+    r"cloudflare\.com", r"amazonaws\.com",
+]
+NOISE_PATTERNS = [
+    r"^[a-z]{10,}$", r"^[0-9]{8,}$", r"^[a-z0-9]{12,}$", r"^[^\p{L}\p{N}_\s]{4,}", r"^[a-z]{1,3}$", r"^[0-9]+$",
+]
+SMALL_TALK = [
+    "how are you", "how are you doing", "how are things", "how is it going", "what's up", "whats up", "hello",
+    "hi there", "hey there", "good morning", "good afternoon", "good evening", "nice to meet you", "thank you",
+    "thanks", "appreciate it", "you're welcome", "how was your day", "have a good day", "take care", "see you later",
+]
+BUSINESS_WORDS = [
+    "revenue", "sales", "profit", "income", "earnings", "turnover", "cost", "expense", "margin", "price", "value",
+    "amount", "total", "sum", "average", "mean", "median", "kpi", "metric", "customer", "client", "buyer", "account",
+    "user", "subscription", "retention", "churn", "acquisition", "lifetime", "ltv", "product", "item", "service",
+    "plan", "sku", "category", "inventory", "stock", "demand", "popular", "best", "top", "worst", "ranking", "rank",
+    "trend", "growth", "decline", "increase", "decrease", "change", "month", "year", "quarter", "weekly", "daily",
+    "time", "period", "seasonal", "forecast", "predict", "future", "projection", "region", "market", "geo",
+    "location", "country", "city", "area", "territory", "zone", "performance", "efficiency", "conversion", "rate",
+    "ratio", "percentage", "share", "market share", "health", "risk", "danger", "threat", "issue", "problem",
+    "concern", "warning", "alert", "vulnerability", "anomaly", "outlier", "paid", "pending", "overdue", "refunded",
+    "status", "payment", "order", "transaction", "invoice", "failed", "improve", "improving", "declining", "stable",
+    "volatile", "outlook", "overview", "summary", "dashboard",
+]
+BUSINESS_PHRASES = [
+    r"how\s+is\s+the\s+business", r"how\s+are\s+we\s+doing", r"business\s+performance", r"company\s+performance",
+    r"overall\s+performance", r"what's\s+the\s+state\s+of\s+the\s+business", r"give\s+me\s+an\s+overview",
+    r"show\s+me\s+the\s+business\s+health", r"is\s+the\s+business\s+doing\s+well", r"are\s+there\s+any\s+risks",
+    r"what\s+are\s+the\s+risks", r"business\s+risks",
+]
+
+# Routing of a question by words, first match wins; the last needs a long question.
+ROUTING_WORDS = {
+    "forecast": ["forecast", "predict", "future", "will be", "project", "estimate"],
+    "anomaly": ["anomaly", "spike", "unusual", "outlier", "abnormal", "sudden"],
+    "product_analysis": ["product", "item", "sku", "best selling", "top product"],
+    "customer_analysis": ["customer", "client", "top customer", "buyer"],
+    "summary": ["overview", "summary", "overall", "dashboard", "health"],
+    "complex": ["compare", "versus", "vs", "why", "how", "analysis of"],
+}
+COMPLEX_MIN_LENGTH = 100
+
+# Tools: months of data needed, words that ask for them.
+TOOLS = {
+    "compute_kpis": (0, ["kpi", "overall", "total", "revenue", "profit", "margin"]),
+    "revenue_by_customer": (0, ["customer", "client", "top customer", "spending"]),
+    "revenue_by_product": (0, ["product", "item", "sku", "best selling", "top product"]),
+    "monthly_growth": (3, ["growth", "month over month", "increase", "decrease", "trend"]),
+    "monthly_profit": (3, ["monthly profit", "profit by month"]),
+    "detect_revenue_spikes": (3, ["spike", "anomaly", "unusual", "sudden", "detect"]),
+    "forecast_revenue": (12, ["forecast", "predict", "future", "will be", "project"]),
+    "forecast_revenue_with_explanation": (12, ["forecast", "predict", "explanation", "explain", "will be"]),
+    "forecast_with_confidence": (12, ["confidence", "likely", "probability", "range", "interval"]),
+    "forecast_ensemble": (12, ["ensemble", "compare", "multiple methods", "best forecast"]),
+    "detect_seasonality": (24, ["seasonal", "pattern", "cycle", "yearly", "annual", "quarterly"]),
+    "visualization": (0, ["chart", "graph", "plot", "visualize", "see"]),
+    "monthly_revenue_by_customer": (3, ["customer trend", "customer monthly", "by customer over time"]),
+    "monthly_revenue_by_product": (3, ["product trend", "product monthly", "by product over time"]),
+    "forecast_revenue_by_product": (12, ["product forecast", "forecast by product", "each product", "product future"]),
+}
+BASE_TOOLS = ["compute_kpis", "visualization"]
+TOOLS_BY_TYPE = {
+    "forecast": ["monthly_revenue_by_product", "monthly_growth", "revenue_by_product", "forecast_revenue_by_product"],
+    "risk": ["detect_revenue_spikes", "revenue_by_payment_status", "monthly_revenue_by_product"],
+    "performance": ["revenue_by_product", "revenue_by_region", "revenue_by_customer", "monthly_growth"],
+    "revenue_analysis": ["revenue_by_product", "revenue_by_region", "revenue_by_customer", "monthly_revenue_by_product"],
+    "customer_analysis": ["revenue_by_customer", "monthly_revenue_by_customer"],
+    "product_analysis": ["revenue_by_product", "monthly_revenue_by_product"],
+    "overview": ["revenue_by_product", "revenue_by_customer", "monthly_revenue_by_product", "detect_revenue_spikes"],
+}
+# Words of a question and the tool each adds to a plan, in plan order.
+PLAN_WORDS = [
+    (["customer"], "revenue_by_customer"),
+    (["product"], "revenue_by_product"),
+    (["growth", "trend"], "monthly_growth"),
+    (["forecast", "predict"], "forecast_revenue_with_explanation"),
+    (["spike", "anomaly"], "detect_revenue_spikes"),
+]
+
+# Sections of a combined result kept per question type; other types keep all.
+SECTIONS_BY_TYPE = {
+    "forecast": [
+        "product_monthly_trends", "monthly_growth", "monthly_profit", "revenue_by_product", "total_revenue",
+        "profit_margin", "product_forecast", "forecast_summary", "overall_forecast", "confidence_forecast",
+        "top_product_forecast", "top_product_forecast_value", "positive_growth_months", "negative_growth_months",
+        "avg_growth", "latest_growth", "latest_growth_month",
+    ],
+    "risk": [
+        "payment_status_counts", "revenue_at_risk", "missing_customers", "failed_payments_count",
+        "pending_payments_count", "anomalies", "product_monthly_trends",
+    ],
+    "performance": [
+        "total_revenue", "total_profit", "profit_margin", "product_monthly_trends", "top_customers",
+        "revenue_by_region", "monthly_growth", "revenue_by_product",
+    ],
+    "revenue_analysis": [
+        "total_revenue", "product_monthly_trends", "revenue_by_product", "revenue_by_region", "top_customers",
+        "monthly_growth", "monthly_revenue_by_product_raw", "revenue_by_product_raw",
+    ],
+}

@@ -136,7 +136,7 @@ def charts_with_links(charts: DataFrame, history: DataFrame, user_id: int | None
 
 def without_analyses(tables: dict[str, DataFrame], doomed: DataFrame) -> dict[str, DataFrame]:
     """Each table without the analyses listed in ``doomed.analysis_id``; the parent's key is ``id``."""
-    keys = doomed.select("analysis_id").distinct()
+    keys = doomed.select("analysis_id")
     return {
         name: df.join(keys.withColumnRenamed("analysis_id", "id") if name == "history" else keys,
                       "id" if name == "history" else "analysis_id", "left_anti")
