@@ -21,8 +21,10 @@ def _margin(profit: Column, revenue: Column) -> Column:
     return F.when(revenue > 0, floor_cents(profit / revenue)).otherwise(F.lit(0.0))
 
 
-def _order_value(revenue: Column) -> Column:
-    return floor_or_zero(ratio(F.sum(revenue), F.count(revenue)))
+def _order_value(df: DataFrame, revenue: Column) -> Column:
+    # Rows that are sums already say how many values they hold.
+    values = F.sum("revenue_rows") if "revenue_rows" in df.columns else F.count(revenue)
+    return floor_or_zero(ratio(F.sum(revenue), values))
 
 
 def kpis(sales: DataFrame) -> DataFrame:
@@ -38,7 +40,7 @@ def kpis(sales: DataFrame) -> DataFrame:
     sums = sales.agg(
         floor_or_zero(F.sum(revenue)).alias("total_revenue"),
         (floor_or_zero(F.sum("cost")) if has_cost else F.lit(0.0)).alias("total_cost"),
-        _order_value(revenue).alias("avg_order_value"),
+        _order_value(sales, revenue).alias("avg_order_value"),
     )
     profit = F.col("total_revenue") - F.col("total_cost")
     margin = _margin(profit, F.col("total_revenue")) if has_cost else F.lit(1.0)
@@ -65,7 +67,7 @@ def kpis_from_similar_names(df: DataFrame) -> DataFrame:
     sums = df.agg(
         floor_or_zero(F.sum(revenue)).alias("total_revenue"),
         cost.alias("_cost"),
-        _order_value(revenue).alias("avg_order_value"),
+        _order_value(df, revenue).alias("avg_order_value"),
     )
     estimated = cost_name is None
     spent = floor_double(F.col("total_revenue") * ASSUMED_COST_SHARE) if estimated else F.col("_cost")

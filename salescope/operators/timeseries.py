@@ -100,8 +100,8 @@ def growth_stats(growth: DataFrame) -> DataFrame:
     """Counts, extremes, mean and volatility over non-zero finite growth, and the latest month."""
     counted = F.when((F.col("growth") != 0) & (F.abs("growth") != float("inf")), F.col("growth"))
     return growth.agg(
-        F.count_if(counted > 0).alias("positive_months"),
-        F.count_if(counted < 0).alias("negative_months"),
+        F.count_if(counted > 0).alias("positive_growth_months"),
+        F.count_if(counted < 0).alias("negative_growth_months"),
         F.max(counted).alias("max_growth"),
         F.min(counted).alias("min_growth"),
         F.round(F.avg(counted), 6).alias("avg_growth"),

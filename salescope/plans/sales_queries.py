@@ -193,7 +193,7 @@ _add(
     lambda s, d: timeseries.growth_stats(timeseries.monthly_growth(sales(s, d, ["date", "revenue"]))),
     over_sales(GROWTH_SQL + """
 , g AS (SELECT month, growth, CASE WHEN growth <> 0 AND isfinite(growth) THEN growth END AS v FROM growth)
-SELECT count(*) FILTER (v > 0) AS positive_months, count(*) FILTER (v < 0) AS negative_months,
+SELECT count(*) FILTER (v > 0) AS positive_growth_months, count(*) FILTER (v < 0) AS negative_growth_months,
        max(v) AS max_growth, min(v) AS min_growth, round(avg(v), 6) AS avg_growth,
        round_even(stddev_pop(v), 4) AS growth_volatility, max(month) AS latest_month, arg_max(growth, month) AS latest_growth
 FROM g"""),

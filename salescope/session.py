@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings the operators are designed for. Joins and aggregations are left to
 # AQE, which picks broadcast joins from measured stage sizes and splits skewed
@@ -56,3 +56,11 @@ def shared_folder(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder; never reused by another run."""
     return os.path.join(shared_folder(spark), "salescope", f"{label}-{uuid.uuid4().hex}")
+
+
+def materialise(df: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:
+    """Write ``df`` once to the shared folder and read it back, cutting its lineage there."""
+    spark = df.sparkSession
+    path = scratch_path(spark, label)
+    df.write.partitionBy(*(partition_by or [])).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
