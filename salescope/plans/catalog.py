@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ["sales_queries", "mapping_queries", "log_queries", "forecast_queries", "history_queries", "question_queries", "report_queries"]
+_MODULES = ["sales_queries", "mapping_queries", "log_queries", "forecast_queries", "history_queries", "question_queries", "report_queries", "source_queries", "stream_queries"]
 
 
 def _gather(attribute: str) -> dict:

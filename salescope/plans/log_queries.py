@@ -44,7 +44,11 @@ OPERATIONS = ["load", "map", "compute", "report"]
 
 
 def operations(spark, sf_dir):
-    return _events(spark, sf_dir).select(
+    return operation_rows(_events(spark, sf_dir))
+
+
+def operation_rows(events):
+    return events.select(
         "event_id",
         "ts",
         _pick(F.col("k"), OPERATIONS).alias("operation"),
@@ -113,7 +117,11 @@ MODELS = ["gpt-4o-mini", "gpt-4o", "claude-3-haiku", "o1-mini", "unlisted"]
 
 
 def priced_calls(spark, sf_dir):
-    usage = _events(spark, sf_dir).select(
+    return costs.call_costs(token_usage(_events(spark, sf_dir)))
+
+
+def token_usage(events):
+    return events.select(
         "event_id",
         "ts",
         _pick(F.col("k"), MODELS).alias("model"),
@@ -123,7 +131,6 @@ def priced_calls(spark, sf_dir):
         F.concat(F.lit("user_"), F.col("user_id").cast("string")).alias("user"),
         F.concat(F.lit("s"), F.col("user_id").cast("string"), F.lit("_"), F.date_format("ts", "yyyyMMdd")).alias("session_id"),
     )
-    return costs.call_costs(usage)
 
 
 def _price_sql(side: int) -> str:
@@ -205,7 +212,11 @@ COLUMNS = ["date", "customer", "product", "region", "cost", "currency", "quantit
 
 
 def failure_log(spark, sf_dir):
-    errors = _events(spark, sf_dir).where(F.col("event_type") == "error")
+    return failure_rows(_events(spark, sf_dir))
+
+
+def failure_rows(events):
+    errors = events.where(F.col("event_type") == "error")
     listed = F.array(*[F.lit(c) for c in COLUMNS])
     return errors.select(
         F.col("event_id").alias("failure_id"),
@@ -359,7 +370,11 @@ METRICS = ["latency", "answer_length", "score"]
 
 
 def ab_metrics(spark, sf_dir):
-    rows = _events(spark, sf_dir).select(
+    return ab_rows(_events(spark, sf_dir))
+
+
+def ab_rows(events):
+    rows = events.select(
         "ts", "user_id", _pick(F.col("k"), TESTS).alias("test_name"), _pick(F.col("k"), METRICS).alias("metric_name"),
         F.col("value").alias("metric_value"),
     )
@@ -405,6 +420,10 @@ _add(
 
 
 def audit_log(spark, sf_dir):
+    return audit_rows(_events(spark, sf_dir))
+
+
+def audit_rows(events):
     user = F.col("user_id").cast("string")
     details = F.to_json(
         F.struct(
@@ -414,7 +433,7 @@ def audit_log(spark, sf_dir):
             F.array(F.struct(F.lit("x").alias("api_key"), user.alias("owner"))).alias("items"),
         )
     )
-    return _events(spark, sf_dir).select(
+    return events.select(
         F.col("event_id").alias("entry_id"),
         "ts",
         F.col("ts").cast("date").alias("log_date"),
