@@ -8,10 +8,14 @@ from pyspark.sql import functions as F
 from salescope.functions.fixed_values import DATE_FORMATS
 
 
-def parse_date(text: Column, formats: list[str] | None = None) -> Column:
-    """First format that fits, else the ISO forms Spark reads itself, else null."""
-    tried = [F.try_to_timestamp(text, F.lit(f)) for f in (formats or DATE_FORMATS)]
-    return F.coalesce(*tried, F.try_to_timestamp(text)).cast("date")
+def parse_date(text: Column) -> Column:
+    """Date from ISO text (down to ``yyyy-MM``) or a month name and year; null for anything else.
+
+    A pattern decides before a format is tried: a failing format costs far more
+    than the match.
+    """
+    named = [F.when(text.rlike(shape), F.try_to_timestamp(text, F.lit(fmt)).cast("date")) for shape, fmt in DATE_FORMATS.items()]
+    return F.coalesce(text.try_cast("date"), *named)
 
 
 def month_of(day: Column) -> Column:

@@ -51,8 +51,11 @@ MAX_TEXT_LENGTH = 10_000
 MAX_COLUMNS = 1_000
 MAX_UNMAPPED_SHARE = 0.3
 
-# Date formats tried in order.
-DATE_FORMATS = ["yyyy-MM", "yyyy-MM-dd", "MMM yyyy", "MMMM yyyy", "yyyy-MM-dd HH:mm:ss"]
+# Date forms beyond ISO: what they look like and how they are read.
+DATE_FORMATS = {
+    r"^[A-Za-z]{3} \d{4}$": "MMM yyyy",
+    r"^[A-Za-z]{3,9} \d{4}$": "MMMM yyyy",
+}
 
 # Months of history a model needs.
 MIN_MONTHS_FORECAST = 12

@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from salescope.functions.fixed_values import CURRENCY_SYMBOLS, CURRENCY_WORDS, RATES_TO_USD
 from salescope.functions.text import contains_any
 
-_NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+_DROPPED = "".join(CURRENCY_SYMBOLS) + " \t\n\r\u00a0\u202f"
+# Digits with separators and an optional exponent; keeps words such as "10d" from parsing.
+_MONEY = r"^[+-]?[0-9.,]*[0-9][0-9.,]*([eE][+-]?[0-9]+)?$"
 
 
 def _lookup(key: Column, table: Mapping[str, object]) -> Column:
@@ -34,25 +36,29 @@ def currency_code(raw: Column, target: str = "USD") -> Column:
     return F.coalesce(_lookup(text, {**CURRENCY_SYMBOLS, **codes}), by_word, F.lit(target))
 
 
-def money_value(raw: Column) -> Column:
-    """Money text to double: symbols dropped, US and European separators told apart.
+def bare_money_text(raw: Column) -> Column:
+    """Money text without currency symbols and blanks."""
+    return F.translate(raw.cast("string"), _DROPPED, "")
+
+
+def money_value(text: Column) -> Column:
+    """Bare money text to double, telling US and European separators apart.
 
     With both separators the later one is the decimal point. A lone comma is a
     decimal point only when exactly two characters follow the last one.
+    The text is used several times: pass a column, not an expression.
     """
-    text = F.regexp_replace(raw.cast("string"), r"[$€£¥₹₽₩₺\s  ]", "")
     backwards = F.reverse(text)
     comma, dot = F.instr(backwards, ","), F.instr(backwards, ".")
-    no_commas = F.replace(text, F.lit(","), F.lit(""))
-    european = F.replace(F.replace(text, F.lit("."), F.lit("")), F.lit(","), F.lit("."))
-    comma_as_point = F.replace(text, F.lit(","), F.lit("."))
+    no_commas = F.translate(text, ",", "")
+    european = F.translate(text, ",.", ".")
     cleaned = (
-        F.when((comma > 0) & (dot > 0), F.when(dot < comma, no_commas).otherwise(european))
-        .when(comma == 3, comma_as_point)
-        .when(comma > 0, no_commas)
-        .otherwise(text)
+        F.when(comma == 0, text)
+        .when((dot > 0) & (dot > comma), european)
+        .when((dot == 0) & (comma == 3), F.translate(text, ",", "."))
+        .otherwise(no_commas)
     )
-    return F.when(cleaned.rlike(_NUMBER), cleaned.try_cast("double"))
+    return F.when(text.rlike(_MONEY), cleaned.try_cast("double"))
 
 
 def rate_to(code: Column, target: str = "USD", to_usd: Mapping[str, float] | None = None) -> Column:

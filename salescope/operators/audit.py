@@ -51,24 +51,41 @@ def _redact_object(value: Column, depth: int) -> Column:
 
 
 def _redact_value(value: Column, depth: int) -> Column:
-    def item(element: Column) -> Column:
-        return F.when(F.startswith(_kind(element), F.lit("OBJECT")), _redact_object(element, depth)).otherwise(element)
+    """A value with its objects, or those of its list items, redacted.
 
-    array = F.to_variant_object(F.transform(F.try_variant_get(value, "$", "array<variant>"), item))
-    return (
-        F.when(F.startswith(_kind(value), F.lit("OBJECT")), _redact_object(value, depth))
-        .when(F.startswith(_kind(value), F.lit("ARRAY")), array)
-        .otherwise(value)
+    A plain value is handled as a list of one, so that each level appears once in
+    the expression and its size grows with the depth, not exponentially.
+    """
+    is_list = F.startswith(_kind(value), F.lit("ARRAY"))
+    items = F.when(is_list, F.try_variant_get(value, "$", "array<variant>")).otherwise(F.array(value))
+    cleaned = F.transform(
+        items,
+        lambda x: F.when(F.startswith(_kind(x), F.lit("OBJECT")), _redact_object(x, depth)).otherwise(x),
+    )
+    pair = F.array(F.struct(is_list.alias("is_list"), cleaned.alias("items")))
+    unpacked = F.transform(
+        pair, lambda p: F.when(p["is_list"], F.to_variant_object(p["items"])).otherwise(F.get(p["items"], F.lit(0)))
     )
+    return F.get(unpacked, F.lit(0))
 
 
 def redact_json(details: Column, depth: int = REDACTION_DEPTH) -> Column:
     """Hide the values of sensitive keys in JSON text, nested objects and lists included.
 
-    Objects below ``depth`` levels are hidden whole when they hold a sensitive key.
+    Text without a sensitive word passes through, and text without backslashes,
+    whose sensitive keys hold plain values only, is rewritten in place at any
+    depth. Only the rest is parsed; there, objects below ``depth`` levels are
+    hidden whole when they hold a sensitive key.
     """
+    suspect = contains_any(F.lower(details), SENSITIVE_KEYS) | F.contains(details, F.lit("\\u"))
+    # Without backslashes a quoted text before a colon is a key and holds no quote.
+    key = '(?i)("(?=[^"]*+"\\s*+:)[^"]*(?:' + "|".join(SENSITIVE_KEYS) + ')[^"]*+"\\s*+:\\s*+)'
+    in_place = F.regexp_replace(details, key + '("[^"]*"|[-+0-9.eE]+|true|false|null)', "$1" + json.dumps(REDACTED))
+    simple = ~F.contains(details, F.lit("\\")) & ~details.rlike(key + r"[{\[]") & F.startswith(F.ltrim(details), F.lit("{"))
     parsed = F.try_parse_json(details)
-    return F.when(F.startswith(_kind(parsed), F.lit("OBJECT")), F.to_json(_redact_object(parsed, depth))).otherwise(details)
+    is_object = F.startswith(_kind(parsed), F.lit("OBJECT"))
+    reworked = F.when(is_object, F.to_json(_redact_object(parsed, depth))).otherwise(details)
+    return F.when(~suspect, details).when(simple, in_place).otherwise(reworked)
 
 
 def query_log(

@@ -17,7 +17,7 @@ from pyspark.sql.types import DateType, NumericType, StringType, TimestampNTZTyp
 
 from salescope.functions.dates import parse_date
 from salescope.functions.fixed_values import FUZZY_CUTOFF, MAX_UNMAPPED_SHARE, RATES_TO_USD, STANDARD_COLUMNS
-from salescope.functions.money import currency_code, money_value, rate_to
+from salescope.functions.money import bare_money_text, currency_code, money_value, rate_to
 from salescope.functions.numbers import to_money
 
 
@@ -112,9 +112,14 @@ def with_profit(df: DataFrame) -> DataFrame:
     return df.withColumn("profit", (F.col("revenue") - F.col("cost")).cast("decimal(18,2)"))
 
 
-def _amount(df: DataFrame, name: str):
-    column = F.col(name)
-    return column.cast("double") if isinstance(df.schema[name].dataType, NumericType) else money_value(column)
+def _with_amounts(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """``_<name>_amount`` as double for each money column, numeric or text."""
+    texts = [n for n in names if not isinstance(df.schema[n].dataType, NumericType)]
+    staged = df.withColumns({f"_{n}_text": bare_money_text(F.col(n)) for n in texts}) if texts else df
+    amounts = {
+        f"_{n}_amount": money_value(F.col(f"_{n}_text")) if n in texts else F.col(n).cast("double") for n in names
+    }
+    return staged.withColumns(amounts).drop(*[f"_{n}_text" for n in texts])
 
 
 def convert_money(df: DataFrame, config: MappingConfig = MappingConfig()) -> DataFrame:
@@ -125,15 +130,16 @@ def convert_money(df: DataFrame, config: MappingConfig = MappingConfig()) -> Dat
     """
     code = currency_code(F.col("currency"), config.target_currency)
     rate = rate_to(F.col("currency"), config.target_currency, config.rates_to_usd)
-    coded = df.withColumn("currency", code)
+    money = ("revenue", "cost")
+    coded = _with_amounts(df, money).withColumn("currency", code)
     lineage, converted = {}, {}
-    for name in ("revenue", "cost"):
-        amount = _amount(df, name)
+    for name in money:
+        amount = F.col(f"_{name}_amount")
         lineage[f"{name}_original"] = F.col(name).cast("string")
         lineage[f"{name}_original_currency"] = F.col("currency")
         converted[name] = to_money(F.when(F.col("currency") == config.target_currency, amount).otherwise(amount * rate))
     lineage["monetary_values_in_usd"] = F.lit(config.target_currency == "USD")
-    return with_profit(coded.withColumns(lineage).withColumns(converted))
+    return with_profit(coded.withColumns(lineage).withColumns(converted).drop(*[f"_{n}_amount" for n in money]))
 
 
 def coerce_types(df: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from salescope.functions.fixed_values import FIX_TEXTS, FLAT_TOKEN_PRICES, TOKEN_PRICES
 from salescope.operators import audit, calls, costs, experiments, failures, performance
 from salescope.plans.tables import table
+from salescope.session import materialise
 
 QUERIES = {}
 ORACLES = {}
@@ -446,14 +447,14 @@ def audit_rows(events):
 
 
 def audit_chain(spark, sf_dir):
-    """The whole audit log, redacted and chained per day."""
+    """The whole audit log, redacted, chained per day and stored."""
     log = audit_log(spark, sf_dir).withColumn("details", audit.redact_json(F.col("details")))
     entry = F.to_json(
         F.struct(
             F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("timestamp"), "action_type", "agent", "user", "success", "details"
         )
     )
-    return audit.build_chain(log.withColumn("entry", entry), SECRET, ["ts", "entry_id"])
+    return materialise(audit.build_chain(log.withColumn("entry", entry), SECRET, ["ts", "entry_id"]), "audit-chain")
 
 
 AUDIT_SQL = EVENTS_SQL + f"""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from salescope.functions.dates import parse_date
 from salescope.functions.fixed_values import RATES_TO_USD
-from salescope.functions.money import currency_code, money_value
+from salescope.functions.money import bare_money_text, currency_code, money_value
 from salescope.operators import mapping, quality
 from salescope.plans.tables import over_sales, sales, table
 
@@ -106,7 +106,7 @@ _add(
 )
 _add(
     "money_text_values",
-    lambda s, d: raw_sales(s, d).select("Amount", money_value(F.col("Amount")).alias("value")).groupBy("Amount").agg(
+    lambda s, d: raw_sales(s, d).select("Amount", bare_money_text(F.col("Amount")).alias("bare")).select("Amount", money_value(F.col("bare")).alias("value")).groupBy("Amount").agg(
         F.max("value").alias("value"), F.count("*").alias("rows")
     ),
     over_sales(RAW_SQL + 'SELECT amount AS "Amount", max(money) AS value, count(*) AS rows FROM parsed GROUP BY 1'),
