@@ -142,8 +142,16 @@ def explained_forecast(
         F.min_by("forecast", "step").alias("_next"),
         F.first("method").alias("method"),
     )
+    # Put side by side by grouping: a join on the constant key of a single series would be a cross join.
+    figures = ["latest_revenue", "_sum3", "_ahead", "_next", "method"]
+    joined = (
+        ahead.unionByName(history, allowMissingColumns=True)
+        .groupBy(*keys)
+        .agg(*[F.max(c).alias(c) for c in figures])
+        .where(F.col("method").isNotNull())
+    )
     recent = F.col("_sum3") / 3
-    joined = ahead.join(history, list(keys)).withColumns(
+    joined = joined.withColumns(
         {
             "trend_direction": F.when(F.col("_ahead") > recent, "increasing").otherwise("decreasing"),
             "avg_monthly_change": F.when(recent > 0, F.abs(F.col("_ahead") - recent) / 3).otherwise(0.0),

@@ -51,11 +51,10 @@ WHERE o_orderstatus = 'F' AND o_totalprice >= 1000 GROUP BY 1""",
 )
 _add(
     "preview_rows",
-    lambda s, d: files.preview(table(s, d, "events"), "event_id", 10).select(
-        F.get_json_object("json", "$.event_id").cast("long").alias("event_id"), F.get_json_object("json", "$.ts").alias("ts"),
-        F.get_json_object("json", "$.value").cast("double").alias("value"),
-    ),
-    "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') AS ts, value FROM events ORDER BY event_id LIMIT 10",
+    lambda s, d: files.preview(table(s, d, "events"), "event_id", 10),
+    """
+SELECT '{"event_id":' || event_id || ',"ts":"' || strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || '","user_id":' || user_id || ',"event_type":"' || event_type
+       || '","value":' || value || ',"props":"' || replace(props, '"', '\\"') || '"}' AS json FROM events ORDER BY event_id LIMIT 10""",
 )
 
 
