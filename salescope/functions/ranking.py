@@ -8,12 +8,12 @@ rows only inside a bucket.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from salescope.functions.dates import micros
+from salescope.functions.lookups import join_same
 
 # Buckets per e-fold of the value; a bucket spans about 0.4 % of the value.
 _BINS_PER_FOLD = 256
@@ -22,9 +22,17 @@ _BIN_SHIFT = 746 * _BINS_PER_FOLD
 
 
 def ordered_bin(value: Column) -> Column:
-    """A bucket number that never decreases as the value grows."""
+    """A bucket number that never decreases as the value grows; NaN counts as largest."""
     size = F.floor(F.ln(F.abs(value)) * _BINS_PER_FOLD) + _BIN_SHIFT
-    return F.when(value > 0, size).when(value < 0, -size).otherwise(F.lit(0)).cast("long")
+    beyond = F.lit(3 * _BIN_SHIFT)
+    return (
+        F.when(F.isnan(value) | (value == float("inf")), beyond)
+        .when(value == float("-inf"), -beyond)
+        .when(value > 0, size)
+        .when(value < 0, -size)
+        .otherwise(F.lit(0))
+        .cast("long")
+    )
 
 
 def index_percentiles(
@@ -69,16 +77,9 @@ def index_percentiles(
         .where((F.col("_want.rank") >= F.col("_before")) & (F.col("_want.rank") < F.col("_before") + F.col("_rows")))
         .select(*keys, "_bin", F.col("_want.name").alias("_name"), (F.col("_want.rank") - F.col("_before")).alias("_offset"))
     )
-    left, right = counted.alias("l"), targets.alias("r")
-    same = reduce(
-        lambda a, b: a & b,
-        [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys],
-        F.col("l._bin") == F.col("r._bin"),
-    )
     inside = Window.partitionBy(*keys, "_bin", "_name").orderBy("_value").rowsBetween(Window.unboundedPreceding, 0)
     return (
-        left.join(right, same)
-        .select(*[F.col(f"l.{k}").alias(k) for k in keys], "l._bin", "l._value", "l._n", "r._name", "r._offset")
+        join_same(counted, targets, [*keys, "_bin"])
         .withColumn("_upto", F.sum("_n").over(inside))
         .where((F.col("_upto") > F.col("_offset")) & (F.col("_upto") - F.col("_n") <= F.col("_offset")))
         .groupBy(*keys)
@@ -115,12 +116,12 @@ def time_ordered_index(
     )
     offsets = (
         counted.withColumn("_inner", F.coalesce(F.sum("_n").over(in_bucket), F.lit(0)))
-        .join(buckets, [*keys, "_bucket"])
+        .transform(lambda df: join_same(df, buckets, [*keys, "_bucket"]))
         .select(*fine, (F.col("_inner") + F.col("_base")).alias("_offset"))
     )
     rows = Window.partitionBy(*fine).orderBy(tie)
     return (
-        placed.join(offsets, fine)
+        join_same(placed, offsets, fine)
         .withColumn(out, F.col("_offset") + F.row_number().over(rows) - 1)
         .select(*df.columns, out)
     )

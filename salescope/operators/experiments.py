@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from salescope.functions.fixed_values import AB_P95_MIN_ROWS
+from salescope.functions.lookups import join_same
 from salescope.functions.ranking import index_percentiles
 
 
@@ -32,7 +33,7 @@ def metric_results(metrics: DataFrame) -> DataFrame:
         F.count("*").alias("count"),
     )
     ranks = index_percentiles(metrics, keys, "metric_value", {"p95": 0.95})
-    return base.join(ranks, keys, "left").withColumn("p95", F.when(F.col("count") >= AB_P95_MIN_ROWS, F.col("p95")))
+    return join_same(base, ranks, keys, "left").withColumn("p95", F.when(F.col("count") >= AB_P95_MIN_ROWS, F.col("p95")))
 
 
 def metric_winners(metrics: DataFrame, control: str = "v1", treatment: str = "v2") -> DataFrame:

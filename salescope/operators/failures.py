@@ -17,6 +17,7 @@ from salescope.functions.fixed_values import (
     SIMILAR_HOURS,
     SIMILAR_MESSAGE_CHARS,
 )
+from salescope.functions.lookups import join_same
 from salescope.functions.numbers import half_even, ratio
 from salescope.functions.text import contains_any
 
@@ -43,8 +44,7 @@ def similar_failures(failures: DataFrame, hours: int = SIMILAR_HOURS, bucket_sec
             "_at": micros(F.col("ts")),
         }
     )
-    keyed = marked.withColumn("tool", F.coalesce("tool", F.lit("")))
-    instants = keyed.groupBy(*_KIND, "_at").agg(F.count("*").alias("_n"))
+    instants = marked.groupBy(*_KIND, "_at").agg(F.count("*").alias("_n"))
 
     def placed(shift: int, rows: Column, order: int) -> DataFrame:
         at = F.col("_at") - shift
@@ -67,12 +67,10 @@ def similar_failures(failures: DataFrame, hours: int = SIMILAR_HOURS, bucket_sec
         .agg(F.sum("_n").alias("_n"))
         .select(*_KIND, "_bucket", F.coalesce(F.sum("_n").over(whole), F.lit(0)).alias("_whole"))
     )
-    counts = edges.join(buckets, [*_KIND, "_bucket"]).select(
+    counts = join_same(edges, buckets, [*_KIND, "_bucket"]).select(
         *_KIND, "_at", (F.col("_edge") + F.col("_whole")).alias("similar_count")
     )
-    return keyed.join(counts, [*_KIND, "_at"]).select(
-        *[F.when(F.col("tool") != "", F.col("tool")).alias(c) if c == "tool" else c for c in failures.columns], "similar_count"
-    )
+    return join_same(marked, counts, [*_KIND, "_at"]).select(*failures.columns, "similar_count")
 
 
 def fix_success_rates(fixes: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from salescope.functions.fixed_values import HIGH_ERROR_RATE, SLOW_SECONDS
+from salescope.functions.lookups import join_same
 from salescope.functions.numbers import half_even
 from salescope.functions.ranking import index_percentiles, time_ordered_index
 
@@ -36,7 +37,7 @@ def operation_stats(log: DataFrame, exact: bool = True) -> DataFrame:
     if exact:
         base = log.groupBy("operation").agg(*figures)
         ranks = index_percentiles(log.where(~F.col("is_error")), ["operation"], "duration", PERCENTILES)
-        stats = base.join(ranks, "operation", "left")
+        stats = join_same(base, ranks, ["operation"], "left")
     else:
         sketch = F.approx_percentile(timed, list(PERCENTILES.values()), 10_000)
         stats = log.groupBy("operation").agg(*figures, sketch.alias("_p"))

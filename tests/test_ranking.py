@@ -18,10 +18,10 @@ def rows():
     rng = random.Random(7)
     made = []
     for i in range(3000):
-        key = "hot" if rng.random() < 0.34 else f"k{rng.randrange(40)}"
+        key = "hot" if rng.random() < 0.34 else rng.choice([None, *(f"k{i}" for i in range(40))])
         # Whole seconds within two minutes, so that many rows share an instant.
         ts = BASE + datetime.timedelta(seconds=rng.randrange(120))
-        value = rng.choice([0.0, -5.5, 3.25, rng.uniform(-1e6, 1e6), 10 ** rng.uniform(-8, 8)])
+        value = rng.choice([0.0, -5.5, 3.25, float("inf"), float("-inf"), 5e-324, -1e308, rng.uniform(-1e6, 1e6), 10 ** rng.uniform(-8, 8)])
         made.append((i, key, ts, value))
     return made
 
@@ -70,10 +70,10 @@ def test_similar_failures(spark):
     rng = random.Random(3)
     made = []
     for i in range(1500):
-        kind = "hot" if rng.random() < 0.34 else f"E{rng.randrange(5)}"
+        kind = "hot" if rng.random() < 0.34 else rng.choice([None, "E1", "E2"])
         # Three days, many equal instants, and gaps that are exact multiples of the window.
         ts = BASE + datetime.timedelta(minutes=rng.choice([0, 1, 1440, 1441, 2880, rng.randrange(4320)]), seconds=rng.choice([0, 30]))
-        made.append((i, ts, kind, rng.choice([None, "tool"]), rng.choice(["a" * 100 + "x", "a" * 100 + "y", "b"])))
+        made.append((i, ts, kind, rng.choice([None, "", "tool"]), rng.choice(["a" * 100 + "x", "a" * 100 + "y", "b"])))
     frame = spark.createDataFrame(made, "failure_id long, ts timestamp_ntz, error_type string, tool string, message string")
     got = {r.failure_id: r.similar_count for r in similar_failures(frame).collect()}
     day = datetime.timedelta(hours=24)
