@@ -45,6 +45,12 @@ def series_sql(key: str, floored: bool = True) -> str:
 """
 
 
+_add(
+    "filled_months_by_customer",
+    # A customer buys in few months, so most months are filled in.
+    lambda s, d: forecast.product_series(sales(s, d, ["date", "customer", "revenue"]), "customer"),
+    over_sales(series_sql("customer") + "SELECT series, month, revenue FROM filled"),
+)
 _add(
     "forecast_sufficiency",
     lambda s, d: forecast.sufficiency(_brands(s, d)),

@@ -165,19 +165,6 @@ _add(
     lambda s, d: timeseries.monthly_revenue(sales(s, d, ["date", "revenue"])),
     over_sales(MONTHS_SQL + "SELECT last_day(month) AS month, revenue FROM months"),
 )
-_add(
-    "monthly_revenue_with_gaps_filled",
-    # Failed high-value lines are sparse, so whole months are missing before filling.
-    lambda s, d: timeseries.monthly_revenue(
-        sales(s, d, ["date", "revenue", "payment_status", "brand"]).where(
-            (F.col("revenue") > 99000) & (F.col("brand") == "Brand#7")
-        )
-    ),
-    over_sales(
-        MONTHS_SQL.replace("WHERE date IS NOT NULL", "WHERE date IS NOT NULL AND revenue > 99000 AND brand = 'Brand#7'")
-        + "SELECT last_day(month) AS month, revenue FROM months"
-    ),
-)
 _add(
     "monthly_profit",
     lambda s, d: timeseries.monthly_profit(sales(s, d, ["date", "profit"])),
