@@ -41,3 +41,22 @@ def test_sums_are_combined_before_the_shuffle(spark):
 def test_filters_reach_the_scan(spark):
     plan = plan_of(QUERIES["metrics_of_type"](spark, SF))
     assert "PushedFilters" in plan and "l_linenumber" in plan
+
+
+@pytest.mark.parametrize("name", ["revenue_by_region", "top_customers", "history_page", "similar_failures", "operation_stats"])
+def test_same_results_without_broadcasts(spark, name):
+    """What a large cluster would plan: sort-merge joins and many partitions."""
+    from tests.compare import difference, duck
+
+    before = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.shuffle.partitions")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.shuffle.partitions", "32")
+    try:
+        df = QUERIES[name](spark, SF)
+        assert "BroadcastHashJoin" not in plan_of(df)
+        assert difference(df, duck(SF), entry.oracle_sql()[name]) is None
+    finally:
+        spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
+        for key, value in before.items():
+            spark.conf.set(key, value)
