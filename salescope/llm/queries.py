@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from salescope.llm.contamination import contamination
 from salescope.llm.lines import dedup_lines
 from salescope.llm.pieces import encode_texts
+from salescope.llm.toxicity import fit_toxicity, id_remainder, score_toxicity
 from salescope.llm.urls import filter_urls
 from salescope.llm.vectors import top_k
 from salescope.llm.warc import archived
@@ -16,6 +17,16 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document by a model that learns from three quarters of the labels."""
+    docs = _documents(spark, sf_dir)
+    remainder = id_remainder(F.col("doc_id"), 4)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic").where(remainder != 2)
+    return score_toxicity(docs, fit_toxicity(docs, labels)).select(
+        "doc_id", F.coalesce(remainder == 2, F.lit(False)).alias("held_out"), "score", "predicted"
+    )
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark words found in every document."""
     found = contamination(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
@@ -52,6 +63,7 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_toxicity": op2_toxicity,
     "op3_decontamination": op3_decontamination,
     "op4_sentencepiece": op4_sentencepiece,
     "op5_exact_top_k": op5_exact_top_k,
