@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from salescope.llm.contamination import contamination
+from salescope.llm.language_model import score_texts
 from salescope.llm.lines import dedup_lines
 from salescope.llm.pieces import encode_texts
 from salescope.llm.toxicity import fit_toxicity, id_remainder, score_toxicity
@@ -17,6 +18,13 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram and log-bilinear log-probability of every document; a tenth is held out."""
+    held_out = F.coalesce(id_remainder(F.col("doc_id"), 10) == 0, F.lit(False))
+    docs = _documents(spark, sf_dir).withColumn("held_out", held_out)
+    return score_texts(docs, F.col("doc_id").isNotNull() & ~F.col("held_out"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document by a model that learns from three quarters of the labels."""
     docs = _documents(spark, sf_dir)
@@ -63,6 +71,7 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_lm_scoring": op1_lm_scoring,
     "op2_toxicity": op2_toxicity,
     "op3_decontamination": op3_decontamination,
     "op4_sentencepiece": op4_sentencepiece,
