@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from salescope.llm.contamination import contamination
+from salescope.llm.jaccard import similar_groups
 from salescope.llm.language_model import score_texts
 from salescope.llm.lines import dedup_lines
 from salescope.llm.pieces import encode_texts
@@ -53,6 +54,11 @@ def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding"))
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shingles of every document and the group of documents that links reach."""
+    return similar_groups(_documents(spark, sf_dir)).drop("digest")
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines dropped from every document and the digest of what is kept."""
     return dedup_lines(_documents(spark, sf_dir)).select(
@@ -76,6 +82,7 @@ QUERIES = {
     "op3_decontamination": op3_decontamination,
     "op4_sentencepiece": op4_sentencepiece,
     "op5_exact_top_k": op5_exact_top_k,
+    "op6_jaccard_join": op6_jaccard_join,
     "op7_line_dedup": op7_line_dedup,
     "op8_warc": op8_warc,
     "op10_url_filters": op10_url_filters,
