@@ -8,6 +8,7 @@ from salescope.llm.contamination import contamination
 from salescope.llm.jaccard import similar_groups
 from salescope.llm.language_model import score_texts
 from salescope.llm.lines import dedup_lines
+from salescope.llm.passages import remove_repeated
 from salescope.llm.pieces import encode_texts
 from salescope.llm.toxicity import fit_toxicity, id_remainder, score_toxicity
 from salescope.llm.urls import filter_urls
@@ -71,6 +72,11 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archived(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")).drop("url")
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words removed from every document as parts of repeated passages."""
+    return remove_repeated(_documents(spark, sf_dir), with_text=False)
+
+
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Host, path, rule and verdict of every page's URL."""
     return filter_urls(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")).drop("url")
@@ -85,6 +91,7 @@ QUERIES = {
     "op6_jaccard_join": op6_jaccard_join,
     "op7_line_dedup": op7_line_dedup,
     "op8_warc": op8_warc,
+    "op9_substring_dedup": op9_substring_dedup,
     "op10_url_filters": op10_url_filters,
 }
 
