@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from salescope.llm.contamination import contamination
@@ -15,6 +16,8 @@ from salescope.llm.urls import filter_urls
 from salescope.llm.vectors import top_k
 from salescope.llm.warc import archived
 
+MODEL = public_tokenizers.path("piece_bpe_32k.model")
+
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
@@ -27,14 +30,17 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(docs, F.col("doc_id").isNotNull() & ~F.col("held_out"))
 
 
+def training_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three quarters of ``labels`` that a classifier may learn from."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
+    return labels.where(id_remainder(F.col("doc_id"), 4) != 2)
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Toxicity of every document by a model that learns from three quarters of the labels."""
+    """Toxicity of every document by a model that learns from the training labels."""
     docs = _documents(spark, sf_dir)
-    remainder = id_remainder(F.col("doc_id"), 4)
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic").where(remainder != 2)
-    return score_toxicity(docs, fit_toxicity(docs, labels)).select(
-        "doc_id", F.coalesce(remainder == 2, F.lit(False)).alias("held_out"), "score", "predicted"
-    )
+    held_out = F.coalesce(id_remainder(F.col("doc_id"), 4) == 2, F.lit(False)).alias("held_out")
+    return score_toxicity(docs, fit_toxicity(docs, training_labels(spark, sf_dir))).select("doc_id", held_out, "score", "predicted")
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,9 +51,7 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document and the text they decode to, as digests."""
-    import public_tokenizers
-
-    return encode_texts(_documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"), with_ids=False)
+    return encode_texts(_documents(spark, sf_dir), MODEL, with_ids=False)
 
 
 def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
