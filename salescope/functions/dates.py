@@ -5,17 +5,33 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from salescope.functions.fixed_values import DATE_FORMATS
+from salescope.functions.fixed_values import AMBIGUOUS_DATE_FORMATS, DATE_FORMATS
 
 
-def parse_date(text: Column) -> Column:
-    """Date from ISO text (down to ``yyyy-MM``) or a month name and year; null for anything else.
+def parse_date(text: Column, day_first: bool = False) -> Column:
+    """Date from ISO text (down to ``yyyy-MM``), numbers or month names; null for anything else.
 
-    A pattern decides before a format is tried: a failing format costs far more
-    than the match.
+    A time of day after the date is passed over, ``.`` and ``-`` stand for ``/`` in numeric
+    dates, and commas and case do not matter. ``01/05/2024`` is 5 January, or 1 May with
+    ``day_first``; a date that only the other order allows is read in that order. A pattern
+    decides before a format is tried: a failing format costs far more than the match.
     """
-    named = [F.when(text.rlike(shape), F.try_to_timestamp(text, F.lit(fmt)).cast("date")) for shape, fmt in DATE_FORMATS.items()]
-    return F.coalesce(text.try_cast("date"), *named)
+    bare = F.regexp_replace(F.trim(text), r"[ T]\d{1,2}:\d{2}.*$", "")
+    named = F.initcap(F.regexp_replace(F.regexp_replace(bare, "[,.]", " "), " +", " "))
+    slashed = F.regexp_replace(bare, "[.-]", "/")
+    # two-digit years from 69 on are of the last century
+    short = r"^(?<a>\d{1,2}/\d{1,2}/)"
+    slashed = F.regexp_replace(F.regexp_replace(slashed, short + r"(?<b>69|[7-9]\d)$", "${a}19${b}"), short + r"(?<b>\d{2})$", "${a}20${b}")
+
+    def read(value: Column, fmt: str) -> Column:
+        return F.try_to_timestamp(value, F.lit(fmt)).cast("date")
+
+    fixed = [F.when(v.rlike(shape), read(v, fmt)) for shape, fmt in DATE_FORMATS.items() for v in (named if "A-Z" in shape else slashed,)]
+    either = [
+        F.when(slashed.rlike(shape), F.coalesce(*[read(slashed, f) for f in (formats[::-1] if day_first else formats)]))
+        for shape, formats in AMBIGUOUS_DATE_FORMATS.items()
+    ]
+    return F.coalesce(text.try_cast("date"), *fixed, *either)
 
 
 def month_of(day: Column) -> Column:

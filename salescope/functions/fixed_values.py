@@ -55,6 +55,16 @@ MAX_UNMAPPED_SHARE = 0.3
 DATE_FORMATS = {
     r"^[A-Za-z]{3} \d{4}$": "MMM yyyy",
     r"^[A-Za-z]{3,9} \d{4}$": "MMMM yyyy",
+    r"^[A-Za-z]{3} \d{1,2} \d{4}$": "MMM d yyyy",
+    r"^[A-Za-z]{3,9} \d{1,2} \d{4}$": "MMMM d yyyy",
+    r"^\d{1,2} [A-Za-z]{3} \d{4}$": "d MMM yyyy",
+    r"^\d{1,2} [A-Za-z]{3,9} \d{4}$": "d MMMM yyyy",
+    r"^\d{4}/\d{1,2}/\d{1,2}$": "yyyy/M/d",
+    r"^\d{8}$": "yyyyMMdd",
+}
+# Numeric dates whose order of day and month is a matter of convention: (month first, day first).
+AMBIGUOUS_DATE_FORMATS = {
+    r"^\d{1,2}/\d{1,2}/\d{4}$": ("M/d/yyyy", "d/M/yyyy"),
 }
 
 # Months of history a model needs.
@@ -85,7 +95,6 @@ FLAT_TOKEN_PRICES = {
     "o1-mini": 0.003,
     "o1-preview": 0.015,
 }
-MAX_REPORT_DAYS = 30
 KEPT_CALLS_PER_MODEL = 1_000
 KEPT_CALLS = 10_000
 

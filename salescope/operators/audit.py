@@ -10,18 +10,18 @@ from __future__ import annotations
 import hashlib
 import hmac
 import json
+import re
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from salescope.functions.fixed_values import GENESIS_HASH, REDACTED, SENSITIVE_KEYS
 from salescope.functions.lookups import day_spine
 from salescope.functions.text import contains_any
-
-REDACTION_DEPTH = 4
+from salescope.session import ship
 
 
 def _is_sensitive(key: Column) -> Column:
@@ -33,59 +33,65 @@ def redact_map(details: Column) -> Column:
     return F.transform_values(details, lambda k, v: F.when(_is_sensitive(k), F.lit(REDACTED)).otherwise(v))
 
 
-def _kind(value: Column) -> Column:
-    return F.coalesce(F.schema_of_variant(value), F.lit(""))
+_TOKEN = re.compile(r'"(?:[^"\\]|\\.)*"|[{}\[\]:,]|[^\s{}\[\]:,"]+|\s+', re.DOTALL)
 
 
-def _redact_object(value: Column, depth: int) -> Column:
-    hidden = F.parse_json(F.lit(json.dumps(REDACTED)))
-    if depth == 0:
-        # Too deep to open: hide the object as a whole if any key in it is sensitive.
-        keys = "|".join(SENSITIVE_KEYS)
-        return F.when(F.to_json(value).rlike(f'(?i)"[^"]*({keys})[^"]*"\\s*:'), hidden).otherwise(value)
-    entries = value.cast("map<string,variant>")
-    cleaned = F.transform_values(
-        entries, lambda k, v: F.when(_is_sensitive(k), hidden).otherwise(_redact_value(v, depth - 1))
-    )
-    return F.to_variant_object(cleaned)
+def redacted_text(text: str) -> str:
+    """JSON text with the values of sensitive keys hidden at any depth and all else as it stands.
 
+    Text that is no JSON is hidden whole, as nothing tells its keys from its values.
+    """
+    hidden = json.dumps(REDACTED)
+    try:
+        json.loads(text)
+    except RecursionError:
+        pass  # deeper than the parser goes; the scan below needs no stack
+    except ValueError:
+        return REDACTED
+    out: list[str] = []
+    key, awaiting, depth = None, False, 0
+    for token in _TOKEN.findall(text):
+        if depth:  # inside a hidden object or list
+            depth += (token in "{[") - (token in "}]") if len(token) == 1 else 0
+            continue
+        if awaiting and not token.isspace():
+            awaiting = False
+            out.append(hidden)
+            depth = int(token in ("{", "["))
+            continue
+        if token == ":" and key is not None:
+            name = json.loads(key, strict=False).lower()
+            awaiting = any(word in name for word in SENSITIVE_KEYS)
+        if not token.isspace():
+            key = token if token.startswith('"') else None
+        out.append(token)
+    return "".join(out)
 
-def _redact_value(value: Column, depth: int) -> Column:
-    """A value with its objects, or those of its list items, redacted.
 
-    A plain value is handled as a list of one, so that each level appears once in
-    the expression and its size grows with the depth, not exponentially.
-    """
-    is_list = F.startswith(_kind(value), F.lit("ARRAY"))
-    items = F.when(is_list, F.try_variant_get(value, "$", "array<variant>")).otherwise(F.array(value))
-    cleaned = F.transform(
-        items,
-        lambda x: F.when(F.startswith(_kind(x), F.lit("OBJECT")), _redact_object(x, depth)).otherwise(x),
-    )
-    pair = F.array(F.struct(is_list.alias("is_list"), cleaned.alias("items")))
-    unpacked = F.transform(
-        pair, lambda p: F.when(p["is_list"], F.to_variant_object(p["items"])).otherwise(F.get(p["items"], F.lit(0)))
-    )
-    return F.get(unpacked, F.lit(0))
+@F.pandas_udf(StringType())
+def _redacted(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda text: None if text is None else redacted_text(text))
 
 
-def redact_json(details: Column, depth: int = REDACTION_DEPTH) -> Column:
-    """Hide the values of sensitive keys in JSON text, nested objects and lists included.
+def redact_json(details: Column) -> Column:
+    """Hide the values of sensitive keys in JSON text, at any depth, in objects and lists.
 
-    Text without a sensitive word passes through, and text without backslashes,
-    whose sensitive keys hold plain values only, is rewritten in place at any
-    depth. Only the rest is parsed; there, objects below ``depth`` levels are
-    hidden whole when they hold a sensitive key.
+    Text without a sensitive word passes through, and an object without backslashes
+    whose sensitive keys hold plain values only is rewritten in place. Only the rest goes to
+    Python, in batches. Whatever holds a sensitive word and is no JSON is hidden whole.
     """
     suspect = contains_any(F.lower(details), SENSITIVE_KEYS) | F.contains(details, F.lit("\\u"))
     # Without backslashes a quoted text before a colon is a key and holds no quote.
     key = '(?i)("(?=[^"]*+"\\s*+:)[^"]*(?:' + "|".join(SENSITIVE_KEYS) + ')[^"]*+"\\s*+:\\s*+)'
     in_place = F.regexp_replace(details, key + '("[^"]*"|[-+0-9.eE]+|true|false|null)', "$1" + json.dumps(REDACTED))
-    simple = ~F.contains(details, F.lit("\\")) & ~details.rlike(key + r"[{\[]") & F.startswith(F.ltrim(details), F.lit("{"))
-    parsed = F.try_parse_json(details)
-    is_object = F.startswith(_kind(parsed), F.lit("OBJECT"))
-    reworked = F.when(is_object, F.to_json(_redact_object(parsed, depth))).otherwise(details)
-    return F.when(~suspect, details).when(simple, in_place).otherwise(reworked)
+    simple = (
+        ~F.contains(details, F.lit("\\")) & ~details.rlike(key + r"[{\[]") & F.startswith(F.ltrim(details), F.lit("{"))
+        & F.try_parse_json(details).isNotNull()
+    )
+    session = SparkSession.getActiveSession()
+    if session is not None:
+        ship(session)
+    return F.when(~suspect, details).when(simple, in_place).otherwise(_redacted(F.when(suspect & ~simple, details)))
 
 
 def query_log(
@@ -159,6 +165,7 @@ def build_chain(entries: DataFrame, secret: str, order: Sequence[str], day: str
                 seq, previous = seq + 1, digest
             yield pd.DataFrame(out, columns=[day, "seq", "payload", "prev_hash", "hash"])
 
+    ship(entries.sparkSession)
     arranged = entries.repartition(day).sortWithinPartitions(day, *order).select(day, "entry")
     return arranged.mapInPandas(walk, f"{day} date, seq long, payload string, prev_hash string, hash string")
 

@@ -8,7 +8,7 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from salescope.functions.fixed_values import DEFAULT_PRICED_MODEL, MAX_REPORT_DAYS, TOKEN_PRICES
+from salescope.functions.fixed_values import DEFAULT_PRICED_MODEL, TOKEN_PRICES
 from salescope.functions.lookups import day_spine
 from salescope.functions.text import estimated_tokens
 
@@ -76,8 +76,7 @@ def _within(costs: DataFrame, as_of: str, days: int) -> DataFrame:
 
 
 def daily_cost_report(costs: DataFrame, as_of: str, days: int = 7) -> DataFrame:
-    """Cost and calls for each of the last ``days`` (at most 30) days; quiet days are 0."""
-    days = min(days, MAX_REPORT_DAYS)
+    """Cost and calls for each of the last ``days`` days; quiet days are 0."""
     spine = day_spine(costs.sparkSession, as_of, days)
     return (
         spine.join(daily_costs(_within(costs, as_of, days)), "day", "left")
@@ -88,7 +87,7 @@ def daily_cost_report(costs: DataFrame, as_of: str, days: int = 7) -> DataFrame:
 
 def cost_report(costs: DataFrame, as_of: str, days: int = 7) -> DataFrame:
     """The period's totals by agent, user and model, and overall: ``section, name, calls, cost``."""
-    recent = _within(costs, as_of, min(days, MAX_REPORT_DAYS))
+    recent = _within(costs, as_of, days)
     levels = ["agent", "user", "model"]
     grouped = recent.groupingSets([[], *[[c] for c in levels]], *levels)
     section = F.coalesce(*[F.when(F.col(f"_g_{c}") == 0, c) for c in levels], F.lit("total"))

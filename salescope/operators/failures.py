@@ -155,10 +155,11 @@ def _cutoff(as_of: str, days: int) -> Column:
 
 
 def keep_recent(failures: DataFrame, as_of: str, days: int = 90) -> DataFrame:
-    """Rows not older than ``days`` before ``as_of``."""
-    return failures.where(F.col("ts") >= _cutoff(as_of, days))
+    """Rows not older than ``days`` before ``as_of``; rows without a time cannot be told to be old and stay."""
+    return failures.where(F.col("ts").isNull() | (F.col("ts") >= _cutoff(as_of, days)))
 
 
 def retention_counts(failures: DataFrame, as_of: str, days: int = 90) -> DataFrame:
-    old = F.col("ts") < _cutoff(as_of, days)
-    return failures.agg(F.count_if(old).alias("removed"), F.count_if(~old).alias("kept"))
+    """Rows that ``keep_recent`` removes and keeps, and how many of the kept have no time."""
+    old = F.coalesce(F.col("ts") < _cutoff(as_of, days), F.lit(False))
+    return failures.agg(F.count_if(old).alias("removed"), F.count_if(~old).alias("kept"), F.count_if(F.col("ts").isNull()).alias("undated"))

@@ -22,6 +22,7 @@ from salescope.functions.numbers import floor_double, plain_number
 from salescope.functions.text import display_name
 from salescope.operators.models import arima_forecast, holt_winters_forecast
 from salescope.operators.timeseries import fill_months, filled_months, series_window, sparse_months
+from salescope.session import ship
 
 ARIMA, MOVING_AVERAGE, HOLT_WINTERS = "ARIMA (1,1,1)", "Moving Average", "ETS"
 FALLBACK = "Moving Average (fallback)"
@@ -104,6 +105,7 @@ def _fit(series: DataFrame, keys: Sequence[str], steps: int, methods: Sequence[s
     key_types = ", ".join(f"`{k}` {series.schema[k].dataType.simpleString()}" for k in keys)
     schema = f"{key_types}, method string, step int, month date, forecast double, lower double, upper double"
     ready = _long_enough(series, keys, MIN_MONTHS_FORECAST)
+    ship(series.sparkSession)
     fitted = ready.select(*keys, "month", F.col("revenue").cast("double")).groupBy(*keys).applyInPandas(run, schema)
     return fitted.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("lower", "upper")})
 
@@ -282,22 +284,31 @@ def _modelled_product_forecasts(tagged: DataFrame, steps: int) -> DataFrame:
         )
 
     ready = tagged.where(F.col("method") == _ARIMA101).select("product", "month", "revenue")
+    ship(tagged.sparkSession)
     return ready.groupBy("product").applyInPandas(
         run, "product string, method string, months_available long, step int, _value double"
     )
 
 
-def product_forecasts(sales: DataFrame, steps: int = 3, product: str = "product") -> DataFrame:
+def product_forecasts(
+    sales: DataFrame, steps: int = 3, product: str = "product", methods: Sequence[str] | None = None
+) -> DataFrame:
     """Forecast per product with a method that fits its history.
 
     Under 3 months nothing is forecast, under 6 growth is projected, series with
     empty months take a moving average, the rest ARIMA(1,0,1) or, should it fail,
     the mean. A growth rate from a zero month is undefined and means the moving
-    average.
+    average. ``methods`` leaves out products that their history gives another method, before
+    any model is fitted.
     """
     series = observed_product_series(sales, product)
     tagged = with_strategy(series)
-    forecasts = _simple_product_forecasts(tagged, steps).unionByName(_modelled_product_forecasts(tagged, steps))
+    forecasts = _simple_product_forecasts(tagged, steps)
+    if methods is None or _ARIMA101 in methods:
+        forecasts = forecasts.unionByName(_modelled_product_forecasts(tagged, steps))
+    if methods is not None:
+        tagged = tagged.where(F.col("method").isin(*methods))
+        forecasts = forecasts.where(F.col("method").isin(*methods))
     latest = single_value(series, F.max("month"))
     per_product = series_window(["product"])
     short = tagged.where(F.col("method") == "insufficient_data").groupBy("product", "method", "months_available").agg(

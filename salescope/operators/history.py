@@ -148,13 +148,14 @@ def metric_by_day(
     metrics: DataFrame, history: DataFrame, metric_type: str = "total_revenue", as_of: str | None = None,
     days: int = 30, user_id: int | None = None,
 ) -> DataFrame:
-    """Daily mean of a metric over the analyses of the last ``days`` days.
+    """Daily mean of a metric over the analyses of the ``days`` days up to ``as_of``.
 
     A metric without its own date counts on the day of its analysis.
     """
     recent = _of_user(history, user_id)
     if as_of is not None:
-        recent = recent.where(F.col("created_at") >= F.lit(as_of).cast("timestamp_ntz") - F.expr(f"interval {int(days)} days"))
+        now = F.lit(as_of).cast("timestamp_ntz")
+        recent = recent.where((F.col("created_at") >= now - F.expr(f"interval {int(days)} days")) & (F.col("created_at") <= now))
     joined = metrics.where(F.col("metric_type") == metric_type).join(
         recent.select(F.col("id").alias("analysis_id"), "created_at"), "analysis_id"
     )

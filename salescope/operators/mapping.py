@@ -29,12 +29,14 @@ class MappingConfig:
     target_currency: str = "USD"
     rates_to_usd: Mapping[str, float] = field(default_factory=lambda: RATES_TO_USD)
     fuzzy_cutoff: float = FUZZY_CUTOFF
+    day_first: bool = False
 
     def with_variants(self, standard: str, names: Sequence[str]) -> MappingConfig:
         """A config that also recognises ``names``; other configs are not affected."""
         if standard not in self.variants:
             raise KeyError(f"no standard column {standard!r}")
-        return replace(self, variants={**self.variants, standard: [*self.variants[standard], *names]})
+        added = [n.lower().strip() for n in names]
+        return replace(self, variants={**self.variants, standard: [*self.variants[standard], *added]})
 
 
 class ColumnMatch(NamedTuple):
@@ -142,16 +144,20 @@ def convert_money(df: DataFrame, config: MappingConfig = MappingConfig()) -> Dat
     return with_profit(coded.withColumns(lineage).withColumns(converted).drop(*[f"_{n}_amount" for n in money]))
 
 
-def coerce_types(df: DataFrame) -> DataFrame:
-    """Dates and numbers that do not parse become null; profit follows from the result."""
+def coerce_types(df: DataFrame, day_first: bool = False) -> DataFrame:
+    """Every standard column in its canonical type; what does not parse becomes null. Profit follows from the result."""
     changes = {}
     for name in set(df.columns) & {"date"}:
         kind = df.schema[name].dataType
         as_is = isinstance(kind, (DateType, TimestampType, TimestampNTZType))
-        changes[name] = F.col(name).cast("date") if as_is else parse_date(F.col(name).cast("string"))
-    for name in set(df.columns) & {"revenue", "cost", "quantity"}:
+        changes[name] = F.col(name).cast("date") if as_is else parse_date(F.col(name).cast("string"), day_first)
+    for name in set(df.columns) & {"revenue", "cost"}:
         if isinstance(df.schema[name].dataType, StringType):
             changes[name] = F.col(name).try_cast("double")
+    if "quantity" in df.columns:
+        changes["quantity"] = F.col("quantity").try_cast("double")
+    for name in set(df.columns) & {"customer", "product", "region", "currency", "payment_status"}:
+        changes[name] = F.col(name).cast("string")
     typed = df.withColumns(changes)
     # Typing only rounds the representation; flooring to cents belongs to conversion.
     for name in set(df.columns) & {"revenue", "cost"}:
@@ -163,7 +169,7 @@ def map_schema(df: DataFrame, config: MappingConfig = MappingConfig()) -> Mapped
     """Rename, complete, convert and type a sales-like table."""
     match = match_columns(df.columns, config)
     named = add_missing_columns(rename_to_standard(df, config), config)
-    return MappedSales(coerce_types(convert_money(named, config)), match.mapping, match.warnings)
+    return MappedSales(coerce_types(convert_money(named, config), config.day_first), match.mapping, match.warnings)
 
 
 def conversion_summary(mapped: DataFrame, target: str = "USD") -> DataFrame:

@@ -37,6 +37,7 @@ def quality_report(
     min_rows: int = MIN_ROWS,
     max_rows: int | None = None,
     max_text: int = MAX_TEXT_LENGTH,
+    day_first: bool = False,
 ) -> DataFrame:
     """One row per check: ``check, column, value, passed``. The table is scanned once.
 
@@ -47,7 +48,7 @@ def quality_report(
     texts = [f.name for f in df.schema.fields if isinstance(f.dataType, StringType)]
     customer = find_columns(df, ["customer"]).get("customer")
 
-    parsed = parse_date(date.cast("string"))
+    parsed = parse_date(date.cast("string"), day_first)
     aggregates = [
         F.count("*").alias("rows"),
         F.count_if(parsed.isNull()).alias("bad_dates"),

@@ -104,7 +104,8 @@ PRODUCT_SQL = series_sql("customer || '/' || year(date)", floored=False) + """
 
 def _by_customer_year(spark, sf_dir):
     """Every row not fitted by a model, which SQL can follow."""
-    return forecast.product_forecasts(customer_years(spark, sf_dir)).where(F.col("method") != "ARIMA (1,0,1)")
+    methods = ["insufficient_data", "Trend Projection (limited data)", "Moving Average (due to zeros)"]
+    return forecast.product_forecasts(customer_years(spark, sf_dir), methods=methods)
 
 
 _add("forecast_by_customer_year", _by_customer_year, over_sales(PRODUCT_SQL + "SELECT * FROM allrows"))
@@ -124,6 +125,10 @@ _add(
     lambda s, d: forecast.forecast_chart_series(_by_customer_year(s, d)),
     over_sales(PRODUCT_SQL + "SELECT product, max(forecast_sum) AS forecast FROM allrows GROUP BY 1 HAVING max(forecast_sum) > 0"),
 )
+# The same over all products and methods; fitted models are beyond SQL.
+_add("forecast_ranking_all", lambda s, d: forecast.ranked_products(forecast.product_forecasts(customer_years(s, d))))
+_add("forecast_top_product_all", lambda s, d: forecast.top_product(forecast.product_forecasts(customer_years(s, d))))
+_add("forecast_trends_all", lambda s, d: forecast.forecast_trends(forecast.product_forecasts(customer_years(s, d))))
 _add(
     "forecast_trends",
     lambda s, d: forecast.forecast_trends(_by_customer_year(s, d)),

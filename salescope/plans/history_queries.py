@@ -143,20 +143,21 @@ UNION ALL SELECT 'metrics', count(*) FROM metrics WHERE analysis_id NOT IN (SELE
 UNION ALL SELECT 'insights', count(*) FROM insights WHERE analysis_id NOT IN (SELECT id FROM doomed)
 UNION ALL SELECT 'charts', count(*) FROM charts WHERE analysis_id NOT IN (SELECT id FROM doomed)""",
 )
+_NOW = "2000-11-01"  # analyses go on after it
 _DAILY_SQL = HISTORY_SQL + """
 , daily AS (SELECT coalesce(metric_date, created_at::DATE) AS day, round(CAST(SUM(metric_value) AS DOUBLE) / count(metric_value), 6) AS value
             FROM metrics JOIN history ON analysis_id = id
-            WHERE metric_type = 'KIND' AND created_at >= TIMESTAMP '2001-08-01' - INTERVAL 400 DAY GROUP BY 1)
-"""
+            WHERE metric_type = 'KIND' AND created_at >= TIMESTAMP 'AS_OF' - INTERVAL 400 DAY AND created_at <= TIMESTAMP 'AS_OF' GROUP BY 1)
+""".replace("AS_OF", _NOW)
 for _kind in ("total_revenue", "monthly_revenue"):
     _add(
         f"daily_{_kind}_of_analyses",
-        lambda s, d, _kind=_kind: history.metric_by_day(metrics(s, d), analyses(s, d), _kind, "2001-08-01", 400),
+        lambda s, d, _kind=_kind: history.metric_by_day(metrics(s, d), analyses(s, d), _kind, _NOW, 400),
         _DAILY_SQL.replace("KIND", _kind) + "SELECT * FROM daily",
     )
 _add(
     "metric_trend",
-    lambda s, d: history.metric_trend(history.metric_by_day(metrics(s, d), analyses(s, d), "total_revenue", "2001-08-01", 400)),
+    lambda s, d: history.metric_trend(history.metric_by_day(metrics(s, d), analyses(s, d), "total_revenue", _NOW, 400)),
     _DAILY_SQL.replace("KIND", "total_revenue") + """
 , ends AS (SELECT count(*) AS days, arg_min(value, day) AS a, arg_max(value, day) AS b FROM daily)
 SELECT days, CASE WHEN days >= 2 AND a > 0 THEN CASE WHEN b > a THEN 'up' ELSE 'down' END END AS direction,

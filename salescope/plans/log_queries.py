@@ -315,12 +315,13 @@ _add(
     "failure_retention",
     lambda s, d: failures.retention_counts(failure_log(s, d), AS_OF, 10),
     FAILURES_SQL + """
-SELECT count(*) FILTER (ts < TIMESTAMP '2024-01-20') AS removed, count(*) FILTER (ts >= TIMESTAMP '2024-01-20') AS kept FROM failures""",
+SELECT count(*) FILTER (ts < TIMESTAMP '2024-01-20') AS removed, count(*) FILTER (ts IS NULL OR ts >= TIMESTAMP '2024-01-20') AS kept,
+       count(*) FILTER (ts IS NULL) AS undated FROM failures""",
 )
 _add(
     "failures_kept",
     lambda s, d: failures.keep_recent(failure_log(s, d), AS_OF, 10).select("failure_id", "error_type"),
-    FAILURES_SQL + "SELECT failure_id, error_type FROM failures WHERE ts >= TIMESTAMP '2024-01-20'",
+    FAILURES_SQL + "SELECT failure_id, error_type FROM failures WHERE ts IS NULL OR ts >= TIMESTAMP '2024-01-20'",
 )
 
 # --- model calls -------------------------------------------------------------------------
@@ -461,6 +462,27 @@ AUDIT_SQL = EVENTS_SQL + f"""
 , log AS (SELECT event_id AS entry_id, ts, ts::DATE AS log_date, event_type AS action_type, {_pick_sql('k', OPERATIONS)} AS agent,
                  'user_' || user_id AS "user", event_type <> 'error' AS success, k, user_id FROM e)
 """
+def _redacted_forms(spark, sf_dir):
+    """Six levels, a list on top, broken text and escaped quotes around a secret."""
+    e = audit_log(spark, sf_dir)
+    k = (F.col("entry_id") % 4).cast("int")
+    number = F.col("entry_id").cast("string")
+    deep = F.concat(F.lit('{"a":{"b":{"c":{"d":{"e":{"f":{"token":"t","rows":'), number, F.lit("}}}}}}}"))
+    listed = F.concat(F.lit('[{"api_key":"t"},{"n":'), number, F.lit(".50}]"))
+    broken = F.concat(F.lit('{"note":"a\\"b","password":"'), number, F.lit('"'))
+    quoted = F.concat(F.lit('{"note":"say \\"token\\": 5","secret":"a\\"'), number, F.lit('"}'))
+    text = F.when(k == 0, deep).when(k == 1, listed).when(k == 2, broken).otherwise(quoted)
+    return e.select("entry_id", audit.redact_json(text).alias("details"))
+
+
+_add(
+    "redacted_forms",
+    _redacted_forms,
+    AUDIT_SQL + r"""
+SELECT entry_id, CASE entry_id % 4 WHEN 0 THEN '{"a":{"b":{"c":{"d":{"e":{"f":{"token":"[REDACTED]","rows":' || entry_id || '}}}}}}}'
+    WHEN 1 THEN '[{"api_key":"[REDACTED]"},{"n":' || entry_id || '.50}]' WHEN 2 THEN '[REDACTED]'
+    ELSE '{"note":"say \"token\": 5","secret":"[REDACTED]"}' END AS details FROM log""",
+)
 _add(
     "redacted_details",
     lambda s, d: audit_log(s, d)

@@ -220,3 +220,63 @@ WITH t AS (SELECT CASE o_custkey % 5 WHEN 0 THEN strftime(o_orderdate, '%Y-%m')
    CASE WHEN o_custkey % 5 < 3 THEN date_trunc('month', o_orderdate)::DATE WHEN o_custkey % 5 = 3 THEN o_orderdate::DATE END AS day FROM orders)
 SELECT text, day, count(*) AS rows FROM t GROUP BY 1, 2""",
 )
+
+# Each form of a date with its DuckDB format and, for the sake of the other order, whether the day comes first.
+_FORMS = [
+    ("yyyy/M/d", "%Y/%-m/%-d", False), ("M/d/yyyy", "%-m/%-d/%Y", False), ("d/M/yyyy", "%-d/%-m/%Y", True), ("MMM d, yyyy", "%b %-d, %Y", False),
+    ("d MMM yyyy", "%-d %b %Y", False), ("MMMM d, yyyy", "%B %-d, %Y", False), ("yyyyMMdd", "%Y%m%d", False), ("M/d/yy", "%-m/%-d/%y", False),
+    ("dd.MM.yyyy", "%d.%m.%Y", True), ("MM-dd-yyyy HH:mm", "%m-%d-%Y %H:%M", False), ("yyyy-MM-dd", "%Y-%m-%d", False),
+]
+
+
+def _date_forms(spark, sf_dir):
+    """Order dates written in eleven forms and read again; the day comes first in two of them."""
+    orders = table(spark, sf_dir, "orders").withColumn("form", (F.col("o_orderkey") % len(_FORMS)).cast("int"))
+    text, day = F.lit(None).cast("string"), F.lit(None).cast("date")
+    for number, (fmt, _, _) in enumerate(_FORMS):
+        text = F.when(F.col("form") == number, F.date_format("o_orderdate", fmt)).otherwise(text)
+    written = orders.select("o_orderkey", "form", text.alias("text"))
+    first = F.col("form").isin([n for n, f in enumerate(_FORMS) if f[2]])
+    day = F.when(first, parse_date(F.col("text"), day_first=True)).otherwise(parse_date(F.col("text")))
+    return written.select("o_orderkey", "text", day.alias("day"))
+
+
+_add(
+    "date_forms",
+    _date_forms,
+    "SELECT o_orderkey, CASE o_orderkey % "
+    + str(len(_FORMS))
+    + " ".join(f" WHEN {n} THEN strftime(o_orderdate, '{f[1]}')" for n, f in enumerate(_FORMS))
+    + " END AS text, CAST(o_orderdate AS DATE) AS day FROM orders",
+)
+
+
+def _acceptable(spark, sf_dir):
+    """Which tables could be taken as sales, as they are and with names added to the variants."""
+    names = {"Ship Day": "date", "Extended": "revenue"}
+    extended = mapping.MappingConfig()
+    for name, standard in names.items():
+        extended = extended.with_variants(standard, [name])
+    orders = table(spark, sf_dir, "orders")
+    shown = orders.select(F.col("o_orderdate").alias("Ship Day"), F.col("o_totalprice").alias("Extended"))
+    cases = {
+        "known names": (orders.select(F.col("o_orderdate").alias("date"), F.col("o_totalprice").alias("revenue")), mapping.MappingConfig()),
+        "own names": (shown, mapping.MappingConfig()), "own names added": (shown, extended),
+        "too many unknown": (orders.withColumnsRenamed({"o_orderdate": "date", "o_totalprice": "revenue"}), mapping.MappingConfig()),
+    }
+    parts = [
+        df.agg(F.count("*").alias("rows")).select(F.lit(name).alias("case"), F.lit(mapping.schema_is_acceptable(mapping.match_columns(df.columns, config))[0]).alias("acceptable"), "rows")
+        for name, (df, config) in cases.items()
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+_add(
+    "schema_acceptability",
+    _acceptable,
+    "SELECT c AS \"case\", a AS acceptable, n AS rows FROM (SELECT count(*) AS n FROM orders), "
+    "(VALUES ('known names', true), ('own names', false), ('own names added', true), ('too many unknown', false)) v(c, a)",
+)

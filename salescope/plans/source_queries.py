@@ -96,6 +96,25 @@ WHERE event_id % 10 <> 3 AND ts::DATE BETWEEN DATE '2024-01-05' AND DATE '2024-0
 )
 
 
+def _jsonl_mistyped(spark, sf_dir):
+    """Lines with a field of another type among good and broken ones."""
+    path = scratch_path(spark, "events-mistyped")
+    e = table(spark, sf_dir, "events")
+    kind = F.col("event_id") % 5
+    good = F.to_json(F.struct("event_id", "user_id", "event_type", "value"))
+    worded = F.to_json(F.struct("event_id", "user_id", "event_type", F.lit("high").alias("value")))
+    line = F.when(kind == 1, worded).when(kind == 2, F.concat(F.lit("[1, "), good)).when(kind == 3, F.lit('"text"')).otherwise(good)
+    e.select(line.alias("value")).write.text(path)
+    return files.read_jsonl(spark, path, "event_id long, user_id long, event_type string, value double")
+
+
+_add(
+    "jsonl_mistyped_fields",
+    _jsonl_mistyped,
+    "SELECT event_id, user_id, event_type, CASE WHEN event_id % 5 <> 1 THEN value END AS value FROM events WHERE event_id % 5 NOT IN (2, 3)",
+)
+
+
 def _jsonl_append(spark, sf_dir):
     """Two appends to the same day folders, read back."""
     path = scratch_path(spark, "log-append")
@@ -138,7 +157,11 @@ UNION ALL SELECT 'products', count(*), 6 FROM part UNION ALL SELECT 'supplier_20
 )
 
 
-def _book(pdf: pd.DataFrame) -> pd.DataFrame:
+def _customer_book(pdf: pd.DataFrame) -> pd.DataFrame:
+    return _book(pdf, ("Key", "Name", "Balance"))
+
+
+def _book(pdf: pd.DataFrame, names: tuple[str, ...]) -> pd.DataFrame:
     """A minimal workbook of one chunk of customers."""
     main = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
     rel = 'xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
@@ -146,7 +169,7 @@ def _book(pdf: pd.DataFrame) -> pd.DataFrame:
     def text(v):
         return f'<c t="inlineStr"><is><t>{v}</t></is></c>'
 
-    rows = ["<row>" + "".join(map(text, ("Key", "Name", "Balance"))) + "</row>"]
+    rows = ["<row>" + "".join(map(text, names)) + "</row>"]
     for key, name, balance in zip(pdf["c_custkey"], pdf["c_name"], pdf["c_acctbal"]):
         rows.append(f"<row><c><v>{key}</v></c>{text(name)}<c><v>{balance!r}</v></c></row>")
     files_ = {
@@ -164,7 +187,7 @@ def _book(pdf: pd.DataFrame) -> pd.DataFrame:
 def _workbook_scan(spark, sf_dir):
     """One workbook per hundred customers, all read by one scan."""
     chunked = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal", F.floor(F.col("c_custkey") / 100).cast("long").alias("chunk"))
-    books = chunked.groupBy("chunk").applyInPandas(_book, "path string, content binary")
+    books = chunked.groupBy("chunk").applyInPandas(_customer_book, "path string, content binary")
     rows = workbooks.parse_workbooks(books, ["Key", "Name", "Balance"], sheet="Data")
     return rows.select("path", F.col("Key").cast("long").alias("key"), F.col("Name").alias("name"), F.col("Balance").cast("double").alias("balance"))
 
@@ -176,6 +199,26 @@ _add(
 )
 
 
+def _workbook_headers(spark, sf_dir):
+    """Workbooks whose headers differ: every second calls its last column otherwise."""
+    chunked = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal", F.floor(F.col("c_custkey") / 100).cast("long").alias("chunk"))
+
+    def book(pdf: pd.DataFrame) -> pd.DataFrame:
+        return _book(pdf, ("Key", "Name", "Balance" if pdf["chunk"].iloc[0] % 2 else "Credit"))
+
+    books = chunked.groupBy("chunk").applyInPandas(book, "path string, content binary")
+    return workbooks.workbook_table(books, sheet="Data").select(
+        F.col("Key").cast("long").alias("key"), F.col("Balance").cast("double").alias("balance"), F.col("Credit").cast("double").alias("credit")
+    )
+
+
+_add(
+    "workbook_headers_united",
+    _workbook_headers,
+    "SELECT c_custkey AS key, CASE WHEN (c_custkey // 100) % 2 = 1 THEN c_acctbal END AS balance, CASE WHEN (c_custkey // 100) % 2 = 0 THEN c_acctbal END AS credit FROM customer",
+)
+
+
 def _stored_sales(spark, sf_dir):
     """The canonical table written by month, then read for one year."""
     path = scratch_path(spark, "sales")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,6 +39,26 @@ def local_session(cores: int | str = "*", app: str = "salescope", **conf: str) -
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once for each session.
+
+    The archive lies on the driver; Spark serves it to the executors, also to those that join later.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_salescope_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    name = os.path.join(tempfile.mkdtemp(prefix="salescope-code-"), "salescope_code.zip")
+    with zipfile.ZipFile(name, "w", zipfile.ZIP_DEFLATED) as archive:
+        for folder, _, files in os.walk(root):
+            for file in files:
+                if file.endswith(".py"):
+                    path = os.path.join(folder, file)
+                    archive.write(path, os.path.join("salescope", os.path.relpath(path, root)))
+    context.addPyFile(name)
+    context._salescope_shipped = True
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Root for intermediate tables: ``spark.checkpoint.dir`` as the session has it.
 
@@ -46,7 +67,7 @@ def shared_folder(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not spark.conf.get("spark.master", "").startswith("local"):
         raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
     root = tempfile.mkdtemp(prefix="salescope-")
     spark.conf.set("spark.checkpoint.dir", root)

@@ -54,12 +54,18 @@ def _with_bad_line(schema: str | StructType) -> StructType:
 def read_jsonl(
     spark: SparkSession, path: str, schema: str | StructType, start: str | None = None, end: str | None = None
 ) -> DataFrame:
-    """JSON lines with unreadable lines skipped; inclusive day bounds prune ``log_date`` folders."""
+    """JSON lines; inclusive day bounds prune ``log_date`` folders.
+
+    Only lines that are no JSON object are skipped. A field of another type than the schema's is
+    null, and its row stays with its other fields.
+    """
     rows = spark.read.schema(_with_bad_line(schema)).options(columnNameOfCorruptRecord=_BAD, **JSON_TIMES).json(path)
     for bound, keep in ((start, lambda d: F.col("log_date") >= d), (end, lambda d: F.col("log_date") <= d)):
         if bound is not None:
             rows = rows.where(keep(F.to_date(F.lit(bound))))
-    return rows.where(F.col(_BAD).isNull()).drop(_BAD)
+    # Spark also sets the bad line for valid JSON with a mistyped field.
+    is_object = F.startswith(F.coalesce(F.schema_of_variant(F.try_parse_json(F.col(_BAD))), F.lit("")), F.lit("OBJECT"))
+    return rows.where(F.col(_BAD).isNull() | is_object).drop(_BAD)
 
 
 def append_jsonl(df: DataFrame, path: str, ts: str = "ts") -> None:
@@ -96,18 +102,23 @@ def bulk_load(
     """Replace one parquet table per CSV file (or folder) in ``folder``: ``table, rows, columns``.
 
     Tables take the file's name without extension, ``-`` as ``_``, unless ``names``
-    gives another. Only the file listing reaches the driver.
+    gives another. Two files with the same table name are an error, raised before anything is
+    written. Only the file listing reaches the driver.
     """
     pattern = f"{folder.rstrip('/')}/*"
     listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").load(pattern)
     root = folder.rstrip("/").split("://")[-1].lstrip("/")
     inside = F.substring_index(F.col("path"), root + "/", -1)
     first = F.split(inside, "/")[0]
-    loaded = []
+    loaded, tables = [], {}
     for row in listed.select(first.alias("name")).distinct().orderBy("name").collect():
         stem = os.path.splitext(row.name)[0].replace("-", "_")
         table = (names or {}).get(row.name, stem)
-        data = read_csv(spark, f"{folder.rstrip('/')}/{row.name}", delimiter)
+        if table in tables:
+            raise ValueError(f"{tables[table]} and {row.name} would both load into {table}; name one of them")
+        tables[table] = row.name
+    for table, name in tables.items():
+        data = read_csv(spark, f"{folder.rstrip('/')}/{name}", delimiter)
         where = f"{target.rstrip('/')}/{table}"
         data.write.mode("overwrite").parquet(where)
         written = spark.read.parquet(where)

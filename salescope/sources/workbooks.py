@@ -14,7 +14,9 @@ from datetime import datetime, timedelta
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from salescope.session import ship
 
 _MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _LINK = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
@@ -108,20 +110,45 @@ def parse_workbooks(books: DataFrame, columns: list[str], sheet: int | str = 0,
                 picked = [[r[p] if p is not None and p < len(r) else None for p in places] for r in rows]
                 yield pd.DataFrame(picked, columns=columns, dtype=object).assign(path=path)[["path", *columns]]
 
+    ship(books.sparkSession)
     schema = ", ".join(["path string", *[f"`{c}` string" for c in columns]])
     return books.select("path", "content").mapInPandas(run, schema)
 
 
+def header_names(books: DataFrame, sheet: int | str = 0, header: int = 0) -> DataFrame:
+    """(place, name) of every header cell, and one row without a name for every workbook."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found: list[tuple[int, str | None]] = []
+            for content in batch["content"]:
+                rows = sheet_rows(content, sheet)
+                names: list[str | None] = []
+                for _ in range(header + 1):
+                    names = next(rows, [])
+                found += [(-1, None), *((n, c) for n, c in enumerate(names) if c)]
+            yield pd.DataFrame(found, columns=["place", "name"])
+
+    ship(books.sparkSession)
+    return books.select("content").mapInPandas(run, "place int, name string")
+
+
 def read_workbooks(
     spark: SparkSession, path: str, sheet: int | str = 0, header: int = 0, columns: list[str] | None = None
 ) -> DataFrame:
-    """Workbooks below ``path``; without ``columns`` the first file's header names them."""
-    books = spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").load(path)
+    """Workbooks below ``path``."""
+    return workbook_table(spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").load(path), sheet, header, columns)
+
+
+def workbook_table(books: DataFrame, sheet: int | str = 0, header: int = 0, columns: list[str] | None = None) -> DataFrame:
+    """Rows of the given workbooks (``path, content``); without ``columns`` all headers together name them.
+
+    The headers are read by the workers; only the distinct names come to the driver, ordered by
+    their first place in a sheet and then by name.
+    """
     if columns is None:
-        first = books.limit(1).collect()
-        if not first:
-            raise FileNotFoundError(f"no .xlsx under {path}")
-        rows = sheet_rows(bytes(first[0].content), sheet)
-        for _ in range(header + 1):
-            columns = [c for c in next(rows, []) if c]
+        named = header_names(books, sheet, header).groupBy("name").agg(F.min("place").alias("place")).orderBy("place", "name").collect()
+        columns = [r.name for r in named if r.name is not None]
+        if not named:
+            raise FileNotFoundError("no workbook to read")
     return parse_workbooks(books, columns, sheet, header)

@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 
 from salescope.sources import database, files, loader, sqlite, workbooks
-from salescope.plans.source_queries import _book
+from salescope.plans.source_queries import _customer_book
 
 
 def test_csv(spark, tmp_path):
@@ -78,7 +78,7 @@ def test_sqlite(spark, database_file):
 def test_workbooks(spark, tmp_path):
     for i in range(3):
         pdf = pd.DataFrame({"chunk": [i], "c_custkey": [i], "c_name": [f"n{i}"], "c_acctbal": [i + 0.5]})
-        (tmp_path / f"b{i}.xlsx").write_bytes(_book(pdf)["content"][0])
+        (tmp_path / f"b{i}.xlsx").write_bytes(_customer_book(pdf)["content"][0])
     df = loader.load(spark, "excel", {"path": str(tmp_path), "sheet_name": "Data"})
     assert sorted(tuple(r)[1:] for r in df.collect()) == [(str(i), f"n{i}", str(i + 0.5)) for i in range(3)]
 
