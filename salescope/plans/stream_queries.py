@@ -59,6 +59,42 @@ GROUP BY ALL HAVING count(*) >= 3""",
 )
 
 
+# The same with open windows: all rows count, and the flag tells which windows may still change.
+_add(
+    "stream_daily_costs_running",
+    lambda s, d: jobs.run_windows(
+        jobs.daily_costs(logs.token_usage(_stream(s, d)), running=True), ["day", "agent", "user", "model"], "daily-costs-running"
+    ).withColumn("cost", F.col("cost").cast("double")),
+    logs.COSTS_SQL + """
+SELECT ts::DATE AS day, agent, "user", model, count(*) AS calls, CAST(SUM(total_cost) AS DOUBLE) AS cost,
+       ts::DATE + INTERVAL 1 DAY <= (SELECT max(ts) FROM costs) - INTERVAL 1 HOUR AS closed
+FROM costs GROUP BY ts::DATE, agent, "user", model""",
+)
+_add(
+    "stream_operation_windows_running",
+    lambda s, d: jobs.run_windows(
+        jobs.operation_windows(logs.operation_rows(_stream(s, d)), running=True), ["start", "operation"], "operation-windows-running"
+    ),
+    logs.OPERATIONS_SQL + """
+SELECT date_trunc('hour', ts) AS start, operation, count(*) FILTER (NOT is_error) AS "count", round(avg(duration) FILTER (NOT is_error), 6) AS avg,
+       max(duration) FILTER (NOT is_error) AS max, quantile_disc(duration, 0.95) FILTER (NOT is_error) AS p95,
+       round(count(*) FILTER (is_error) / count(*), 4) AS error_rate, count(*) FILTER (NOT is_error AND duration > 5) AS slow_calls,
+       date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM ops) - INTERVAL 1 HOUR AS closed
+FROM ops GROUP BY 1, 2""",
+)
+_add(
+    "stream_repeated_failures_running",
+    lambda s, d: jobs.run_windows(
+        jobs.repeated_failures(logs.failure_rows(_stream(s, d)), running=True), ["start", "error_type", "tool", "message"], "repeated-failures-running"
+    ),
+    logs.FAILURES_SQL + """
+, slid AS (SELECT error_type, tool, left(message, 100) AS message, ts, unnest(generate_series(date_trunc('hour', ts) - INTERVAL 23 HOUR, date_trunc('hour', ts), INTERVAL 1 HOUR)) AS start
+           FROM failures)
+, counted AS (SELECT start, error_type, tool, message, count(*) AS failures, max(ts) AS latest FROM slid GROUP BY 1, 2, 3, 4 HAVING count(*) >= 3)
+SELECT start, error_type, tool, message, failures, start + INTERVAL 24 HOUR <= (SELECT max(latest) FROM counted) - INTERVAL 1 HOUR AS closed FROM counted""",
+)
+
+
 def _ab(spark, sf_dir):
     rolled = jobs.run_updates(jobs.ab_rollup(logs.ab_rows(_stream(spark, sf_dir))), ["test_name", "metric_name", "version"], "ab-rollup")
     return rolled.withColumn("total", F.col("total").cast("double"))

@@ -7,11 +7,12 @@ watermark passes their end, so state stays bounded by the watermark delay.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from salescope.functions.fixed_values import MIN_SIMILAR_FAILURES, SIMILAR_MESSAGE_CHARS, SLOW_SECONDS
+from salescope.functions.lookups import single_value
 from salescope.operators.audit import redact_json
 from salescope.operators.costs import call_costs
 from salescope.session import scratch_path
@@ -27,17 +28,29 @@ def _watermarked(df: DataFrame, delay: str) -> DataFrame:
     return df.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
 
 
-def daily_costs(calls: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """Cost and calls per closed day, agent, user and model. Later calls are dropped."""
+def _ends(running: bool) -> list[Column]:
+    return [F.max("ts").alias("last_event")] if running else []
+
+
+def _end_columns(running: bool) -> list[Column]:
+    return [F.col("window.end").alias("window_end"), F.col("last_event")] if running else []
+
+
+def daily_costs(calls: DataFrame, delay: str = "1 hour", running: bool = False) -> DataFrame:
+    """Cost and calls per day, agent, user and model. Calls later than the delay are dropped.
+
+    In append mode days appear once they are closed; with ``running`` the job is meant
+    for :func:`run_windows`, which shows open days as well.
+    """
     return (
         _watermarked(call_costs(calls), delay).groupBy(F.window("ts", "1 day"), "agent", "user", "model")
-        .agg(F.count("*").alias("calls"), F.sum("total_cost").alias("cost"))
-        .select(F.col("window.start").cast("date").alias("day"), "agent", "user", "model", "calls", "cost")
+        .agg(F.count("*").alias("calls"), F.sum("total_cost").alias("cost"), *_ends(running))
+        .select(F.col("window.start").cast("date").alias("day"), "agent", "user", "model", "calls", "cost", *_end_columns(running))
     )
 
 
-def operation_windows(log: DataFrame, width: str = "1 hour", delay: str = "1 hour") -> DataFrame:
-    """Operation statistics per closed tumbling window, percentiles from a sketch."""
+def operation_windows(log: DataFrame, width: str = "1 hour", delay: str = "1 hour", running: bool = False) -> DataFrame:
+    """Operation statistics per tumbling window, percentiles from a sketch; ``running`` as in :func:`daily_costs`."""
     timed = F.when(~F.col("is_error"), F.col("duration"))
     return (
         _watermarked(log, delay)
@@ -49,20 +62,24 @@ def operation_windows(log: DataFrame, width: str = "1 hour", delay: str = "1 hou
             F.approx_percentile(timed, 0.95, 10_000).alias("p95"),
             F.round(F.count_if("is_error") / F.count("*"), 4).alias("error_rate"),
             F.count_if(timed > SLOW_SECONDS).alias("slow_calls"),
+            *_ends(running),
+        )
+        .select(
+            F.col("window.start").cast("timestamp_ntz").alias("start"), "operation", "count", "avg", "max", "p95", "error_rate", "slow_calls",
+            *_end_columns(running),
         )
-        .select(F.col("window.start").cast("timestamp_ntz").alias("start"), "operation", "count", "avg", "max", "p95", "error_rate", "slow_calls")
     )
 
 
-def repeated_failures(failures: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """Kinds of failure seen at least three times in a closed 24-hour window sliding by the hour."""
+def repeated_failures(failures: DataFrame, delay: str = "1 hour", running: bool = False) -> DataFrame:
+    """Kinds of failure seen at least three times in a 24-hour window sliding by the hour; ``running`` as in :func:`daily_costs`."""
     kind = F.left("message", F.lit(SIMILAR_MESSAGE_CHARS)).alias("message")
     return (
         _watermarked(failures, delay)
         .groupBy(F.window("ts", "24 hours", "1 hour"), "error_type", "tool", kind)
-        .agg(F.count("*").alias("failures"))
+        .agg(F.count("*").alias("failures"), *_ends(running))
         .where(F.col("failures") >= MIN_SIMILAR_FAILURES)
-        .select(F.col("window.start").cast("timestamp_ntz").alias("start"), "error_type", "tool", "message", "failures")
+        .select(F.col("window.start").cast("timestamp_ntz").alias("start"), "error_type", "tool", "message", "failures", *_end_columns(running))
     )
 
 
@@ -81,6 +98,18 @@ def redacted_log(log: DataFrame) -> DataFrame:
     return log.withColumns({"details": redact_json(F.col("details")), "log_date": F.col("ts").cast("date")})
 
 
+def run_windows(stream: DataFrame, keys: list[str], label: str) -> DataFrame:
+    """All windows of a windowed job, the newest and still open ones too: the newest version of each.
+
+    For jobs whose rows hold ``window_end`` and ``last_event``. A window is ``closed`` once
+    the latest event lies at least an hour past its end.
+    """
+    newest = run_updates(stream, keys, label)
+    latest = single_value(newest, F.max("last_event"))
+    closed = F.col("window_end") <= latest - F.expr("interval 1 hour")
+    return newest.withColumn("closed", closed).drop("window_end", "last_event")
+
+
 def run_available(stream: DataFrame, label: str, fmt: str = "parquet", partition_by: list[str] | None = None) -> DataFrame:
     """Process everything available in append mode and return the written table."""
     spark = stream.sparkSession
