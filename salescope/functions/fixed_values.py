@@ -313,8 +313,8 @@ SECTIONS_BY_TYPE = {
         "avg_growth", "latest_growth", "latest_growth_month",
     ],
     "risk": [
-        "payment_status_counts", "revenue_at_risk", "missing_customers", "failed_payments_count",
-        "pending_payments_count", "anomalies", "product_monthly_trends",
+        "payment_status_counts", "revenue_at_risk", "missing_customers", "failed_revenue",
+        "pending_revenue", "anomalies", "product_monthly_trends",
     ],
     "performance": [
         "total_revenue", "total_profit", "profit_margin", "product_monthly_trends", "top_customers",

@@ -8,7 +8,8 @@ sums, every operator then runs on that table as if it were the sales.
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable, Sequence
+from functools import cache, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,7 +30,7 @@ from salescope.functions.fixed_values import SECTIONS_BY_TYPE
 from salescope.functions.lookups import single_value
 from salescope.functions.numbers import finite, half_even, plain_number
 from salescope.functions.text import display_name, known
-from salescope.operators import aggregates, anomalies, timeseries
+from salescope.operators import aggregates, anomalies, forecast, timeseries
 from salescope.session import materialise
 
 
@@ -43,7 +44,7 @@ def _ranked_text(top: DataFrame, label: str) -> Column:
 
 
 def report_base(sales: DataFrame) -> dict[str, DataFrame]:
-    """Sales summed once, by part: ``months`` (customer and month), product, region, payment_status.
+    """Sales summed once, by part: ``months`` (customer and month), product (and month), region, payment_status.
 
     The sums are written to the shared folder, so the sections of a report neither
     rescan the sales nor depend on executors keeping a cache.
@@ -59,7 +60,8 @@ def report_base(sales: DataFrame) -> dict[str, DataFrame]:
         F.col("customer").isNull().alias("_nameless"),
     )
     part = F.coalesce(*[F.when(F.grouping(c) == 0, c) for c in labels], F.lit("months"))
-    summed = prepared.groupingSets([["customer", "date"], *[[c] for c in labels]], "customer", "date", *labels).agg(
+    sets = [["customer", "date"], *[["product", "date"] if c == "product" else [c] for c in labels]]
+    summed = prepared.groupingSets(sets, "customer", "date", *labels).agg(
         *[F.sum(c).alias(c) for c in money],
         F.count("revenue").alias("revenue_rows"),
         F.count("*").alias("rows"),
@@ -193,54 +195,106 @@ def overview(sales: DataFrame) -> DataFrame:
     )
 
 
-def combined_metrics(sales: DataFrame) -> DataFrame:
-    """All metrics handed to an insight writer, as one long table."""
+def _forecast_sections(sales: DataFrame, products: DataFrame, steps: int) -> list[tuple[str, Callable[[], DataFrame]]]:
+    """Sections that rest on forecasts, each built only when it is asked for."""
+    total = forecast.total_series(sales)
+    month = F.date_format("month", "yyyy-MM")
+
+    @cache
+    def by_product() -> DataFrame:
+        return materialise(forecast.product_forecasts(products, steps), "product-forecasts")
+
+    def bounds() -> DataFrame:
+        found = forecast.forecast_with_bounds(total, steps)
+        return _stack([_rows(found, "confidence_forecast", F.concat(month, F.lit(f" {c}")), F.col(c), F.col("method")) for c in ("forecast", "lower", "upper")])
+
+    def summary() -> DataFrame:
+        known_sums = by_product().groupBy("product", "method").agg(F.max("forecast_sum").alias("total"))
+        joined = known_sums.join(forecast.forecast_trends(by_product()), "product")
+        return _rows(joined, "forecast_summary", display_name(F.col("product")), F.col("total"), F.concat_ws(", ", "method", "trend"))
+
+    top = lambda: forecast.top_product(by_product())
+    return [
+        ("product_forecast", lambda: _rows(by_product().where("step IS NOT NULL"), "product_forecast", F.col("product"), F.col("forecast"), F.col("month_name"))),
+        ("forecast_summary", summary),
+        ("overall_forecast", lambda: _rows(forecast.revenue_forecast(total, steps), "overall_forecast", month, F.col("forecast"), F.col("method"))),
+        ("confidence_forecast", bounds),
+        ("ensemble_forecast", lambda: _rows(forecast.ensemble_forecast(total, steps), "ensemble_forecast", month, F.col("ensemble"))),
+        ("top_product_forecast", lambda: _rows(top(), "top_product_forecast", F.lit("top_product_forecast"), text=F.col("product"))),
+        ("top_product_forecast_value", lambda: _rows(top(), "top_product_forecast_value", F.lit("top_product_forecast_value"), F.col("forecast"))),
+    ]
+
+
+def combined_metrics(sales: DataFrame, sections: Sequence[str] | None = None, forecasts: bool = False, steps: int = 3) -> DataFrame:
+    """Metrics handed to an insight writer, as one long table; only the wanted ``sections``, if given.
+
+    Without ``sections`` those that fit forecasting models come only with ``forecasts``. Sums of unpaid
+    revenue are called ``failed_revenue`` and ``pending_revenue``, as they are no counts.
+    """
     base = report_base(sales)
     sales, products, regions, statuses = (base[p] for p in ("months", "product", "region", "payment_status"))
-    growth = timeseries.monthly_growth(sales)
-    profit = timeseries.monthly_profit(sales)
-    stats = timeseries.growth_stats(growth).withColumnRenamed("latest_month", "latest_growth_month")
-    risk = aggregates.revenue_at_risk(statuses).select(
-        F.col("failed_revenue").alias("failed_payments_count"),
-        F.col("pending_revenue").alias("pending_payments_count"),
-        "revenue_at_risk",
-        F.col("at_risk_pct").alias("revenue_at_risk_percentage"),
+    months_only = materialise(
+        sales.groupBy("date").agg(*[F.sum(c).alias(c) for c in ("revenue", "cost", "profit", "revenue_rows", "rows", "nameless_rows")]), "report-months"
     )
+    growth = timeseries.monthly_growth(months_only)
+    profit = timeseries.monthly_profit(months_only)
     nameless = F.sum("nameless_rows")
-    missing = sales.agg(
-        nameless.alias("missing_customers"),
-        F.when(nameless > 0, half_even(nameless * 100 / F.sum("rows"), 1)).alias("missing_customers_percentage"),
-    )
-    share = aggregates.revenue_concentration(sales).select(F.col("concentration_pct").alias("revenue_concentration"))
-    trend = timeseries.profit_trend(profit).select(F.col("trend").alias("profit_trend"))
-    declining = timeseries.declining_customers(sales).agg(F.count("*").alias("declining_customers_count"))
-    product = display_name(F.col("product"))
-    return _stack(
-        [
-            _figures(aggregates.kpis(sales)),
-            _figures(stats),
-            _figures(risk),
-            _figures(missing),
-            _figures(share),
-            _figures(trend),
-            _figures(declining),
-            _figures(anomalies.anomaly_count(sales)),
-            _rows(growth, "monthly_growth", F.col("month"), F.col("growth")),
-            _rows(profit, "monthly_profit", F.col("month"), F.col("profit")),
-            _rows(aggregates.revenue_by(products, "product"), "revenue_by_product", product, F.col("revenue")),
-            _rows(aggregates.revenue_by(regions, "region"), "revenue_by_region", F.col("region"), F.col("revenue")),
-            _rows(aggregates.top_by_revenue(regions, "region"), "top_regions", F.col("region"), F.col("revenue")),
-            _rows(aggregates.top_by_revenue(sales, "customer"), "top_customers", F.col("customer"), F.col("revenue")),
-            _rows(aggregates.revenue_by_payment_status(statuses), "payment_status_counts", F.col("payment_status"), F.col("revenue")),
-            _rows(anomalies.revenue_anomalies(sales), "anomalies", F.col("month"), F.col("revenue"), F.col("text")),
-        ]
-    )
+    month = F.date_format("month", "yyyy-MM")
+
+    @cache
+    def customer_trends() -> DataFrame:
+        return timeseries.monthly_revenue_by_customer(sales)
 
+    def monthly(name: str, key: Column, of: DataFrame, entity: str, unknown: bool) -> DataFrame:
+        return _rows(timeseries.entity_months(of, entity, unknown), name, key, F.col("revenue"), month)
 
-def sections_for(combined: DataFrame, question_type: str) -> DataFrame:
-    """The sections that matter to a question type; types without a list keep everything."""
+    missing = lambda: months_only.agg(
+        nameless.alias("missing_customers"), F.when(nameless > 0, half_even(nameless * 100 / F.sum("rows"), 1)).alias("missing_customers_percentage")
+    )
+    risk = lambda: aggregates.revenue_at_risk(statuses).select(
+        "failed_revenue", "pending_revenue", "revenue_at_risk", F.col("at_risk_pct").alias("revenue_at_risk_percentage")
+    )
+    stats = lambda: timeseries.growth_stats(growth).withColumnRenamed("latest_month", "latest_growth_month")
+    product, raw = display_name(F.col("product")), F.col("product")
+    figures = [
+        (("total_revenue", "total_cost", "total_profit", "profit_margin", "avg_order_value"), lambda: aggregates.kpis(months_only)),
+        (("positive_growth_months", "negative_growth_months", "max_growth", "min_growth", "avg_growth", "growth_volatility", "latest_growth", "latest_growth_month"), stats),
+        (("failed_revenue", "pending_revenue", "revenue_at_risk", "revenue_at_risk_percentage"), risk),
+        (("missing_customers", "missing_customers_percentage"), missing),
+        (("revenue_concentration",), lambda: aggregates.revenue_concentration(sales).select(F.col("concentration_pct").alias("revenue_concentration"))),
+        (("profit_trend",), lambda: timeseries.profit_trend(profit).select(F.col("trend").alias("profit_trend"))),
+        (("declining_customers_count",), lambda: customer_trends().agg(F.count_if("declining").alias("declining_customers_count"))),
+        (("anomaly_count",), lambda: anomalies.anomaly_count(months_only)),
+    ]
+    lists = [
+        ("monthly_growth", lambda: _rows(growth, "monthly_growth", F.col("month"), F.col("growth"))),
+        ("monthly_profit", lambda: _rows(profit, "monthly_profit", F.col("month"), F.col("profit"))),
+        ("product_monthly_trends", lambda: monthly("product_monthly_trends", F.concat(product, F.lit("_monthly_trend")), products, "product", False)),
+        ("monthly_revenue_by_product_raw", lambda: monthly("monthly_revenue_by_product_raw", raw, products, "product", False)),
+        ("revenue_by_product", lambda: _rows(aggregates.revenue_by(products, "product"), "revenue_by_product", product, F.col("revenue"))),
+        ("revenue_by_product_raw", lambda: _rows(aggregates.revenue_by(products, "product"), "revenue_by_product_raw", raw, F.col("revenue"))),
+        ("revenue_by_region", lambda: _rows(aggregates.revenue_by(regions, "region"), "revenue_by_region", F.col("region"), F.col("revenue"))),
+        ("top_regions", lambda: _rows(aggregates.top_by_revenue(regions, "region"), "top_regions", F.col("region"), F.col("revenue"))),
+        ("revenue_by_customer_raw", lambda: _rows(aggregates.revenue_by(sales, "customer"), "revenue_by_customer_raw", F.col("customer"), F.col("revenue"))),
+        ("top_customers", lambda: _rows(aggregates.top_by_revenue(sales, "customer"), "top_customers", F.col("customer"), F.col("revenue"))),
+        ("customer_monthly_trends", lambda: monthly("customer_monthly_trends", F.col("customer"), sales, "customer", True)),
+        ("declining_customers", lambda: _rows(customer_trends().where("declining"), "declining_customers", F.col("customer"))),
+        ("payment_status_counts", lambda: _rows(aggregates.revenue_by_payment_status(statuses), "payment_status_counts", F.col("payment_status"), F.col("revenue"))),
+        ("anomalies", lambda: _rows(anomalies.revenue_anomalies(months_only), "anomalies", F.col("month"), F.col("revenue"), F.col("text"))),
+    ]
+    fitted = _forecast_sections(months_only, products, steps) if forecasts or sections is not None else []
+    wanted = lambda names: sections is None or not set(names).isdisjoint(sections)
+    parts = [_figures(build()) for names, build in figures if wanted(names)] + [build() for name, build in lists + fitted if wanted([name])]
+    if not parts:
+        raise ValueError(f"no such sections: {sections}")
+    stacked = _stack(parts)
+    return stacked if sections is None else stacked.where(F.col("section").isin(*sections))
+
+
+def sections_for(sales: DataFrame, question_type: str, steps: int = 3) -> DataFrame:
+    """The sections that matter to a question type, and no others built; types without a list get everything."""
     wanted = SECTIONS_BY_TYPE.get(question_type)
-    return combined if wanted is None else combined.where(F.col("section").isin(wanted))
+    return combined_metrics(sales, wanted, forecasts=True, steps=steps)
 
 
 def _safe(value: Column, kind: DataType) -> Column:

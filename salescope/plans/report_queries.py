@@ -71,7 +71,7 @@ COMBINED_SQL = BASE_SQL + _TRENDS_ONLY + """
 , gs AS (SELECT count(*) FILTER (v > 0) AS a, count(*) FILTER (v < 0) AS b, max(v) AS c, min(v) AS d, round(avg(v), 6) AS e, round_even(stddev_pop(v), 4) AS f,
                 max(month) AS lm, arg_max(growth, month) AS lg FROM g)
 , one AS (
-SELECT unnest(['total_revenue', 'total_cost', 'total_profit', 'profit_margin', 'avg_order_value', 'failed_payments_count', 'pending_payments_count', 'revenue_at_risk',
+SELECT unnest(['total_revenue', 'total_cost', 'total_profit', 'profit_margin', 'avg_order_value', 'failed_revenue', 'pending_revenue', 'revenue_at_risk',
                'revenue_at_risk_percentage', 'missing_customers', 'missing_customers_percentage', 'revenue_concentration']) AS section,
        unnest([r, c, p, margin, o, failed, pending, failed + pending, round_even((failed + pending) / r * 100, 1), CAST(missing AS DOUBLE),
                CASE WHEN missing > 0 THEN round_even(missing * 100 / n, 1) END, round_even((SELECT SUM(r) FROM top5) / r * 100, 1)]) AS value, CAST(NULL AS VARCHAR) AS text FROM kpi
@@ -81,11 +81,20 @@ UNION ALL SELECT 'latest_growth_month', NULL, CAST(lm AS VARCHAR) FROM gs
 UNION ALL SELECT 'profit_trend', NULL, CASE WHEN count(*) >= 2 THEN CASE WHEN arg_max(profit, month) > arg_min(profit, month) THEN 'increasing' ELSE 'decreasing' END END FROM months
 UNION ALL SELECT 'declining_customers_count', count(*), NULL FROM trends WHERE declining
 UNION ALL SELECT 'anomaly_count', count(*), NULL FROM found)
+, product_months AS (SELECT coalesce(product, 'Unknown') AS label, strftime(date, '%Y-%m') AS m, CAST(floor(SUM(revenue)) AS DOUBLE) AS r FROM sales
+                     WHERE date IS NOT NULL AND revenue IS NOT NULL GROUP BY 1, 2)
+, customer_months AS (SELECT coalesce(customer, 'Unknown') AS label, strftime(date, '%Y-%m') AS m, CAST(floor(SUM(revenue)) AS DOUBLE) AS r FROM sales
+                      WHERE date IS NOT NULL AND revenue IS NOT NULL GROUP BY 1, 2)
 , combined AS (
 SELECT section, section AS key, value, text FROM one
 UNION ALL SELECT 'monthly_growth', CAST(month AS VARCHAR), growth, NULL FROM growth
 UNION ALL SELECT 'monthly_profit', CAST(last_day(month) AS VARCHAR), profit, NULL FROM months
 UNION ALL SELECT 'revenue_by_product', label, r, NULL FROM by_product
+UNION ALL SELECT 'revenue_by_product_raw', label, r, NULL FROM by_product
+UNION ALL SELECT 'revenue_by_customer_raw', label, r, NULL FROM by_customer
+UNION ALL SELECT unnest(['product_monthly_trends', 'monthly_revenue_by_product_raw']), unnest([label || '_monthly_trend', label]), r, m FROM product_months
+UNION ALL SELECT 'customer_monthly_trends', label, r, m FROM customer_months
+UNION ALL SELECT 'declining_customers', customer, NULL, NULL FROM trends WHERE declining
 UNION ALL SELECT 'revenue_by_region', label, r, NULL FROM by_region
 UNION ALL SELECT 'top_regions', label, r, NULL FROM by_region
 UNION ALL SELECT 'top_customers', label, r, NULL FROM top5
@@ -95,13 +104,15 @@ UNION ALL SELECT 'anomalies', CAST(month AS VARCHAR), revenue, text FROM texts)
 
 
 _add("combined_metrics", lambda s, d: reports.combined_metrics(sales(s, d)), over_sales(COMBINED_SQL + "SELECT * FROM combined"))
-for _type in ("risk", "performance"):
+for _type in ("risk", "performance", "revenue_analysis"):
     _listed = ", ".join(f"'{x}'" for x in SECTIONS_BY_TYPE[_type])
     _add(
         f"sections_for_{_type}",
-        lambda s, d, _type=_type: reports.sections_for(reports.combined_metrics(sales(s, d)), _type),
+        lambda s, d, _type=_type: reports.sections_for(sales(s, d), _type),
         over_sales(COMBINED_SQL + f"SELECT * FROM combined WHERE section IN ({_listed})"),
     )
+# Models are beyond SQL; every section of the list must occur.
+_add("sections_for_forecast", lambda s, d: reports.sections_for(sales(s, d), "forecast"))
 _add(
     "registry_run",
     lambda s, d: Registry().run("detect_revenue_spikes", sales(s, d), threshold_std=1, by_product=False).select("month", "kind", "revenue"),
