@@ -27,6 +27,7 @@ SMOOTHING = 0.1
 WORDS = 1_500  # classes besides the shared one
 HEAD = 200_000  # tokens whose counts go to every task; the counts of all others are joined
 HELD_TOKENS = 400_000  # distinct tokens that a counting task holds at a time
+HELD_PAIRS = 2_000_000  # that a task adds to its table at a time
 VECTOR, NOISE, STEPS, RATE, RIDGE = 24, 5.0, 120, 0.05, 1e-7
 
 
@@ -63,12 +64,18 @@ def _pair_counts(classes: dict[bytes, int]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(width * width, np.int64)
+        held: list[np.ndarray] = []
+        size = 0
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 row = _classes(tokens(text), classes, other)
-                table += np.bincount(row[:-1] * width + row[1:], minlength=width * width) if len(row) > 20_000 else 0
-                if len(row) <= 20_000:
-                    np.add.at(table, row[:-1] * width + row[1:], 1)
+                held.append(row[:-1] * width + row[1:])
+                size += len(row)
+                if size > HELD_PAIRS:
+                    table += np.bincount(np.concatenate(held), minlength=width * width)
+                    held, size = [], 0
+        if held:
+            table += np.bincount(np.concatenate(held), minlength=width * width)
         filled = np.flatnonzero(table)
         for at in range(0, len(filled), 100_000):
             own = filled[at : at + 100_000]
