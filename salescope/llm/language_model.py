@@ -26,7 +26,8 @@ END = b"\n"  # no word holds white space, so this stands for the end of a text
 SMOOTHING = 0.1
 WORDS = 1_500  # classes besides the shared one
 HEAD = 200_000  # tokens whose counts go to every task; the counts of all others are joined
-HELD_TOKENS = 400_000  # distinct tokens that a counting task holds at a time
+HELD_TOKENS = 250_000  # distinct tokens that a counting task holds at a time
+SCORED_ROWS = 500  # texts whose rare tokens a task holds
 HELD_PAIRS = 2_000_000  # that a task adds to its table at a time
 VECTOR, NOISE, STEPS, RATE, RIDGE = 24, 5.0, 120, 0.05, 1e-7
 
@@ -154,35 +155,41 @@ def _scored(head: dict[bytes, int], classes: dict[bytes, int], table: np.ndarray
     """base: logarithm's denominator terms; other: tokens of training that share the last class."""
     shared = len(classes)
     added = [("n_tokens", pa.int64()), ("_head_known", pa.int64()), ("_head_base", pa.float64()), ("_head_score", pa.float64())]
-    tail_type = pa.list_(pa.struct([("token", pa.binary()), ("n", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         logs = {w: (math.log10((c + SMOOTHING) / base[0]), 0.0 if w in classes else math.log10(c / other)) for w, c in head.items()}
         log10 = table.astype(np.float64) / math.log(10)
         for batch in batches:
-            out: dict[str, list] = {n: [] for n, _ in added}
-            tails = []
-            for text in batch.column("_text").to_pylist():
-                words = tokens(text)
-                row = _classes(words, classes, shared)
-                found, in_class = 0.0, 0.0
-                known, tail = 0, []
-                for word, n in Counter(words).items():
-                    held = logs.get(word)
-                    if held is None:
-                        tail.append({"token": word, "n": n})
-                    else:
-                        known += n
-                        found += n * held[0]
-                        in_class += n * held[1]
-                out["n_tokens"].append(len(words))
-                out["_head_known"].append(known)
-                out["_head_base"].append(found)
-                out["_head_score"].append(in_class + float(log10[row[:-1], row[1:]].sum()))
-                tails.append(tail)
-            names = [n for n in batch.schema.names if n != "_text"]
-            arrays = [batch.column(n) for n in names] + [pa.array(out[n], t) for n, t in added] + [pa.array(tails, tail_type)]
-            yield pa.RecordBatch.from_arrays(arrays, names=names + [n for n, _ in added] + ["_tail"])
+            for at in range(0, batch.num_rows, SCORED_ROWS):
+                yield scored(batch.slice(at, SCORED_ROWS), logs, log10)
+
+    def scored(batch: pa.RecordBatch, logs: dict[bytes, tuple[float, float]], log10: np.ndarray) -> pa.RecordBatch:
+        out: dict[str, list] = {n: [] for n, _ in added}
+        tail_words: list[bytes] = []
+        tail_counts: list[int] = []
+        ends = [0]
+        for text in batch.column("_text").to_pylist():
+            words = tokens(text)
+            row = _classes(words, classes, shared)
+            found, in_class, known = 0.0, 0.0, 0
+            for word, n in Counter(words).items():
+                held = logs.get(word)
+                if held is None:
+                    tail_words.append(word)
+                    tail_counts.append(n)
+                else:
+                    known += n
+                    found += n * held[0]
+                    in_class += n * held[1]
+            out["n_tokens"].append(len(words))
+            out["_head_known"].append(known)
+            out["_head_base"].append(found)
+            out["_head_score"].append(in_class + float(log10[row[:-1], row[1:]].sum()))
+            ends.append(len(tail_words))
+        pairs = pa.StructArray.from_arrays([pa.array(tail_words, pa.binary()), pa.array(tail_counts, pa.int64())], names=["token", "n"])
+        names = [n for n in batch.schema.names if n != "_text"]
+        arrays = [batch.column(n) for n in names] + [pa.array(out[n], t) for n, t in added] + [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)]
+        return pa.RecordBatch.from_arrays(arrays, names=names + [n for n, _ in added] + ["_tail"])
 
     return run
 
