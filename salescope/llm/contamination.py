@@ -15,7 +15,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StringType, StructField, StructType
 
 from salescope.llm.common import map_batches, stored
@@ -101,9 +101,13 @@ def _postings(terms: frozenset[bytes]):
     return run
 
 
+def _key() -> Column:
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
+
+
 def positional_index(docs: DataFrame, terms: frozenset[bytes]) -> DataFrame:
-    """Stored postings (term, doc_id, positions) of the given terms in all documents."""
-    texts = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long"), F.col("text").cast("binary"))
+    """Stored postings (term, doc_id, positions) of the given terms in all documents; null ids share the least number."""
+    texts = docs.where("text IS NOT NULL").select(_key().alias("doc_id"), F.col("text").cast("binary"))
     return stored(map_batches(texts, _postings(terms), "term binary, doc_id long, positions array<int>"), "postings")
 
 
@@ -238,8 +242,7 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW, anchors
     contaminated if at least a twentieth of its words, and one, are hit. ``hit_spans`` are the
     [start, stop) word ranges. Null and empty texts have no words; items without words have
     no window; items with a null id hit words but are not counted or listed. Repeated item_ids
-    count once and repeated rows of ``docs`` are each judged on their own text; rows with a
-    null doc_id, which the index cannot name, are judged like documents with no candidates.
+    count once and rows of ``docs`` that repeat a doc_id, or have none, are each judged on their own text.
     Other columns pass through, and those with the new names are replaced. Windows are
     looked for in blocks of about ``block_terms`` words, so that what goes to the workers is bounded.
     """
@@ -260,7 +263,7 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW, anchors
         .agg(F.collect_set(F.struct("start", "size", "digest", "items")).alias("_candidates"))
     )
     joined = (
-        docs.join(per_doc, F.col("doc_id") == F.col("_doc"), "left").drop("_doc").withColumn("_text", F.col("text").cast("binary"))
+        docs.join(per_doc, _key() == F.col("_doc"), "left").drop("_doc").withColumn("_text", F.col("text").cast("binary"))
     )
     schema = StructType([*docs.schema.fields, *_ADDED])
     return map_batches(joined, _judged, schema)

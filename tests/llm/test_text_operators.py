@@ -58,7 +58,7 @@ def test_lines_count_code_points_and_keep_other_columns(spark):
 @pytest.mark.parametrize("batches", [1, 3, 5])
 def test_runs_hold_each_hash_once(spark, batches):
     docs = spark.createDataFrame([(n, "\n".join(f"{LINE} {i % 7}" for i in range(n))) for n in range(12)], DOCS)
-    runs, added = levelled_runs(line_hashes(docs, 40, batches), batches, 2)
+    runs, added, _ = levelled_runs(line_hashes(docs, 40, batches), batches, 2)
     keys = [bytes(r["key"]) for run in runs for r in run.collect()]
     assert len(keys) == len(set(keys)) == 7
     total = sum(r["n_docs"] for part in runs + added for r in part.collect())
@@ -94,7 +94,7 @@ def test_contamination_against_brute_force(spark, block_terms):
     text = lambda n: random.choice([" ", "-", ", "]).join(random.choice(words) for _ in range(n))
     items = [(10, text(20)), (9, text(13)), (2, text(5)), (2, text(14)), (3, None), (4, "?!"), (None, text(15)), (7, text(16))]
     docs = [(n, text(40)) for n in range(6)] + [(20 + n, f"{text(30)} {items[n % 3][1].upper()} {text(9)}") for n in range(6)]
-    docs += [(40, None), (41, ""), (42, items[0][1]), (43, items[7][1] + " " + text(400)), (44, items[6][1])]
+    docs += [(None, items[1][1] + " z"), (40, None), (41, ""), (42, items[0][1]), (43, items[7][1] + " " + text(400)), (44, items[6][1])]
     frame = spark.createDataFrame([(*d, "old", 5) for d in docs], DOCS + ", n_hit string, digest int")
     got = by_id(contamination(frame, spark.createDataFrame(items, "item_id long, text string"), block_terms=block_terms))
     want = brute_contamination(docs, items)
@@ -113,8 +113,8 @@ def test_proximity(spark):
     index = positional_index(docs, frozenset([b"a", b"b"]))
     queries = spark.createDataFrame([(7, [b"a", b"b"])], "query_id int, terms array<binary>")
     found = sorted(tuple(r) for r in proximity_matches(index, queries, 4).collect())
-    assert found == [(7, 1, 5, 7)]
-    assert sorted(tuple(r)[1:] for r in proximity_matches(index, queries, 6).collect()) == [(1, 5, 7), (2, 0, 6)]
+    assert found == [(7, -(2**63), 0, 2), (7, 1, 5, 7)]
+    assert sorted(tuple(r)[1:] for r in proximity_matches(index, queries, 6).collect()) == [(-(2**63), 0, 2), (1, 5, 7), (2, 0, 6)]
 
 
 def test_phrase_lists_meet_at_shifted_offsets(spark):
