@@ -95,8 +95,6 @@ FLAT_TOKEN_PRICES = {
     "o1-mini": 0.003,
     "o1-preview": 0.015,
 }
-KEPT_CALLS_PER_MODEL = 1_000
-KEPT_CALLS = 10_000
 
 # Operation marks.
 SLOW_SECONDS = 5.0

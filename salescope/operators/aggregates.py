@@ -15,6 +15,7 @@ from salescope.functions.fixed_values import (
 from salescope.functions.lookups import single_value
 from salescope.functions.numbers import floor_cents, floor_double, floor_or_zero, half_even, ratio, total
 from salescope.functions.text import known
+from salescope.session import materialise
 
 
 def _margin(profit: Column, revenue: Column) -> Column:
@@ -136,8 +137,10 @@ def top_by_revenue(sales: DataFrame, dimension: str, n: int = 5) -> DataFrame:
 
 def revenue_concentration(sales: DataFrame, dimension: str = "customer", n: int = 5) -> DataFrame:
     """Share of the ``n`` largest labels in total revenue, percent with one decimal."""
-    everything = single_value(sales, floor_or_zero(F.sum("revenue")))
-    return top_by_revenue(sales, dimension, n).agg(F.sum("revenue").alias("top_revenue")).select(
+    # summed once per label and stored, as the total and the top are taken from it
+    labels = materialise(sales.groupBy(known(F.col(dimension)).alias(dimension)).agg(F.sum("revenue").alias("revenue")), "revenue-by-label")
+    everything = single_value(labels, floor_or_zero(F.sum("revenue")))
+    return top_by_revenue(labels, dimension, n).agg(F.sum("revenue").alias("top_revenue")).select(
         "top_revenue",
         everything.alias("total_revenue"),
     ).withColumn(

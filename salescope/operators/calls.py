@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from salescope.functions.fixed_values import DEFAULT_PRICED_MODEL, FLAT_TOKEN_PRICES, KEPT_CALLS, KEPT_CALLS_PER_MODEL
+from salescope.functions.fixed_values import DEFAULT_PRICED_MODEL, FLAT_TOKEN_PRICES
 from salescope.functions.ranking import latest_per_key
 
 
@@ -35,9 +35,9 @@ def call_stats(calls: DataFrame, prices: Mapping[str, float] = FLAT_TOKEN_PRICES
     )
 
 
-def keep_latest_per_model(calls: DataFrame, n: int = KEPT_CALLS_PER_MODEL) -> DataFrame:
+def keep_latest_per_model(calls: DataFrame, n: int) -> DataFrame:
     return latest_per_key(calls, ["model"], [F.desc("ts"), F.desc("call_id")], n)
 
 
-def keep_latest(calls: DataFrame, n: int = KEPT_CALLS) -> DataFrame:
+def keep_latest(calls: DataFrame, n: int) -> DataFrame:
     return calls.orderBy(F.desc("ts"), F.desc("call_id")).limit(n)

@@ -20,10 +20,10 @@ def assigned_version(
     return F.when(share < split, F.lit(treatment)).otherwise(F.lit(control))
 
 
-def metric_results(metrics: DataFrame) -> DataFrame:
+def metric_results(metrics: DataFrame, p95_min_rows: int = AB_P95_MIN_ROWS) -> DataFrame:
     """Mean, extremes, count and p95 per test, metric and version.
 
-    The percentile is the value at position int(0.95 n) and needs 20 rows.
+    The percentile is the value at position int(0.95 n); it is null under ``p95_min_rows`` rows.
     """
     keys = ["test_name", "metric_name", "version"]
     base = metrics.groupBy(*keys).agg(
@@ -33,7 +33,7 @@ def metric_results(metrics: DataFrame) -> DataFrame:
         F.count("*").alias("count"),
     )
     ranks = index_percentiles(metrics, keys, "metric_value", {"p95": 0.95})
-    return join_same(base, ranks, keys, "left").withColumn("p95", F.when(F.col("count") >= AB_P95_MIN_ROWS, F.col("p95")))
+    return join_same(base, ranks, keys, "left").withColumn("p95", F.when(F.col("count") >= p95_min_rows, F.col("p95")))
 
 
 def metric_winners(metrics: DataFrame, control: str = "v1", treatment: str = "v2") -> DataFrame:

@@ -22,7 +22,7 @@ from salescope.functions.numbers import floor_double, plain_number
 from salescope.functions.text import display_name
 from salescope.operators.models import arima_forecast, holt_winters_forecast
 from salescope.operators.timeseries import fill_months, filled_months, series_window, sparse_months
-from salescope.session import ship
+from salescope.session import materialise, ship
 
 ARIMA, MOVING_AVERAGE, HOLT_WINTERS = "ARIMA (1,1,1)", "Moving Average", "ETS"
 FALLBACK = "Moving Average (fallback)"
@@ -301,7 +301,8 @@ def product_forecasts(
     average. ``methods`` leaves out products that their history gives another method, before
     any model is fitted.
     """
-    series = observed_product_series(sales, product)
+    # one row per product and month, stored, as the latest month and every strategy read it
+    series = materialise(observed_product_series(sales, product), "product-series")
     tagged = with_strategy(series)
     forecasts = _simple_product_forecasts(tagged, steps)
     if methods is None or _ARIMA101 in methods:

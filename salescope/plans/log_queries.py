@@ -357,13 +357,13 @@ FROM calls GROUP BY model""",
 )
 _add(
     "latest_calls_per_model",
-    lambda s, d: calls.keep_latest_per_model(model_calls(s, d)).select("model", "call_id"),
-    CALLS_SQL + "SELECT model, call_id FROM calls QUALIFY row_number() OVER (PARTITION BY model ORDER BY ts DESC, call_id DESC) <= 1000",
+    lambda s, d: calls.keep_latest_per_model(model_calls(s, d), 100).select("model", "call_id"),
+    CALLS_SQL + "SELECT model, call_id FROM calls QUALIFY row_number() OVER (PARTITION BY model ORDER BY ts DESC, call_id DESC) <= 100",
 )
 _add(
     "latest_calls",
-    lambda s, d: calls.keep_latest(model_calls(s, d)).select("model", "call_id"),
-    CALLS_SQL + "SELECT model, call_id FROM calls ORDER BY ts DESC, call_id DESC LIMIT 10000",
+    lambda s, d: calls.keep_latest(model_calls(s, d), 500).select("model", "call_id"),
+    CALLS_SQL + "SELECT model, call_id FROM calls ORDER BY ts DESC, call_id DESC LIMIT 500",
 )
 
 # --- A/B tests -------------------------------------------------------------------------------
