@@ -82,18 +82,15 @@ def parse_record(record: bytes) -> dict:
 
 
 def train_dictionary(pages: DataFrame) -> bytes:
-    """Dictionary from ``SAMPLE_RECORDS`` records of at most ``SAMPLE_RECORD_BYTES``; empty if they are too few.
+    """Dictionary from about ``SAMPLE_RECORDS`` records of at most ``SAMPLE_RECORD_BYTES``; empty if they are too few.
 
-    The sample is bounded by these parameters (32 MB), the same for every table size, and
-    decides only how well records compress.
+    The records whose hash is lowest are taken. The sample is bounded by these parameters (some
+    32 MB), the same for every table size, and decides only how well records compress.
     """
-    rows = (
-        pages.where(F.octet_length(F.coalesce("html", F.lit(""))) <= SAMPLE_RECORD_BYTES)
-        .select("page_id", "url", "html")
-        .orderBy(F.xxhash64("page_id"), "page_id")
-        .limit(SAMPLE_RECORDS)
-        .collect()
-    )
+    share = min(1.0, SAMPLE_RECORDS / max(1, pages.count()))
+    size = F.octet_length(F.coalesce("html", F.lit("")))
+    own = F.pmod(F.xxhash64("page_id", "url", size), F.lit(1 << 30)) < int(share * (1 << 30))
+    rows = pages.where(own & (size <= SAMPLE_RECORD_BYTES)).select("page_id", "url", "html").collect()
     records = [warc_record(r[0], r[1], (r[2] or "").encode("utf-8"), None) for r in rows]
     total = sum(map(len, records))
     if len(records) < 16 or total < 16 << 10:
