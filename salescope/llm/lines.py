@@ -56,20 +56,21 @@ def line_hashes(docs: DataFrame, min_chars: int, batches: int) -> DataFrame:
     return docs.sparkSession.read.schema(schema).parquet(path)
 
 
-def _save(df: DataFrame, split: bool) -> DataFrame:
-    """A table bucketed and sorted by key, so that a merge join with it moves none of its rows."""
+def _save(df: DataFrame, split: bool, names: list[str]) -> DataFrame:
+    """A table bucketed and sorted by key, so that a merge join with it moves none of its rows; its name joins ``names``."""
     spark = df.sparkSession
     name = f"line_run_{uuid.uuid4().hex}"
+    names.append(name)
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     writer = df.write.bucketBy(buckets, "key").sortBy("key").option("path", scratch_path(spark, "line-run"))
     (writer.partitionBy("seen") if split else writer).saveAsTable(name)
     return spark.table(name)
 
 
-def levelled_runs(hashes: DataFrame, batches: int, fanout: int) -> tuple[list[DataFrame], list[DataFrame]]:
-    """The final runs (each key in one of them) and the counts added by later batches."""
+def levelled_runs(hashes: DataFrame, batches: int, fanout: int) -> tuple[list[DataFrame], list[DataFrame], list[str]]:
+    """The final runs (each key in one of them), the counts added by later batches, and the names of all tables made."""
     levels: list[list[DataFrame]] = [[]]
-    added = []
+    added, names = [], []
     for number in range(batches):
         counted = (
             hashes.where(F.col("batch") == number)
@@ -80,7 +81,7 @@ def levelled_runs(hashes: DataFrame, batches: int, fanout: int) -> tuple[list[Da
         for run in (r for level in levels for r in level):
             held = run.select("key", F.lit(True).alias("held"))
             counted = counted.join(held, "key", "left").withColumn("seen", F.col("seen") | F.col("held").isNotNull()).drop("held")
-        table = _save(counted, split=True)
+        table = _save(counted, True, names)
         levels[0].append(table.where("NOT seen").drop("seen"))
         added.append(table.where("seen").drop("seen"))
         for level in range(number + 1):
@@ -91,20 +92,24 @@ def levelled_runs(hashes: DataFrame, batches: int, fanout: int) -> tuple[list[Da
                 merged = merged.unionByName(run)
             if level + 1 == len(levels):
                 levels.append([])
-            levels[level + 1].append(_save(merged.repartition("key"), split=False))
+            levels[level + 1].append(_save(merged.repartition("key"), False, names))
             levels[level] = []
-    return [r for level in levels for r in level], added
+    return [r for level in levels for r in level], added, names
 
 
 def repeated_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches: int = 4, fanout: int = 2) -> tuple[DataFrame, DataFrame]:
     """All line hashes, and (key, last_doc) of those found in at least ``min_docs`` documents."""
     hashes = line_hashes(docs, min_chars, batches)
-    runs, added = levelled_runs(hashes, batches, fanout)
+    runs, added, names = levelled_runs(hashes, batches, fanout)
     counts = runs[0]
     for part in runs[1:] + added:
         counts = counts.unionByName(part)
     totals = counts.groupBy("key").agg(F.sum("n_docs").alias("n_docs"), F.max("last_doc").alias("last_doc"))
-    return hashes, totals.where(F.col("n_docs") >= min_docs).select("key", "last_doc")
+    # stored, so that the join with a very frequent line has two shuffled sides, which Spark can split
+    repeated = stored(totals.where(F.col("n_docs") >= min_docs).select("key", "last_doc"), "repeated-lines")
+    for name in names:  # the catalog forgets the runs; their files lie in the shared folder
+        docs.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
+    return hashes, repeated
 
 
 def _rebuilt(min_chars: int):
