@@ -244,13 +244,15 @@ class Automaton:
         if passages:
             self.find.make_automaton()
 
-    def covered(self, words: np.ndarray) -> np.ndarray:
-        """Which words lie in a stretch of at least ``size`` words that a passage has too."""
-        out = np.zeros(len(words), bool)
-        if not self.passages or len(words) < self.size:
-            return out
+    def covered(self, numbers: tuple[int, ...]) -> np.ndarray | None:
+        """Which words lie in a stretch of at least ``size`` words that a passage has too; None if no block is found."""
+        if not self.passages or len(numbers) < self.size:
+            return None
+        words = out = None
         tried: set[tuple[int, int]] = set()
-        for end, found in self.find.iter(tuple(words.tolist())):
+        for end, found in self.find.iter(numbers):
+            if words is None:
+                words, out = np.array(numbers, np.int64), np.zeros(len(numbers), bool)
             for number, at in found:
                 offset = end - self.block + 1 - at
                 if (number, offset) in tried:
@@ -259,6 +261,10 @@ class Automaton:
                 passage = self.passages[number]
                 low, high = max(0, offset), min(len(words), offset + len(passage))
                 equal = words[low:high] == passage[low - offset : high - offset]
+                if equal.all():
+                    if high - low >= self.size:
+                        out[low:high] = True
+                    continue
                 edges = np.flatnonzero(np.diff(np.concatenate(([0], equal.view(np.int8), [0]))))
                 for begin, stop in zip(edges[::2], edges[1::2]):
                     if stop - begin >= self.size:
@@ -266,6 +272,14 @@ class Automaton:
         return out
 
 
+class _Numbers(dict):
+    """Words of a shard to numbers, in the order they are met."""
+
+    def __missing__(self, word: bytes) -> int:
+        number = self[word] = len(self)
+        return number
+
+
 def passages_of(words: np.ndarray, starts: np.ndarray, size: int) -> list[np.ndarray]:
     """Stretches of consecutive recurring windows."""
     if not len(starts):
@@ -286,24 +300,30 @@ def _removed(size: int, with_text: bool):
                     begin, held = row + 1, 0
 
     def shard(batch: pa.RecordBatch) -> pa.RecordBatch:
-        numbers: dict[bytes, int] = {}
-        texts, rows, passages = [], [], {}
+        numbers = _Numbers()
+        seen: set[bytes] = set()  # windows that a passage holds already
+        texts, rows, passages = [], [], []
         for text, found in zip(batch.column("_text").to_pylist(), batch.column("_found").to_pylist()):
             words = text.split()
-            row = np.fromiter((numbers.setdefault(w, len(numbers)) for w in words), np.int64, len(words))
+            row = tuple(map(numbers.__getitem__, words))
             texts.append(words)
             rows.append(row)
             if found:
+                own, fresh = np.array(row, np.int64), []
                 starts = {f["start"] + i for f in found for i in range(f["bits"].bit_length()) if f["bits"] >> i & 1}
-                for passage in passages_of(row, np.array(sorted(starts), np.int64), size):
-                    passages.setdefault(passage.tobytes(), passage)
-        automaton = Automaton(list(passages.values()), size)
+                for start in sorted(starts):
+                    window = xxhash.xxh3_128_digest(own[start : start + size].tobytes())
+                    if window not in seen:
+                        seen.add(window)
+                        fresh.append(start)
+                passages += passages_of(own, np.array(fresh, np.int64), size)
+        automaton = Automaton(passages, size)
         counts, removed, hashes, kept_texts = [], [], [], []
         for words, row in zip(texts, rows):
             gone = automaton.covered(row)
-            kept = b" ".join([w for w, g in zip(words, gone.tolist()) if not g]) if gone.any() else b" ".join(words)
+            kept = b" ".join(words if gone is None else [w for w, g in zip(words, gone.tolist()) if not g])
             counts.append(len(words))
-            removed.append(int(gone.sum()))
+            removed.append(0 if gone is None else int(gone.sum()))
             hashes.append(hashlib.sha256(kept).hexdigest())
             kept_texts.append(kept)
         names = [n for n in batch.schema.names if n not in ("_text", "_found", "text")]
