@@ -34,9 +34,9 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def keep_one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The smallest doc_id of every group of similar documents; of rows that repeat it the one with the least text.
 
-    Documents without words and rows with a null doc_id are in no group and stay.
+    Documents are similar from 80 per cent of their five-word shingles on, not by op6's own measure. Documents without words and rows with a null doc_id are in no group and stay.
     """
-    kept = similar_groups(docs).where("doc_id = component_id").select("doc_id").distinct()
+    kept = similar_groups(docs, shingle=5, share=80).where("doc_id = component_id").select("doc_id").distinct()
     first = Window.partitionBy("doc_id").orderBy("text")
     chosen = docs.join(kept, "doc_id", "left_semi").withColumn("_row", F.row_number().over(first)).where("_row = 1")
     return chosen.select(COLUMNS).unionByName(docs.where("doc_id IS NULL").select(COLUMNS))

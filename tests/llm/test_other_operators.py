@@ -242,6 +242,23 @@ def test_pipeline_of_nulls_and_repeats(spark):
     assert sorted(r["doc_id"] or -1 for r in docs.collect()) == [-1, 1, 2, 3]
 
 
+def test_pipeline_links_from_eighty_per_cent_of_five_words(spark):
+    draw = random.Random(5)
+    words = [f"w{draw.randrange(10**6)}" for _ in range(3_000)]
+    docs = []
+    for n in range(6):  # 200 words; a paragraph of 20 to 70 words added to every second one
+        own = words[n * 300 : n * 300 + 200]
+        docs += [(2 * n, " ".join(own)), (2 * n + 1, " ".join(own + words[n * 300 + 200 : n * 300 + 220 + 10 * n]))]
+    own = words[2_000:2_200]
+    docs += [(20, " ".join(own)), (21, " ".join("x" if i in (30, 90, 120, 170) else w for i, w in enumerate(own)))]
+    sets = {d: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for d, t in docs}
+    share = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in sets if a < b}
+    assert sum(0.8 <= x < 0.85 for x in share.values()) >= 2 and any(0.7 < x < 0.8 for x in share.values())
+    frame = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in docs], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(r["doc_id"] for r in corpus_pipeline.keep_one_of_similar(spark, frame, "").collect())
+    assert got == sorted(set(sets) - {b for (_, b), x in share.items() if x >= 0.8})
+
+
 def test_oracles_on_a_larger_table(spark):
     from salescope.llm.queries import ORACLES, QUERIES
 
