@@ -126,6 +126,8 @@ _add(
     over_sales(PRODUCT_SQL + "SELECT product, max(forecast_sum) AS forecast FROM allrows GROUP BY 1 HAVING max(forecast_sum) > 0"),
 )
 # The same over all products and methods; fitted models are beyond SQL.
+_add("forecast_by_customer_year_all", lambda s, d: forecast.product_forecasts(customer_years(s, d)))
+_add("forecast_chart_series_all", lambda s, d: forecast.forecast_chart_series(forecast.product_forecasts(customer_years(s, d))))
 _add("forecast_ranking_all", lambda s, d: forecast.ranked_products(forecast.product_forecasts(customer_years(s, d))))
 _add("forecast_top_product_all", lambda s, d: forecast.top_product(forecast.product_forecasts(customer_years(s, d))))
 _add("forecast_trends_all", lambda s, d: forecast.forecast_trends(forecast.product_forecasts(customer_years(s, d))))

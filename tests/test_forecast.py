@@ -98,3 +98,23 @@ def test_product_strategies(sales_of):
     forecasts = forecast.product_forecasts(sales)
     assert forecast.top_product(forecasts).first().product == "growing"
     assert {r.product: r.trend for r in forecast.forecast_trends(forecasts).collect()}["short"] == "stable"
+
+
+def test_queries_of_all_methods_hold_fitted_products(sales_of, monkeypatch):
+    from salescope.plans import forecast_queries
+
+    values = {"steady": [100, 101, 99, 100, 102, 98, 100], "growing": [100, 110, 121], "short": [5, 5], "gappy": [10, 20, None, 30, 60, 90, 120]}
+    sales = sales_of([
+        (m.isoformat(), "c", name, "r", v, 0, 1.0, "paid")
+        for name, own in values.items() for m, v in zip(months(len(own), 2024), own) if v is not None
+    ])
+    monkeypatch.setattr(forecast_queries, "customer_years", lambda spark, sf_dir: sales)
+    rows = forecast_queries.QUERIES["forecast_by_customer_year_all"](sales.sparkSession, "").collect()
+    assert {(r.product, r.step) for r in rows} == {(p, i) for p in values if p != "short" for i in (1, 2, 3)} | {("short", None)}
+    assert {r.method for r in rows if r.product == "steady"} == {"ARIMA (1,0,1)"}
+    chart = forecast_queries.QUERIES["forecast_chart_series_all"](sales.sparkSession, "").collect()
+    totals = {r.product: r.forecast_sum for r in rows if r.forecast_sum}
+    assert sorted(r.forecast for r in chart) == sorted(totals.values()) and len(chart) == 3
+    assert 291 <= totals["steady"] <= 309
+    checked = forecast_queries.QUERIES["forecast_chart_series"](sales.sparkSession, "").collect()
+    assert len(checked) == 2  # the part that SQL follows
