@@ -3,10 +3,11 @@
 Counts come from all training texts by Spark jobs. The ``WORDS`` most frequent tokens are
 classes of their own, all others share one class in which a token is drawn by its count.
 A class follows the one before it with a score that is bilinear in their vectors plus a
-bias. Noise-contrastive estimation fits the vectors in numpy on the counts of all pairs of
-classes: for every pair the expected loss of telling the corpus from unigram noise, without
-drawing samples. After that one matrix product gives the table of all scores, from which each
-row's logarithm of the sum is taken off, so log-probabilities are normalised.
+bias. Noise-contrastive estimation fits the vectors on the counts of all observed pairs of classes:
+in turns the vectors of one side are fitted in tasks while those of the other stand, as
+then every class is a problem of its own. The noise's expectation is taken over classes drawn evenly by
+frequency. At last tasks multiply the vectors of each class by those of all classes, in batches, for
+the logarithm of its sum of scores, so log-probabilities are normalised.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, BinaryType, DoubleType, LongType, StructField, StructType
 
@@ -24,12 +26,14 @@ from salescope.llm.common import map_batches, stored
 
 END = b"\n"  # no word holds white space, so this stands for the end of a text
 SMOOTHING = 0.1
-WORDS = 1_500  # classes besides the shared one
+WORDS = 200_000  # classes besides the shared one
 HEAD = 200_000  # tokens whose counts go to every task; the counts of all others are joined
 HELD_TOKENS = 250_000  # distinct tokens that a counting task holds at a time
 SCORED_ROWS = 500  # texts whose rare tokens a task holds
 HELD_PAIRS = 2_000_000  # that a task adds to its table at a time
-VECTOR, NOISE, STEPS, RATE, RIDGE = 24, 5.0, 120, 0.05, 1e-7
+FITTED_PAIRS = 150_000  # that a task fits at a time, or those of one class
+SUMMED = 2_000  # classes whose sums one task takes
+VECTOR, NOISE, DRAWN, ROUNDS, STEPS, RATE, RIDGE = 24, 5.0, 500, 2, 12, 0.2, 1.0
 
 
 def tokens(text: bytes | None) -> list[bytes]:
@@ -80,26 +84,28 @@ def _frequent(counts: DataFrame, most: int) -> dict[bytes, int]:
 
 
 def _pair_counts(classes: dict[bytes, int]):
+    """(pair, n): a pair is the class before times the number of classes, plus the class."""
     other, width = len(classes), len(classes) + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(width * width, np.int64)
         held: list[np.ndarray] = []
         size = 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            pairs, n = np.unique(np.concatenate(held), return_counts=True)
+            for at in range(0, len(pairs), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[at : at + 100_000]), pa.array(n[at : at + 100_000])], names=["pair", "n"])
+
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 row = _classes(tokens(text), classes, other)
                 held.append(row[:-1] * width + row[1:])
                 size += len(row)
                 if size > HELD_PAIRS:
-                    table += np.bincount(np.concatenate(held), minlength=width * width)
+                    yield from out()
                     held, size = [], 0
         if held:
-            table += np.bincount(np.concatenate(held), minlength=width * width)
-        filled = np.flatnonzero(table)
-        for at in range(0, len(filled), 100_000):
-            own = filled[at : at + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(own // width, pa.int32()), pa.array(own % width, pa.int32()), pa.array(table[own])], names=["before", "class", "n"])
+            yield from out()
 
     return run
 
@@ -112,58 +118,183 @@ def _classes(words: list[bytes], classes: dict[bytes, int], other: int) -> np.nd
     return out
 
 
-def fit_vectors(pairs: np.ndarray, seed: int = 0) -> np.ndarray:
-    """Normalised log-probabilities [before, class] from the counts of pairs.
+def _drawn(counts: np.ndarray, random: np.random.Generator) -> np.ndarray:
+    """``DRAWN`` classes in proportion to their counts, at even distances."""
+    ends = np.cumsum(counts, dtype=float)
+    return np.minimum(np.searchsorted(ends, (np.arange(DRAWN) + random.random()) * ends[-1] / DRAWN, side="right"), len(counts) - 1)
+
+
+def _improved(starts: np.ndarray, to: np.ndarray, n: np.ndarray, other: np.ndarray, drawn: np.ndarray, biased: bool) -> np.ndarray:
+    """Vectors by some steps from zero; the pairs of the i-th begin at starts[i] and lead to the classes ``to``, n times.
 
     The loss of a pair is its count times ``-log s(d)`` plus its noise count times ``-log s(-d)``, where d
-    is the score less the logarithm of the noise's rate. Scores begin at the unigram distribution.
+    is the score less the logarithm of the noise's rate. A vector's last component is the bias less that
+    logarithm, or one on the side that has none and keeps it.
     """
-    width = len(pairs)
-    total = max(1, pairs.sum())
-    share = ((pairs.sum(axis=0) + SMOOTHING) / (total + SMOOTHING * width)).astype(np.float32)
-    data = (pairs / total).astype(np.float32)
-    noise = NOISE * data.sum(axis=1, keepdims=True) * share[None, :]
-    rate = np.log(NOISE * share)
-    random = np.random.default_rng(seed)
-    weights = [
-        (random.standard_normal((width, VECTOR)) * 0.1).astype(np.float32),
-        (random.standard_normal((width, VECTOR)) * 0.1).astype(np.float32),
-        np.log(share),
-    ]
-    first, second = [np.zeros_like(w) for w in weights], [np.zeros_like(w) for w in weights]
-    both = data + noise
+    own = np.zeros((len(starts), VECTOR + 1), np.float32)
+    own[:, VECTOR] = -math.log(NOISE) if biased else 1
+    sizes = np.diff(starts, append=len(to))
+    x, noise = other[to], other[drawn]
+    weight = (NOISE / DRAWN * np.add.reduceat(n, starts)).astype(np.float32)[:, None]
+    n = n.astype(np.float32)
+    first, second = np.zeros_like(own), np.zeros_like(own)
     for step in range(1, STEPS + 1):
-        rows, columns, bias = weights
-        odds = rows @ columns.T + (bias - rate)
-        odds = both / (1 + np.exp(-np.clip(odds, -30, 30))) - data  # the gradient by score
-        gradients = [odds @ columns + RIDGE * rows, odds.T @ rows + RIDGE * columns, odds.sum(axis=0)]
-        for i, g in enumerate(gradients):
-            first[i] = 0.9 * first[i] + 0.1 * g
-            second[i] = 0.99 * second[i] + 0.01 * g * g
-            speed = RATE * (1 - step / (STEPS + 1))
-            weights[i] = weights[i] - speed * (first[i] / (1 - 0.9**step)) / (np.sqrt(second[i] / (1 - 0.99**step)) + 1e-10)
-    return _normalised(*weights)
+        odds = np.einsum("ij,ij->i", x, np.repeat(own, sizes, axis=0))
+        pull = n / (1 + np.exp(np.clip(odds, -30, 30)))
+        g = -np.add.reduceat(x * pull[:, None], starts, axis=0)
+        for at in range(0, len(own), 5_000):
+            part = slice(at, at + 5_000)
+            g[part] += (weight[part] / (1 + np.exp(-np.clip(own[part] @ noise.T, -30, 30)))) @ noise
+        g[:, :VECTOR] += RIDGE * own[:, :VECTOR]
+        if not biased:
+            g[:, VECTOR] = 0
+        first = 0.8 * first + 0.2 * g
+        second = 0.9 * second + 0.1 * g * g
+        speed = RATE * (1 - step / (STEPS + 1))
+        own -= speed * (first / (1 - 0.8**step)) / (np.sqrt(second / (1 - 0.9**step)) + 1e-10)
+    return own
+
+
+def _fitted(shared: Broadcast, drawn: np.ndarray, biased: bool):
+    """Of rows (class of this side, class of the other, n), together by the first: the first's new vectors."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        other = shared.value.astype(np.float32)
+        held: list[list[np.ndarray]] = []
+        size = 0
+
+        def out(last: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal held, size
+            at, to, n = (np.concatenate(x) for x in zip(*held))
+            starts = np.flatnonzero(np.diff(at, prepend=-1))
+            end = len(at) if last else starts[-1]  # the last class may have more pairs to come
+            held, size = [[at[end:], to[end:], n[end:]]], len(at) - end
+            starts = starts[starts < end]
+            if len(starts):
+                ids = at[starts]
+                vectors = _improved(starts, to[:end], n[:end], other, drawn, biased)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([ids.astype(np.int32).tobytes()], pa.binary()), pa.array([vectors.astype(np.float16).tobytes()], pa.binary())], names=["ids", "vectors"]
+                )
+
+        for batch in batches:
+            held.append([batch.column(i).to_numpy() for i in range(3)])
+            size += batch.num_rows
+            if size > FITTED_PAIRS:
+                yield from out(False)
+        if size:
+            yield from out(True)
 
-def _normalised(rows: np.ndarray, columns: np.ndarray, bias: np.ndarray) -> np.ndarray:
-    scores = (rows @ columns.T + bias).astype(np.float64)
-    top = scores.max(axis=1, keepdims=True)
-    return (scores - top - np.log(np.exp(scores - top).sum(axis=1, keepdims=True))).astype(np.float32)
+    return run
 
 
-def _scored(head: dict[bytes, int], classes: dict[bytes, int], table: np.ndarray, base: tuple[float, float], other: float):
+def _start(width: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.random.Generator]:
+    """Vectors of both sides, and the rest of the draw; scores begin near the unigram distribution."""
+    random = np.random.default_rng(seed)
+    rows, columns = (random.standard_normal((width, VECTOR + 1), np.float32) * np.float32(0.3) for _ in range(2))
+    rows[:, VECTOR], columns[:, VECTOR] = 1, -math.log(NOISE)
+    return rows, columns, random
+
+
+def _with_rate(columns: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Vectors whose last component is the whole bias."""
+    columns = columns.copy()
+    columns[:, VECTOR] += np.log(NOISE * (counts + SMOOTHING) / (counts.sum() + SMOOTHING * len(counts)))
+    return columns
+
+
+def log_sums(rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    """Logarithms of the sums of all scores, for each of ``rows``."""
+    out = np.empty(len(rows))
+    for at in range(0, len(rows), 256):
+        own = rows[at : at + 256]
+        with np.errstate(over="ignore", divide="ignore"):
+            total = sum(_exp(own @ columns[k : k + 2_048].T).sum(axis=1) for k in range(0, len(columns), 2_048))
+            out[at : at + 256] = np.log(total, dtype=np.float64)
+        for i in np.flatnonzero(~np.isfinite(total) | (total < 1e-20)):  # beyond what a float holds
+            scores = (columns @ own[i]).astype(np.float64)
+            out[at + i] = scores.max() + np.log(np.exp(scores - scores.max()).sum())
+    return out
+
+
+def _exp(scores: np.ndarray) -> np.ndarray:
+    return np.exp(scores, out=scores)
+
+
+def fit_vectors(pairs: np.ndarray, seed: int = 0) -> np.ndarray:
+    """Normalised log-probabilities [before, class] from a small table of the counts of pairs."""
+    rows, columns, random = _start(len(pairs), seed)
+    for _ in range(ROUNDS):
+        for own, other, table, biased in ((rows, columns, pairs, False), (columns, rows, pairs.T, True)):
+            at, to = np.nonzero(table)
+            ids = np.unique(at)
+            if len(ids):
+                drawn = _drawn(table.sum(axis=0), random)
+                own[ids] = _improved(np.flatnonzero(np.diff(at, prepend=-1)), to, table[at, to], other, drawn, biased)
+    columns = _with_rate(columns, pairs.sum(axis=0))
+    return (rows @ columns.T - log_sums(rows, columns)[:, None]).astype(np.float32)
+
+
+def fit_pairs(pairs: DataFrame, width: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Vectors before, vectors after and logarithms of sums from all (pair, n), fitted in tasks.
+
+    Vectors are sent and kept as half floats, and the sums are those of the vectors so rounded.
+    """
+    rows, columns, random = _start(width, seed)
+    context = pairs.sparkSession.sparkContext
+    before, after = F.expr(f"cast(pair div {width} as int)"), F.expr(f"cast(pair % {width} as int)")
+    together = lambda df, name: stored(df.repartition("own").sortWithinPartitions("own"), name)
+    sides = [together(pairs.select(before.alias("own"), after.alias("to"), "n"), "pairs-before")]
+    sides.append(together(sides[0].select(F.col("to").alias("own"), F.col("own").alias("to"), "n"), "pairs-after"))
+    counts = [np.zeros(width) for _ in sides]
+    for side, own in zip(sides, counts):
+        found = side.groupBy("own").agg(F.sum("n").alias("n")).toArrow()
+        own[found.column("own").to_numpy()] = found.column("n").to_numpy()
+    if counts[0].sum():
+        for _ in range(ROUNDS):
+            for at, (own, other) in enumerate(((rows, columns), (columns, rows))):
+                shared = context.broadcast(other.astype(np.float16))
+                run = _fitted(shared, _drawn(counts[1 - at], random), at == 1)
+                for ids, vectors in zip(*map_batches(sides[at], run, "ids binary, vectors binary").toArrow().to_pydict().values()):
+                    own[np.frombuffer(ids, np.int32)] = np.frombuffer(vectors, np.float16).reshape(-1, VECTOR + 1)
+                shared.destroy()
+    rows, columns = rows.astype(np.float16), _with_rate(columns, counts[1]).astype(np.float16)
+    shared = context.broadcast((rows, columns))
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before, after = (x.astype(np.float32) for x in shared.value)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(log_sums(before[batch.column(0).to_numpy()], after))], names=["id", "log_sum"])
+
+    out = np.empty(width)
+    found = map_batches(pairs.sparkSession.range(0, width, 1, -(-width // SUMMED)), sums, "id long, log_sum double").toArrow()
+    out[found.column("id").to_numpy()] = found.column("log_sum").to_numpy()
+    shared.destroy()
+    return rows, columns, out
+
+
+def _scored(head: dict[bytes, int], classes: dict[bytes, int], model: tuple[np.ndarray, np.ndarray, np.ndarray], base: tuple[float, float], other: float):
     """base: logarithm's denominator terms; other: tokens of training that share the last class."""
     shared = len(classes)
+    rows, columns, sums = model
     added = [("n_tokens", pa.int64()), ("_head_known", pa.int64()), ("_head_base", pa.float64()), ("_head_score", pa.float64())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         logs = {w: (math.log10((c + SMOOTHING) / base[0]), 0.0 if w in classes else math.log10(c / other)) for w, c in head.items()}
-        log10 = table.astype(np.float64) / math.log(10)
         for batch in batches:
             for at in range(0, batch.num_rows, SCORED_ROWS):
-                yield scored(batch.slice(at, SCORED_ROWS), logs, log10)
-
-    def scored(batch: pa.RecordBatch, logs: dict[bytes, tuple[float, float]], log10: np.ndarray) -> pa.RecordBatch:
+                yield scored(batch.slice(at, SCORED_ROWS), logs)
+
+    def bilinear(row: np.ndarray) -> float:
+        """Logarithm to 10 of the probability of all classes after the first."""
+        total = 0.0
+        for at in range(0, len(row) - 1, 50_000):
+            before, after = row[at : at + 50_000], row[at + 1 : at + 50_001]
+            before = before[: len(after)]
+            total += np.einsum("ij,ij->i", rows[before].astype(np.float32), columns[after].astype(np.float32)).sum(dtype=np.float64) - sums[before].sum()
+        return total / math.log(10)
+
+    def scored(batch: pa.RecordBatch, logs: dict[bytes, tuple[float, float]]) -> pa.RecordBatch:
         out: dict[str, list] = {n: [] for n, _ in added}
         tail_words: list[bytes] = []
         tail_counts: list[int] = []
@@ -184,7 +315,7 @@ def _scored(head: dict[bytes, int], classes: dict[bytes, int], table: np.ndarray
             out["n_tokens"].append(len(words))
             out["_head_known"].append(known)
             out["_head_base"].append(found)
-            out["_head_score"].append(in_class + float(log10[row[:-1], row[1:]].sum()))
+            out["_head_score"].append(in_class + bilinear(row))
             ends.append(len(tail_words))
         pairs = pa.StructArray.from_arrays([pa.array(tail_words, pa.binary()), pa.array(tail_counts, pa.int64())], names=["token", "n"])
         names = [n for n in batch.schema.names if n != "_text"]
@@ -218,19 +349,15 @@ def score_texts(docs: DataFrame, training: Column) -> DataFrame:
     # Within the shared class: unknown tokens get the share of those seen once, known ones the rest by their counts.
     unknown = (once + 1) / (shared + once + 2)
     class_total = shared / (1 - unknown) if shared else 1.0
-    width = len(classes) + 1
-    pairs = np.zeros((width, width), np.int64)
-    summed = map_batches(learnt, _pair_counts(classes), "before int, class int, n long").groupBy("before", "class").agg(F.sum("n").alias("n"))
-    found = summed.toArrow()  # at most (WORDS + 1) squared rows
-    pairs[found.column("before").to_numpy(), found.column("class").to_numpy()] = found.column("n").to_numpy()
-    table = fit_vectors(pairs)
+    counted = map_batches(learnt, _pair_counts(classes), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    model = fit_pairs(counted, len(classes) + 1)
     base_total = n_train + SMOOTHING * (types + 1)
     added = [StructField("n_tokens", LongType()), StructField("_head_known", LongType()), StructField("_head_base", DoubleType()), StructField("_head_score", DoubleType())]
     tail = StructField("_tail", ArrayType(StructType([StructField("token", BinaryType()), StructField("n", LongType())])))
     kept = docs.drop("text")
     schema = StructType([*kept.schema.fields, *added, tail])
     scored = map_batches(
-        docs.withColumn("_text", lowered).drop("text"), _scored(head, classes, table, (base_total, 0.0), class_total), schema
+        docs.withColumn("_text", lowered).drop("text"), _scored(head, classes, model, (base_total, 0.0), class_total), schema
     )
     scored = stored(scored.withColumn("_row", F.monotonically_increasing_id()), "scored")
     rare = scored.select("_row", F.explode("_tail").alias("t")).select("_row", F.col("t.token").alias("token"), F.col("t.n").alias("times"))

@@ -314,3 +314,27 @@ def test_vectors_learn_what_follows_and_are_normalised():
     assert [int(row.argmax()) for row in logs] == [1, 2, 0, 3]
     unigram = np.log(pairs.sum(axis=0) / pairs.sum())
     assert (pairs * logs).sum() > (pairs * unigram).sum() + 500
+
+
+def test_words_beyond_the_most_frequent_have_context(spark):
+    # 2,000 pairs of words, all of one frequency: half of them would share a class if the most frequent 1,500 had vectors
+    docs = spark.createDataFrame([(n, f"a{n % 2_000} b{n % 2_000} " * 4) for n in range(4_000)], DOCS)
+    odd = spark.createDataFrame([(-1 - n, f"a{n} b{(n + 1) % 2_000} " * 4) for n in range(2_000)], DOCS)
+    every = docs.unionByName(odd)
+    got = {r["doc_id"]: r["score"] for r in score_texts(every, F.col("doc_id") >= 0).collect()}
+    better = sum(got[n] > got[-1 - n] + 2 for n in range(2_000))
+    assert better >= 1_900
+
+
+def test_fit_in_tasks_is_normalised_and_learns(spark, monkeypatch):
+    from salescope.llm import language_model
+
+    monkeypatch.setattr(language_model, "FITTED_PAIRS", 3)
+    pairs = np.full((4, 4), 1)
+    pairs[0, 1] = pairs[1, 2] = pairs[2, 0] = 500
+    pairs[3, 3] = 300
+    frame = spark.createDataFrame([(4 * i + j, int(pairs[i, j])) for i in range(4) for j in range(4)], "pair long, n long")
+    rows, columns, sums = language_model.fit_pairs(frame, 4)
+    logs = rows.astype(float) @ columns.T.astype(float) - sums[:, None]
+    assert np.allclose(np.exp(logs).sum(axis=1), 1, atol=1e-4)
+    assert [int(row.argmax()) for row in logs] == [1, 2, 0, 3]
