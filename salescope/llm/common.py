@@ -2,37 +2,13 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import zipfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StructType
 
-import salescope
-from salescope.session import scratch_path
-
-
-def ship(spark: SparkSession) -> None:
-    """Send this package to the Python workers, once for each session.
-
-    The archive lies on the driver; Spark serves it to the executors, also to those that join later.
-    """
-    context = spark.sparkContext
-    if getattr(context, "_salescope_shipped", False):
-        return
-    root = os.path.dirname(os.path.abspath(salescope.__file__))
-    name = os.path.join(tempfile.mkdtemp(prefix="salescope-code-"), "salescope_code.zip")
-    with zipfile.ZipFile(name, "w", zipfile.ZIP_DEFLATED) as archive:
-        for folder, _, files in os.walk(root):
-            for file in files:
-                if file.endswith(".py"):
-                    path = os.path.join(folder, file)
-                    archive.write(path, os.path.join("salescope", os.path.relpath(path, root)))
-    context.addPyFile(name)
-    context._salescope_shipped = True
+from salescope.session import materialise, ship
 
 
 def map_batches(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
@@ -43,9 +19,19 @@ def map_batches(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], It
 
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write once to the shared folder and read back; later steps restart from there when an executor is lost."""
-    path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return materialise(df, label)
+
+
+def unused(df: DataFrame, *names: str) -> str | list[str]:
+    """Names for helper columns that no column of ``df`` has in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    found = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        found.append(name)
+    return found[0] if len(found) == 1 else found
 
 
 def as_bytes(df: DataFrame, *columns: str) -> DataFrame:

@@ -5,18 +5,22 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from salescope.llm.alignment import align_tokens
 from salescope.llm.contamination import contamination
 from salescope.llm.jaccard import similar_groups
 from salescope.llm.language_model import score_texts
 from salescope.llm.lines import dedup_lines
+from salescope.llm.mixing import mix
 from salescope.llm.passages import remove_repeated
 from salescope.llm.pieces import encode_texts
 from salescope.llm.toxicity import fit_toxicity, id_remainder, score_toxicity
 from salescope.llm.urls import filter_urls
 from salescope.llm.vectors import top_k
 from salescope.llm.warc import archived
+from salescope.llm.whitening import by_component, whiten
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
+BYTE_LEVEL = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,6 +90,23 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")).drop("url")
 
 
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that a mix of all sources takes of every document."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
+    return mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and linked pairs of two tokenizers' tokens in every document."""
+    return align_tokens(_documents(spark, sf_dir), BYTE_LEVEL, MODEL)
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first whitened components of every usable vector."""
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    return by_component(whiten(vectors)).drop("embedding")
+
+
 QUERIES = {
     "op1_lm_scoring": op1_lm_scoring,
     "op2_toxicity": op2_toxicity,
@@ -97,6 +118,9 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_url_filters": op10_url_filters,
+    "op11_mixing": op11_mixing,
+    "op12_alignment": op12_alignment,
+    "op13_whitening": op13_whitening,
 }
 
 _BITS4 = "".join(f"{n:04b}" for n in range(16))
@@ -192,4 +216,69 @@ ORACLES = {
         )
         SELECT page_id, host, path, best.r AS rule, coalesce(best.v, 'allow') AS verdict FROM parts LEFT JOIN fitting USING (page_id)
     """,
+    "op11_mixing": r"""
+        WITH units AS (
+            SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, count(*) AS copies
+            FROM documents GROUP BY ALL
+        ), sizes AS (
+            SELECT source, CAST(sum(size * copies) AS BIGINT) AS source_size, sum(copies) AS source_rows FROM units GROUP BY source
+        ), weighed AS (
+            SELECT *, [5, 2, 1][((row_number() OVER (ORDER BY source NULLS LAST)) - 1) % 3 + 1] AS w,
+                   row_number() OVER (ORDER BY source NULLS LAST) - 1 AS source_no FROM sizes
+        ), filled AS (
+            SELECT *, sum(source_size) OVER () AS total, sum(w) OVER () - coalesce(sum(w) OVER f, 0) AS w_left,
+                   150 * (sum(source_size) OVER ()) - 200 * coalesce(sum(source_size) OVER f, 0) AS size_left
+            FROM weighed WINDOW f AS (ORDER BY source_size * (10 // w), source_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+        ), judged AS (
+            SELECT *, 200 * source_size * w_left <= w * size_left AS limited FROM filled
+        ), aimed AS (
+            SELECT *, CASE WHEN limited THEN 2.0 * CAST(source_size AS DOUBLE)
+                ELSE CAST(w * (150 * total - 200 * (sum(CASE WHEN limited THEN source_size ELSE 0 END) OVER ())) AS DOUBLE)
+                     / CAST(100 * (sum(CASE WHEN limited THEN 0 ELSE w END) OVER ()) AS DOUBLE) END AS target FROM judged
+        ), cut AS (
+            SELECT *, coalesce(CAST(greatest(1, least(64, floor(min(CASE WHEN NOT limited THEN target END) OVER () / 1000))) AS BIGINT), 64) AS block FROM aimed
+        ), seated AS (
+            SELECT *, CAST(round(sum(CASE WHEN limited THEN 0 ELSE target END) OVER () / block) AS BIGINT) AS seats FROM cut
+        ), quotients AS (
+            SELECT source_no, seats, w / (2 * k + 1) AS q FROM (SELECT source_no, seats, w, unnest(range(0, CAST(2 * target / block AS BIGINT) + 10)) AS k FROM seated WHERE NOT limited)
+        ), source_quotas AS (
+            SELECT source_no, count(*) AS quota FROM (SELECT *, row_number() OVER (ORDER BY q DESC, source_no) AS r FROM quotients) WHERE r <= seats GROUP BY source_no
+        ), sources AS (
+            SELECT s.*, coalesce(quota, 0) AS quota, CAST(ceil(greatest(source_size / (block * 1024), source_rows / 50000, 1)) AS BIGINT) AS n_shards
+            FROM seated s LEFT JOIN source_quotas USING (source_no)
+        ), pieces AS (
+            SELECT u.doc_id, u.size, s.source_no, s.n_shards, greatest(1, least(block * 1024 // (4 * greatest(u.size, 1)), 12500)) AS held, u.copies,
+                   unnest(range(0, (u.copies - 1) // held + 1)) AS piece
+            FROM units u JOIN sources s ON u.source IS NOT DISTINCT FROM s.source
+        ), dealt AS (
+            SELECT *, least(held, copies - piece * held) AS own, md5('mix|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || piece) AS key FROM pieces
+        ), laid AS (
+            SELECT *, CAST('0x' || substr(key, 1, 12) AS BIGINT) % n_shards AS shard,
+                   coalesce(sum(size * own) OVER (PARTITION BY source_no, shard ORDER BY key, doc_id, size, piece ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+            FROM dealt
+        ), shards AS (
+            SELECT source_no, shard, sum(size * own) AS words FROM laid GROUP BY ALL
+        ), shard_quotients AS (
+            SELECT source_no, shard, quota, words / (2 * k + 1) AS q
+            FROM (SELECT source_no, shard, words, quota, unnest(range(0, CAST(2 * quota * words / greatest(source_size, 1) AS BIGINT) + 10)) AS k FROM shards JOIN sources USING (source_no))
+        ), shard_quotas AS (
+            SELECT source_no, shard, count(*) AS got
+            FROM (SELECT *, row_number() OVER (PARTITION BY source_no ORDER BY q DESC, shard) AS r FROM shard_quotients) WHERE r <= quota GROUP BY ALL
+        ), shared AS (
+            SELECT h.*, s.source_size, s.target, s.block, CAST(ceil(words / block) AS BIGINT) AS blocks,
+                   CASE WHEN limited THEN 2 * blocks ELSE least(coalesce(got, 0), 2 * blocks) END AS take
+            FROM shards h JOIN sources s USING (source_no) LEFT JOIN shard_quotas USING (source_no, shard)
+        ), picked AS (
+            SELECT *, take // blocks + CAST(row_number() OVER (PARTITION BY source_no, shard ORDER BY md5('mix|' || source_no || '|' || shard || '|' || b)) <= take % blocks AS INTEGER) AS times
+            FROM (SELECT *, unnest(range(0, blocks)) AS b FROM shared)
+        ), copied AS (
+            SELECT doc_id, size, source_no, shard, start + c * size AS start FROM (SELECT *, unnest(range(0, own)) AS c FROM laid)
+        ), numbered AS (SELECT *, row_number() OVER () AS n FROM copied),
+        covered AS (
+            SELECT n, sum((least(start + size, (b + 1) * block) - greatest(start, b * block)) * times) AS taken
+            FROM numbered JOIN picked USING (source_no, shard) WHERE b * block < start + size AND (b + 1) * block > start AND size > 0 GROUP BY n
+        )
+        SELECT doc_id, size, source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS taken
+        FROM numbered JOIN sources USING (source_no) LEFT JOIN covered USING (n)
+    """,
 }
