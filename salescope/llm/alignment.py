@@ -37,7 +37,7 @@ HELD_PAIRS = 1_000_000  # that a counting task holds at a time
 # Fixed value: the pieces that byte-level BPE cuts a text into before it merges.
 _PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 # Before a space between other characters neither tokenizer has a token that reaches across.
-_WORD_START = re.compile(r"(?<=[^ ]) (?=[\w!-~])")
+_WORD_START = re.compile(r"(?<=[^ ▁]) (?=[\w!-~])")
 
 
 def byte_of_character() -> dict[str, int]:

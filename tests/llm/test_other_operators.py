@@ -242,6 +242,15 @@ def test_pipeline_of_nulls_and_repeats(spark):
     assert sorted(r["doc_id"] or -1 for r in docs.collect()) == [-1, 1, 2, 3]
 
 
+def test_pipeline_keeps_different_texts_of_one_id(spark):
+    long = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, ""), (1, long), (1, "quite another text of six words"), (2, long), (2, long), (3, long + " end")]
+    frame = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.keep_one_of_similar(spark, frame, "").collect()
+    assert sorted((r["doc_id"], r["text"]) for r in got) == sorted(rows[:3])
+    assert corpus_pipeline.keep_one_of_similar(spark, frame.limit(0), "").count() == 0
+
+
 def test_pipeline_links_from_eighty_per_cent_of_five_words(spark):
     draw = random.Random(5)
     words = [f"w{draw.randrange(10**6)}" for _ in range(3_000)]

@@ -10,7 +10,7 @@ import pytest
 
 from salescope.llm.components import connected_components
 from salescope.llm.contamination import contamination, item_words, phrase_candidates, positional_index, proximity_matches, benchmark_windows
-from salescope.llm.jaccard import Bands, shingle_hashes, shingle_set, signatures, similar_groups
+from salescope.llm.jaccard import Bands, parity, shingle_hashes, shingle_set, signatures, similar_groups, wide_parity
 from salescope.llm.language_model import fit_vectors, score_texts
 from salescope.llm.lines import dedup_lines, levelled_runs, line_hashes
 from salescope.llm.passages import Automaton, remove_repeated
@@ -186,6 +186,17 @@ def test_any_two_linked_sets_share_a_signature():
             assert len(np.intersect1d(signatures(a, bands), signatures(b, bands)))
 
 
+def test_sketches_differ_in_no_more_bits_than_the_sets():
+    rng = np.random.default_rng(1)
+    for size, cut in [(100, 3), (900, 200), (5_000, 900)]:
+        one = rng.integers(0, 2**64, size, np.uint64)
+        two = np.concatenate([one[cut:], rng.integers(0, 2**64, cut // 2, np.uint64)])
+        for sketch in (parity, wide_parity):
+            bits = sum(int(x).bit_count() for x in (sketch(one) ^ sketch(two)).view(np.uint64))
+            assert 0 < bits <= cut + cut // 2
+    assert wide_parity(one[:20]) is None
+
+
 def test_shingle_hashes_count_shingles():
     for text in (b"", b"a", b"a b c", b"a b c d", b"A b c d a b c d e", b"x " * 50):
         assert len(shingle_hashes(text)) == len(shingle_set(text))
@@ -257,21 +268,38 @@ def test_frequent_seeds_are_dealt_by_window(spark, monkeypatch):
     assert sorted((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got.collect()) == brute_passages(docs, 35)
 
 
-def test_automaton_finds_every_stretch():
+@pytest.mark.parametrize("words", [4, 2_000_000])
+def test_automaton_finds_every_stretch(words):
     random.seed(1)
     passages = [np.array([random.randrange(4) for _ in range(random.randint(6, 20))]) for _ in range(5)]
-    find = Automaton(passages, 6)
+    find = Automaton(passages, 6, words)
     windows = {tuple(p[i : i + 6]) for p in passages for i in range(len(p) - 5)}
     for _ in range(50):
-        words = np.array([random.randrange(4) for _ in range(60)])
+        row = np.array([random.randrange(4) for _ in range(60)])
         want = np.zeros(60, bool)
         for i in range(55):
-            if tuple(words[i : i + 6]) in windows:
+            if tuple(row[i : i + 6]) in windows:
                 want[i : i + 6] = True
-        got = find.covered(tuple(words.tolist()))
+        got = find.covered(row)
         assert (np.zeros(60, bool) if got is None else got).tolist() == want.tolist()
 
 
+def test_texts_of_word_numbers_leave_out_surrogates():
+    from salescope.llm.passages import CHARACTERS, as_text
+
+    numbers = np.array([0, 1, 0xD7FF, 0xD800, 0xDFFF, CHARACTERS - 1])
+    assert [ord(c) for c in as_text(numbers)] == [0, 1, 0xD7FF, 0xE000, 0xE7FF, 0x10FFFF]
+
+
+def test_rows_of_one_id_whose_texts_share_a_short_hash(spark):
+    words = F.transform(F.sequence(F.lit(0), F.lit(40)), lambda k: F.concat(F.lit("w"), F.col("id").cast("string"), F.lit("x"), k.cast("string")))
+    texts = spark.range(250_000).select(F.array_join(words, " ").alias("text")).withColumn("h", F.hash("text"))
+    same = texts.groupBy("h").agg(F.collect_list("text").alias("t"), F.count("*").alias("n")).where("n > 1").first()["t"]
+    docs = [(7, same[0]), (7, same[1]), (8, same[0] + " end")]
+    got = remove_repeated(spark.createDataFrame(docs, DOCS)).collect()
+    assert sorted((r["doc_id"], r["n_removed"]) for r in got) == [(7, 0), (7, 41), (8, 41)]
+
+
 # -- language model
 
 def test_scores_against_plain_counts(spark):
