@@ -32,6 +32,7 @@ from salescope.llm.components import connected_components
 
 SHINGLE, SHARE = 4, 85  # words of a shingle; per cent
 BAND = 1.25  # sizes in a band differ by this factor at most
+WIDE, WIDE_FROM = 2_048, 96  # bits of the wide sketch, and shingles from which a set has one
 SEEN = 200_000  # sets that a task remembers so as not to index equal ones again
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
@@ -77,6 +78,14 @@ def parity(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(bits.astype(np.uint8)).view("<i8")
 
 
+def wide_parity(hashes: np.ndarray) -> np.ndarray | None:
+    """``WIDE`` further parities as longs, for sets that 256 cannot tell apart; None for smaller ones."""
+    if len(hashes) < WIDE_FROM:
+        return None
+    bits = np.bincount((_mixed(hashes ^ _M2) % np.uint64(WIDE)).astype(np.int64), minlength=WIDE) & 1
+    return np.packbits(bits.astype(np.uint8)).view("<i8")
+
+
 class Bands:
     """Size bands with their numbers of segments, and of segments that allow a deletion."""
 
@@ -133,22 +142,23 @@ def signatures(hashes: np.ndarray, bands: Bands) -> np.ndarray:
     return np.unique(np.concatenate(out)) if out else np.empty(0, np.uint64)
 
 
-_PRINTS = "doc_id long, n_shingles long, digest binary, p0 long, p1 long, p2 long, p3 long"
+_PRINTS = "doc_id long, n_shingles long, digest binary, p0 long, p1 long, p2 long, p3 long, wide array<long>"
 
 
 def _prints(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, digests, parities = [], [], []
+            sizes, digests, parities, wide = [], [], [], []
             for text in batch.column(1).to_pylist():
                 hashes = shingle_hashes(text, shingle)
                 sizes.append(len(hashes))
                 digests.append(set_digest(hashes) if len(hashes) else None)
                 parities.append(parity(hashes))
+                wide.append(wide_parity(hashes))
             bits = np.array(parities, dtype=np.int64).reshape(-1, 4)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), *(pa.array(np.ascontiguousarray(bits[:, i])) for i in range(4))],
-                names=["doc_id", "n_shingles", "digest", "p0", "p1", "p2", "p3"],
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), *(pa.array(np.ascontiguousarray(bits[:, i])) for i in range(4)), pa.array(wide, pa.list_(pa.int64()))],
+                names=["doc_id", "n_shingles", "digest", "p0", "p1", "p2", "p3", "wide"],
             )
 
     return run
@@ -206,7 +216,10 @@ def _can_link(share: int, one: str = "a", two: str = "b") -> Column:
     """Neither sizes nor parities rule the pair out."""
     a, b = F.col(f"{one}_n"), F.col(f"{two}_n")
     apart = sum(F.bit_count(F.col(f"{one}_p{i}").bitwiseXOR(F.col(f"{two}_p{i}"))) for i in range(4))
-    return (100 * F.least(a, b) >= share * F.greatest(a, b)) & ((100 + share) * apart <= (100 - share) * (a + b))
+    bits = F.zip_with(f"{one}_w", f"{two}_w", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    further = F.coalesce(F.aggregate(bits, F.lit(0), lambda total, n: total + n), F.lit(0))  # a set without a wide sketch fits all
+    within = lambda least: (100 + share) * least <= (100 - share) * (a + b)
+    return (100 * F.least(a, b) >= share * F.greatest(a, b)) & within(apart) & within(further)
 
 
 def _verified(shingle: int, share: int):
@@ -255,7 +268,7 @@ def _links(docs: DataFrame, pairs: DataFrame, classes: DataFrame, shingle: int,
 
 
 def _with_sketch(pairs: DataFrame, classes: DataFrame, name: str) -> DataFrame:
-    columns = {"rep": name, "n_shingles": f"{name}_n", **{f"p{i}": f"{name}_p{i}" for i in range(4)}}
+    columns = {"rep": name, "n_shingles": f"{name}_n", "wide": f"{name}_w", **{f"p{i}": f"{name}_p{i}" for i in range(4)}}
     return pairs.join(classes.select(*[F.col(k).alias(v) for k, v in columns.items()]), name)
 
 
@@ -272,7 +285,7 @@ def similar_groups(docs: DataFrame, shingle: int = SHINGLE, share: int = SHARE)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     prints = stored(map_batches(texts, _prints(shingle), _PRINTS), "prints")
     named = prints.where("digest IS NOT NULL AND doc_id IS NOT NULL")
-    sketch = [F.first(c).alias(c) for c in ("n_shingles", "p0", "p1", "p2", "p3")]
+    sketch = [F.first(c).alias(c) for c in ("n_shingles", "p0", "p1", "p2", "p3", "wide")]
     classes = stored(named.groupBy("digest").agg(F.min("doc_id").alias("rep"), *sketch), "classes")
     member = stored(named.select("doc_id", "digest").distinct().join(classes.select("digest", "rep"), "digest").select("doc_id", "rep"), "members")
 
