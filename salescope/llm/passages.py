@@ -6,8 +6,8 @@
    comes back is which windows recur, once for each text that holds them.
 3. Location: the stretches of recurring windows of a shard of documents are its recurring passages. Their
    words, cut into blocks of which every window holds at least one, are compiled into an automaton; all
-   texts of the shard stream through it, and each match is extended word by word, so that
-   what is removed was found equal as words, not as hashes.
+   texts of the shard stream through it, and each match is extended word by word. That a window recurs in another shard
+   rests on the hash of its seed (64 bits) and its own (48 bits).
 """
 
 from __future__ import annotations
@@ -20,13 +20,14 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from salescope.llm.common import map_batches, stored
 
 WINDOW, SEED = 35, 14
 SHARD_BYTES = 8 << 20  # text that shares an automaton
+CHARACTERS = 0x110000 - 0x800  # distinct words that characters can stand for
 HOT_SHARE, HOT_LEAST = 100_000, 10_000  # seeds above this fraction of all rows are dealt by window
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
@@ -66,15 +67,18 @@ def seed_places(words: np.ndarray, size: int = WINDOW, seed: int = SEED) -> tupl
 
 
 def _rows(docs: DataFrame) -> DataFrame:
-    """(doc, tag, text): the tag tells rows apart that repeat a doc_id with another text."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc"), F.hash(text).alias("tag"), text.cast("binary").alias("text")
-    )
+    """(doc, tag, text): two 64-bit hashes name a row by its doc_id and text, also where ids are null or repeated."""
+    doc, tag = _name(docs)
+    return docs.select(doc.alias("doc"), tag.alias("tag"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
+
+
+def _name(docs: DataFrame) -> tuple[Column, Column]:
+    text, key = F.coalesce(F.col("text"), F.lit("")), F.coalesce(F.col("doc_id").cast("string"), F.lit(" "))
+    return F.xxhash64(text, key), F.xxhash64(F.lit(1), key, text)
 
 
 def _seeds(size: int, seed: int):
-    schema = pa.schema([("seed", pa.int64()), ("doc", pa.int64()), ("tag", pa.int32()), ("twice", pa.bool_())])
+    schema = pa.schema([("seed", pa.int64()), ("doc", pa.int64()), ("tag", pa.int64()), ("twice", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -123,12 +127,12 @@ def _recurring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield held.filter(pa.array([carried])).select(["seed", "doc", "tag"])
 
 
-_WINDOWS = "seed long, part long, windows binary, doc long, tag int, start int, twice boolean"
+_WINDOWS = "seed long, part long, windows binary, doc long, tag long, start int, twice boolean"
 
 
 def _windows(size: int, seed: int, hot: frozenset[int]):
     schema = pa.schema(
-        [("seed", pa.int64()), ("part", pa.int64()), ("windows", pa.binary()), ("doc", pa.int64()), ("tag", pa.int32()), ("start", pa.int32()), ("twice", pa.bool_())]
+        [("seed", pa.int64()), ("part", pa.int64()), ("windows", pa.binary()), ("doc", pa.int64()), ("tag", pa.int64()), ("start", pa.int32()), ("twice", pa.bool_())]
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,7 +179,7 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     A seed's rows are held, those with the same windows only once; seeds with very many rows come dealt by window.
     """
-    schema = pa.schema([("doc", pa.int64()), ("tag", pa.int32()), ("start", pa.int32()), ("bits", pa.int32())])
+    schema = pa.schema([("doc", pa.int64()), ("tag", pa.int64()), ("start", pa.int32()), ("bits", pa.int32())])
     out: dict[str, list] = {n: [] for n in schema.names}
 
     def put(row: tuple, bits: int) -> None:
@@ -225,17 +229,29 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield flush()
 
 
+def as_text(numbers: np.ndarray) -> str:
+    """Numbers of words as the characters of a text, the surrogates left out."""
+    return (numbers + 0x800 * (numbers >= 0xD800)).astype("<u4").tobytes().decode("utf-32-le")
+
+
 class Automaton:
-    """Passages as sequences of word numbers, found by blocks of which each window holds at least one."""
+    """Passages as sequences of word numbers, found by blocks of which each window holds at least one.
+
+    The automaton runs over a text with one character for each word; only where a shard has more distinct words than there
+    are characters does it run over tuples of numbers.
+    """
 
-    def __init__(self, passages: list[np.ndarray], size: int):
+    def __init__(self, passages: list[np.ndarray], size: int, words: int = 0):
         self.size, self.block = size, (size + 1) // 2
         self.passages = passages
-        self.places: dict[tuple, list[tuple[int, int]]] = {}
-        self.find = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+        self.as_text = words <= CHARACTERS
+        self.places: dict[str | tuple, list[tuple[int, int]]] = {}
+        kind = ahocorasick.KEY_STRING if self.as_text else ahocorasick.KEY_SEQUENCE
+        self.find = ahocorasick.Automaton(ahocorasick.STORE_ANY, kind)
         for number, passage in enumerate(passages):
+            whole = self._keys(passage)
             for at in range(0, len(passage) - self.block + 1, self.block):
-                key = tuple(passage[at : at + self.block].tolist())
+                key = whole[at : at + self.block]
                 if key in self.places:
                     self.places[key].append((number, at))
                 else:
@@ -244,15 +260,18 @@ class Automaton:
         if passages:
             self.find.make_automaton()
 
-    def covered(self, numbers: tuple[int, ...]) -> np.ndarray | None:
+    def _keys(self, words: np.ndarray) -> str | tuple[int, ...]:
+        return as_text(words) if self.as_text else tuple(words.tolist())
+
+    def covered(self, words: np.ndarray) -> np.ndarray | None:
         """Which words lie in a stretch of at least ``size`` words that a passage has too; None if no block is found."""
-        if not self.passages or len(numbers) < self.size:
+        if not self.passages or len(words) < self.size:
             return None
-        words = out = None
+        out = None
         tried: set[tuple[int, int]] = set()
-        for end, found in self.find.iter(numbers):
-            if words is None:
-                words, out = np.array(numbers, np.int64), np.zeros(len(numbers), bool)
+        for end, found in self.find.iter(self._keys(words)):
+            if out is None:
+                out = np.zeros(len(words), bool)
             for number, at in found:
                 offset = end - self.block + 1 - at
                 if (number, offset) in tried:
@@ -305,11 +324,11 @@ def _removed(size: int, with_text: bool):
         texts, rows, passages = [], [], []
         for text, found in zip(batch.column("_text").to_pylist(), batch.column("_found").to_pylist()):
             words = text.split()
-            row = tuple(map(numbers.__getitem__, words))
+            row = np.fromiter(map(numbers.__getitem__, words), np.int64, len(words))
             texts.append(words)
             rows.append(row)
             if found:
-                own, fresh = np.array(row, np.int64), []
+                own, fresh = row, []
                 starts = {f["start"] + i for f in found for i in range(f["bits"].bit_length()) if f["bits"] >> i & 1}
                 for start in sorted(starts):
                     window = xxhash.xxh3_128_digest(own[start : start + size].tobytes())
@@ -317,7 +336,7 @@ def _removed(size: int, with_text: bool):
                         seen.add(window)
                         fresh.append(start)
                 passages += passages_of(own, np.array(fresh, np.int64), size)
-        automaton = Automaton(passages, size)
+        automaton = Automaton(passages, size, len(numbers))
         counts, removed, hashes, kept_texts = [], [], [], []
         for words, row in zip(texts, rows):
             gone = automaton.covered(row)
@@ -350,9 +369,9 @@ def remove_repeated(docs: DataFrame, size: int = WINDOW, seed: int = SEED, with_
         raise ValueError("a seed must be shorter than the window, by 29 words at most")
     docs = docs.drop("n_words", "n_removed", "kept_sha256", "_doc", "_tag", "_text", "_found")
     rows = _rows(docs)
-    seeds = map_batches(rows, _seeds(size, seed), "seed long, doc long, tag int, twice boolean")
+    seeds = map_batches(rows, _seeds(size, seed), "seed long, doc long, tag long, twice boolean")
     recurring = stored(
-        map_batches(seeds.repartition("seed").sortWithinPartitions("seed"), _recurring, "seed long, doc long, tag int"), "recurring-seeds"
+        map_batches(seeds.repartition("seed").sortWithinPartitions("seed"), _recurring, "seed long, doc long, tag long"), "recurring-seeds"
     )
     total = recurring.count()
     # at most HOT_SHARE seeds can be as frequent as this
@@ -361,10 +380,11 @@ def remove_repeated(docs: DataFrame, size: int = WINDOW, seed: int = SEED, with_
     per_text = recurring.groupBy("doc", "tag").agg(F.collect_set("seed").alias("seeds"))
     windows = map_batches(rows.join(per_text, ["doc", "tag"]), _windows(size, seed, hot), _WINDOWS)
     dealt = windows.repartition("seed", "part").sortWithinPartitions("seed", "part", "windows")
-    found = map_batches(dealt, _confirmed, "doc long, tag int, start int, bits int")
+    found = map_batches(dealt, _confirmed, "doc long, tag long, start int, bits int")
     per_doc = found.groupBy(F.col("doc").alias("_doc"), F.col("tag").alias("_tag")).agg(F.collect_list(F.struct("start", "bits")).alias("_found"))
     text = F.coalesce(F.col("text"), F.lit(""))
-    keyed = docs.withColumns({"_key": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), "_mark": F.hash(text), "_text": text.cast("binary")})
+    doc, tag = _name(docs)
+    keyed = docs.withColumns({"_key": doc, "_mark": tag, "_text": F.coalesce(F.col("text"), F.lit("")).cast("binary")})
     joined = keyed.join(per_doc, (F.col("_key") == F.col("_doc")) & (F.col("_mark") == F.col("_tag")), "left").drop("_key", "_mark", "_doc", "_tag")
     joined = joined.drop("text")
     added = [StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("kept_sha256", StringType())]
