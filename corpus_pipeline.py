@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from salescope.llm.common import unused
 from salescope.llm.contamination import contamination
 from salescope.llm.jaccard import similar_groups
 from salescope.llm.lines import dedup_lines
@@ -32,13 +33,19 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def keep_one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest doc_id of every group of similar documents; of rows that repeat it the one with the least text.
+    """Of every group of similar documents the one with the smallest doc_id.
 
-    Documents are similar from 80 per cent of their five-word shingles on, not by op6's own measure. Documents without words and rows with a null doc_id are in no group and stay.
+    Documents are similar from 80 per cent of their five-word shingles on, not by op6's own measure. Every row is a
+    document of its own, also where an id is repeated: it goes only if it resembles one that stays. Rows are named by a
+    64-bit hash of doc_id and text; of rows equal in both one stays. Texts without words and rows with a null
+    doc_id are in no group and stay.
     """
-    kept = similar_groups(docs, shingle=5, share=80).where("doc_id = component_id").select("doc_id").distinct()
-    first = Window.partitionBy("doc_id").orderBy("text")
-    chosen = docs.join(kept, "doc_id", "left_semi").withColumn("_row", F.row_number().over(first)).where("_row = 1")
+    row, group, least = unused(docs, "row", "id_", "least")
+    named = docs.where("doc_id IS NOT NULL").withColumn(row, F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
+    groups = similar_groups(named.select(F.col(row).alias("doc_id"), "text"), shingle=5, share=80)
+    placed = groups.select(F.col("doc_id").alias(row), F.col("component_id").alias(group)).distinct()
+    stays = named.select("doc_id", row).join(placed, row).groupBy(group).agg(F.min(F.struct("doc_id", row)).alias(least))
+    chosen = named.join(stays.select(F.col(f"{least}.{row}").alias(row)), row, "left_semi").dropDuplicates([row])
     return chosen.select(COLUMNS).unionByName(docs.where("doc_id IS NULL").select(COLUMNS))
 
 
