@@ -322,20 +322,28 @@ def _removed(size: int, with_text: bool):
         numbers = _Numbers()
         seen: set[bytes] = set()  # windows that a passage holds already
         texts, rows, passages = [], [], []
-        for text, found in zip(batch.column("_text").to_pylist(), batch.column("_found").to_pylist()):
+        found = batch.column("_found")
+        edges = np.concatenate([[0], np.cumsum(pa.compute.fill_null(pa.compute.list_value_length(found), 0).to_numpy())])
+        places = found.flatten()
+        begins, bits = (places.field(n).to_numpy(zero_copy_only=False).astype(np.int64) for n in ("start", "bits"))
+        for at, text in enumerate(batch.column("_text").to_pylist()):
             words = text.split()
             row = np.fromiter(map(numbers.__getitem__, words), np.int64, len(words))
             texts.append(words)
             rows.append(row)
-            if found:
-                own, fresh = row, []
-                starts = {f["start"] + i for f in found for i in range(f["bits"].bit_length()) if f["bits"] >> i & 1}
-                for start in sorted(starts):
-                    window = xxhash.xxh3_128_digest(own[start : start + size].tobytes())
+            if edges[at] < edges[at + 1]:
+                own = slice(edges[at], edges[at + 1])
+                which, shift = np.nonzero(bits[own, None] >> np.arange(32) & 1)
+                starts = np.unique(begins[own][which] + shift)
+                mixed = _mixed(row.astype(np.uint64) + _C)
+                keys = np.stack([_runs(mixed, size)[starts], _runs(_mixed(mixed ^ _B), size)[starts]], axis=1).tobytes()
+                fresh = []
+                for n, start in enumerate(starts.tolist()):
+                    window = keys[16 * n : 16 * n + 16]
                     if window not in seen:
                         seen.add(window)
                         fresh.append(start)
-                passages += passages_of(own, np.array(fresh, np.int64), size)
+                passages += passages_of(row, np.array(fresh, np.int64), size)
         automaton = Automaton(passages, size, len(numbers))
         counts, removed, hashes, kept_texts = [], [], [], []
         for words, row in zip(texts, rows):
