@@ -1,13 +1,13 @@
 """Monthly forecasts, one row per series and step.
 
 Series come as ``keys..., month, revenue`` with one row per month. Simple methods
-are column expressions; only model fits run in grouped pandas functions, on
-frames already reduced to months.
+are column expressions; only model fits run in Python, on one row per series and all
+series of a batch at once.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from statistics import NormalDist
 
 import numpy as np
@@ -20,7 +20,7 @@ from salescope.functions.fixed_values import MIN_MONTHS_FORECAST, MIN_MONTHS_PRO
 from salescope.functions.lookups import single_value
 from salescope.functions.numbers import floor_double, plain_number
 from salescope.functions.text import display_name
-from salescope.operators.models import arima_forecast, holt_winters_forecast
+from salescope.operators.models import arima_forecasts, holt_winters_forecasts
 from salescope.operators.timeseries import fill_months, filled_months, series_window, sparse_months
 from salescope.session import materialise, ship
 
@@ -61,53 +61,52 @@ def insufficient(series: DataFrame, keys: Sequence[str] = ("series",)) -> DataFr
     return short.select(*keys, "months_available", F.lit("insufficient_data").alias("status"))
 
 
+def _as_rows(series: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One row per series: its last month and its values in order; a series has one value per month."""
+    months = F.array_sort(F.collect_list(F.struct("month", F.col("revenue").cast("double").alias("revenue"))))
+    listed = series.groupBy(*keys).agg(months.alias("_months"))
+    return listed.select(*keys, F.element_at("_months", -1)["month"].alias("_last"), F.col("_months.revenue").alias("_values"))
+
+
 def _fit(series: DataFrame, keys: Sequence[str], steps: int, methods: Sequence[str], level: float) -> DataFrame:
-    """Unfloored model forecasts per series: ``keys, method, step, month, forecast, lower, upper``."""
+    """Unfloored model forecasts per series: ``keys, method, step, month, forecast, lower, upper``.
+
+    All series of a batch are fitted together.
+    """
     keys = list(keys)
     z = NormalDist().inv_cdf(0.5 + level / 2)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("month")
-        values = pdf["revenue"].to_numpy(dtype=float)
-        months = pd.date_range(pdf["month"].iloc[-1], periods=steps + 1, freq="MS")[1:]
-        out = []
-        for method in methods:
-            label, error = method, np.full(steps, np.nan)
-            try:
-                if method == HOLT_WINTERS:
-                    if len(values) < MIN_MONTHS_SEASONAL:
-                        continue
-                    path = holt_winters_forecast(values, steps)
-                else:
-                    path, error = arima_forecast(values, steps, differenced=True)
-                if not np.isfinite(path).all():
-                    raise FloatingPointError("model gave no finite forecast")
-            except (FloatingPointError, ValueError, np.linalg.LinAlgError):
-                if method == HOLT_WINTERS:
-                    continue
-                label, path = FALLBACK, np.full(steps, values[-3:].mean())
-            out.append(
-                pd.DataFrame(
-                    {
-                        **{k: pdf[k].iloc[0] for k in keys},
-                        "method": label,
-                        "step": np.arange(1, steps + 1),
-                        "month": months.date,
-                        "forecast": path,
-                        "lower": path - z * error,
-                        "upper": path + z * error,
-                    }
-                )
-            )
-        columns = [*keys, "method", "step", "month", "forecast", "lower", "upper"]
-        return pd.concat(out)[columns] if out else pd.DataFrame(columns=columns)
+    columns = [*keys, "_last", "method", "step", "forecast", "lower", "upper"]
+
+    def of(pdf: pd.DataFrame, method: str) -> pd.DataFrame:
+        values = [np.asarray(v, dtype=float) for v in pdf["_values"]]
+        if method == HOLT_WINTERS:
+            path = holt_winters_forecasts(values, steps)
+            error = np.full(path.shape, np.nan)
+        else:
+            path, error = arima_forecasts(values, steps, differenced=True)
+        failed = ~np.isfinite(path).all(axis=1)
+        label = np.where(failed, FALLBACK, method)
+        means = np.array([v[-3:].mean() for v in values])
+        path, error = np.where(failed[:, None], means[:, None], path), np.where(failed[:, None], np.nan, error)
+        out = pdf[[*keys, "_last"]].loc[pdf.index.repeat(steps)].reset_index(drop=True)
+        out["method"], out["step"] = np.repeat(label, steps), np.tile(np.arange(1, steps + 1), len(pdf))
+        out["forecast"], out["lower"], out["upper"] = path.ravel(), (path - z * error).ravel(), (path + z * error).ravel()
+        return out[out["method"] != FALLBACK] if method == HOLT_WINTERS else out
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for method in methods:
+                fitting = pdf if method != HOLT_WINTERS else pdf[pdf["_values"].map(len) >= MIN_MONTHS_SEASONAL]
+                if len(fitting):
+                    yield of(fitting.reset_index(drop=True), method)[columns]
 
     key_types = ", ".join(f"`{k}` {series.schema[k].dataType.simpleString()}" for k in keys)
-    schema = f"{key_types}, method string, step int, month date, forecast double, lower double, upper double"
-    ready = _long_enough(series, keys, MIN_MONTHS_FORECAST)
+    schema = f"{key_types}, _last date, method string, step int, forecast double, lower double, upper double"
+    ready = _as_rows(_long_enough(series, keys, MIN_MONTHS_FORECAST), keys)
     ship(series.sparkSession)
-    fitted = ready.select(*keys, "month", F.col("revenue").cast("double")).groupBy(*keys).applyInPandas(run, schema)
-    return fitted.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("lower", "upper")})
+    bounds = {c: F.when(~F.isnan(c), F.col(c)) for c in ("lower", "upper")}
+    fitted = ready.mapInPandas(run, schema).withColumns({"month": F.add_months("_last", F.col("step")), **bounds})
+    return fitted.select(*keys, "method", "step", "month", "forecast", "lower", "upper")
 
 
 def revenue_forecast(series: DataFrame, steps: int = 3, keys: Sequence[str] = ("series",)) -> DataFrame:
@@ -130,7 +129,7 @@ def forecast_with_bounds(
 def explained_forecast(
     series: DataFrame, steps: int = 3, period: str | None = None, keys: Sequence[str] = ("series",)
 ) -> DataFrame:
-    """Direction, mean monthly change and a sentence per series."""
+    """Direction, mean monthly change and a sentence per series, from all ``steps`` against the last three months."""
     months = F.col("_m")
     history = series.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("month", "revenue"))).alias("_m")).select(
         *keys,
@@ -140,7 +139,7 @@ def explained_forecast(
         ).alias("_sum3"),
     )
     ahead = revenue_forecast(series, steps, keys).groupBy(*keys).agg(
-        F.avg(F.when(F.col("step") <= 3, F.col("forecast"))).alias("_ahead"),
+        F.avg("forecast").alias("_ahead"),
         F.min_by("forecast", "step").alias("_next"),
         F.first("method").alias("method"),
     )
@@ -156,7 +155,7 @@ def explained_forecast(
     joined = joined.withColumns(
         {
             "trend_direction": F.when(F.col("_ahead") > recent, "increasing").otherwise("decreasing"),
-            "avg_monthly_change": F.when(recent > 0, F.abs(F.col("_ahead") - recent) / 3).otherwise(0.0),
+            "avg_monthly_change": F.when(recent > 0, F.abs(F.col("_ahead") - recent) / steps).otherwise(0.0),
         }
     )
     suffix = F.lit(f" for {period}" if period else "")
@@ -267,27 +266,24 @@ def _simple_product_forecasts(tagged: DataFrame, steps: int) -> DataFrame:
 
 
 def _modelled_product_forecasts(tagged: DataFrame, steps: int) -> DataFrame:
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        values = pdf.sort_values("month")["revenue"].to_numpy(dtype=float)
-        method = _ARIMA101
-        try:
-            path, _ = arima_forecast(values, steps, differenced=False)
-            if not np.isfinite(path).all():
-                raise FloatingPointError("model gave no finite forecast")
-        except (FloatingPointError, ValueError):
-            method, path = _AVERAGE, np.full(steps, values.mean())
-        return pd.DataFrame(
-            {
-                "product": pdf["product"].iloc[0], "method": method, "months_available": len(values),
-                "step": np.arange(1, steps + 1), "_value": path,
-            }
-        )
-
-    ready = tagged.where(F.col("method") == _ARIMA101).select("product", "month", "revenue")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            values = [np.asarray(v, dtype=float) for v in pdf["_values"]]
+            if not values:
+                continue
+            path, _ = arima_forecasts(values, steps, differenced=False)
+            failed = ~np.isfinite(path).all(axis=1)
+            means = np.array([v.mean() for v in values])
+            out = pdf[["product"]].loc[pdf.index.repeat(steps)].reset_index(drop=True)
+            out["method"] = np.repeat(np.where(failed, _AVERAGE, _ARIMA101), steps)
+            out["months_available"] = np.repeat([len(v) for v in values], steps)
+            out["step"] = np.tile(np.arange(1, steps + 1), len(values))
+            out["_value"] = np.where(failed[:, None], means[:, None], path).ravel()
+            yield out
+
+    ready = _as_rows(tagged.where(F.col("method") == _ARIMA101).select("product", "month", "revenue"), ["product"])
     ship(tagged.sparkSession)
-    return ready.groupBy("product").applyInPandas(
-        run, "product string, method string, months_available long, step int, _value double"
-    )
+    return ready.mapInPandas(run, "product string, method string, months_available long, step int, _value double")
 
 
 def product_forecasts(

@@ -151,3 +151,61 @@ for _n in (3, 6):
 WITH m AS (SELECT max(o_orderdate)::DATE AS d FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey)
 SELECT {_label} AS period, CAST(i AS INTEGER) AS step, strftime(d + INTERVAL 1 MONTH * i, '%B %Y') AS month_name FROM m, range(1, {_n + 1}) r(i)""",
     )
+
+
+# --- series with a closed form: what a model must give is known exactly
+
+
+def _formed(spark, sf_dir, value):
+    """One series per brand over its months; ``value`` makes a month's revenue of the brand's lines and the month's place.
+
+    Half a unit is added, so that flooring a forecast does not depend on the last bit.
+    """
+    lines = sales(spark, sf_dir, ["date", "brand"]).where("date IS NOT NULL AND brand IS NOT NULL")
+    month = F.trunc("date", "month")
+    spans = lines.groupBy(F.col("brand").alias("series")).agg(F.min(month).alias("a"), F.max(month).alias("b"), F.count("*").alias("n"))
+    listed = spans.select("series", "n", F.posexplode(F.sequence("a", "b", F.expr("INTERVAL 1 MONTH"))).alias("i", "month"))
+    return listed.select("series", F.col("month").cast("date").alias("month"), (value + 0.5).cast("double").alias("revenue"))
+
+
+_CONSTANT, _LINEAR, _SEASONAL = F.col("n"), F.col("n") + 3 * F.col("i"), F.col("n") + 10 * F.month("month")
+
+_FORMED_SQL = """
+, spans AS (SELECT brand AS series, date_trunc('month', min(date))::DATE AS a, date_trunc('month', max(date))::DATE AS b, count(*) AS n
+            FROM sales WHERE date IS NOT NULL AND brand IS NOT NULL GROUP BY 1)
+, ends AS (SELECT *, date_diff('month', a, b) + 1 AS len FROM spans)
+, ahead AS (SELECT *, CAST(i AS INTEGER) AS step, CAST(b + INTERVAL 1 MONTH * i AS DATE) AS month FROM ends, range(1, 4) r(i) WHERE len >= 12)
+"""
+
+
+def _bounded_sql(value: str) -> str:
+    return _FORMED_SQL + f"""
+SELECT series, step, month, CAST({value} AS DOUBLE) AS forecast, CAST({value} AS DOUBLE) AS lower, CAST({value} AS DOUBLE) AS upper,
+       CAST(0.95 AS DOUBLE) AS level, 'ARIMA (1,1,1)' AS method FROM ahead"""
+
+
+_add("forecast_constant_series", lambda s, d: forecast.forecast_with_bounds(_formed(s, d, _CONSTANT)), over_sales(_bounded_sql("n")))
+_add("forecast_linear_series", lambda s, d: forecast.forecast_with_bounds(_formed(s, d, _LINEAR)), over_sales(_bounded_sql("n + 3 * (len - 1 + i)")))
+_add(
+    "forecast_seasonal_series",
+    lambda s, d: forecast.ensemble_forecast(_formed(s, d, _SEASONAL)).where("holt_winters IS NOT NULL").select("series", "step", "month", "holt_winters"),
+    over_sales(_FORMED_SQL + "SELECT series, step, month, CAST(n + 10 * month(month) AS DOUBLE) AS holt_winters FROM ahead WHERE len >= 24"),
+)
+_add(
+    "forecast_explained_linear_series",
+    lambda s, d: forecast.explained_forecast(_formed(s, d, _LINEAR), steps=6).drop("explanation"),
+    over_sales(_FORMED_SQL + """
+SELECT series, 'increasing' AS trend_direction, (n + 3 * (len - 1) + 10.5 - (n + 3 * (len - 2) + 0.5)) / 6 AS avg_monthly_change,
+       n + 3 * (len - 1) + CAST(0.5 AS DOUBLE) AS latest_revenue, 'ARIMA (1,1,1)' AS method FROM ends WHERE len >= 12"""),
+)
+_add(
+    "forecast_steady_products",
+    # The model branch: at least six months, none of them empty.
+    lambda s, d: forecast.product_forecasts(_formed(s, d, _CONSTANT).select(F.col("series").alias("product"), F.col("month").alias("date"), "revenue")).where(
+        "method = 'ARIMA (1,0,1)'"
+    ),
+    over_sales(_FORMED_SQL + """
+, latest AS (SELECT max(b) AS lm FROM ends)
+SELECT series AS product, CAST(i AS INTEGER) AS step, strftime(lm + INTERVAL 1 MONTH * i, '%B %Y') AS month_name, CAST(n AS DOUBLE) AS forecast,
+       floor(3 * (n + 0.5)) AS forecast_sum, 'ARIMA (1,0,1)' AS method, len AS months_available FROM ends, latest, range(1, 4) r(i) WHERE len >= 6"""),
+)

@@ -22,6 +22,9 @@ ENGINE_CONF = {
 }
 
 
+_LOCAL_FOLDERS: dict[str, str] = {}
+
+
 def local_session(cores: int | str = "*", app: str = "salescope", **conf: str) -> SparkSession:
     """A single-machine session for tests and benchmarks."""
     builder = SparkSession.builder.master(f"local[{cores}]").appName(app)
@@ -69,9 +72,10 @@ def shared_folder(spark: SparkSession) -> str:
         return root.rstrip("/")
     if not spark.conf.get("spark.master", "").startswith("local"):
         raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
-    root = tempfile.mkdtemp(prefix="salescope-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    application = spark.sparkContext.applicationId  # the setting is static, so the folder is remembered here
+    if application not in _LOCAL_FOLDERS:
+        _LOCAL_FOLDERS[application] = tempfile.mkdtemp(prefix="salescope-")
+    return _LOCAL_FOLDERS[application]
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:

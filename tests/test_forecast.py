@@ -4,7 +4,9 @@ import numpy as np
 import pytest
 
 from salescope.operators import forecast
-from salescope.operators.models import _fit_arma, arima_forecast, holt_winters_forecast
+from salescope.operators.models import (
+    _fit_arma, _padded, _smoothing, arima_forecast, arima_forecasts, arma_likelihood, fit_arma, holt_winters_forecast, holt_winters_forecasts,
+)
 
 
 def months(n, start=2020):
@@ -118,3 +120,84 @@ def test_queries_of_all_methods_hold_fitted_products(sales_of, monkeypatch):
     assert 291 <= totals["steady"] <= 309
     checked = forecast_queries.QUERIES["forecast_chart_series"](sales.sparkSession, "").collect()
     assert len(checked) == 2  # the part that SQL follows
+
+
+def many_series(count, longest=72, seed=1):
+    rng = np.random.default_rng(seed)
+    out = []
+    for _ in range(count):
+        n = int(rng.integers(12, longest))
+        noise, (phi, theta), w = rng.normal(size=n + 1), rng.uniform(-0.9, 0.9, 2), np.zeros(n + 1)
+        for t in range(1, n + 1):
+            w[t] = phi * w[t - 1] + noise[t] + theta * noise[t - 1]
+        out.append(w[1:] + 3 * rng.normal())
+    return out
+
+
+def test_gradients_are_those_of_the_likelihood_and_the_error():
+    values, lengths = _padded(many_series(50))
+    phi, theta = np.random.default_rng(2).uniform(-0.8, 0.8, (2, 50))
+    h = 1e-6
+    for with_mean in (False, True):
+        slope = arma_likelihood(values, lengths, phi, theta, with_mean)[1]
+        for k, (a, b) in enumerate([(h, 0), (0, h)]):
+            near = [arma_likelihood(values, lengths, phi + s * a, theta + s * b, with_mean, gradient=False)[0] for s in (1, -1)]
+            assert (near[0] - near[1]) / (2 * h) == pytest.approx(slope[k], rel=1e-4, abs=1e-4)
+    values, lengths = _padded(many_series(20, 40, 3)[:20])
+    values = np.vstack([values, values])[:40]
+    lengths = np.maximum(lengths, 24)
+    weights = np.random.default_rng(4).uniform(0.1, 0.9, (3, values.shape[1]))
+    slope = _smoothing(values, lengths, weights, 12)[1]
+    for k in range(3):
+        move = h * np.eye(3)[k][:, None]
+        near = [_smoothing(values, lengths, weights + s * move, 12)[0] for s in (1, -1)]
+        assert (near[0] - near[1]) / (2 * h) == pytest.approx(slope[k], rel=1e-4, abs=1e-4)
+
+
+def dense_likelihood(series, phi, theta, mean, variance):
+    """-2 log-likelihood of a normal vector with the autocovariances of an ARMA(1,1)."""
+    n = len(series)
+    first = (1 + 2 * phi * theta + theta**2) / (1 - phi**2)
+    second = (1 + phi * theta) * (phi + theta) / (1 - phi**2)
+    lag = np.abs(np.subtract.outer(np.arange(n), np.arange(n)))
+    covariance = variance * np.where(lag == 0, first, second * phi ** np.maximum(lag - 1, 0))
+    error = series - mean
+    return n * np.log(2 * np.pi) + np.linalg.slogdet(covariance)[1] + error @ np.linalg.solve(covariance, error)
+
+
+def test_bulk_likelihood_is_that_of_each_series_alone():
+    series = many_series(1_000)
+    values, lengths = _padded(series)
+    phi, theta = np.random.default_rng(5).uniform(-0.9, 0.9, (2, len(series)))
+    cost, _, mean, variance, _ = arma_likelihood(values, lengths, phi, theta, True)
+    alone = [dense_likelihood(s, p, q, m, v) for s, p, q, m, v in zip(series, phi, theta, mean, variance)]
+    assert cost + lengths * (1 + np.log(2 * np.pi)) == pytest.approx(alone, abs=1e-8, rel=1e-10)
+
+
+def test_fits_in_bulk_are_those_of_each_series_alone_and_no_worse_than_a_grid():
+    series = many_series(60, seed=7)
+    values, lengths = _padded(series)
+    phi, theta, *_ = fit_arma(values, lengths, True)
+    cost = arma_likelihood(values, lengths, phi, theta, True)[0]
+    for i in (0, 17, 42):
+        p, q, *_ = _fit_arma(series[i], True)
+        assert arma_likelihood(series[i][:, None], lengths[i : i + 1], np.array([p]), np.array([q]), True)[0][0] == pytest.approx(cost[i], abs=1e-8)
+    side = np.linspace(-0.95, 0.95, 20)
+    best = np.min([arma_likelihood(values, lengths, np.full(60, p), np.full(60, q), True, gradient=False)[0] for p in side for q in side], axis=0)
+    assert (cost <= best + 1e-6).mean() >= 0.95
+    mixed = [np.full(14, 5.0), np.arange(20.0), *series[:3]]
+    path, error = arima_forecasts(mixed, 3, True)
+    assert path[0].tolist() == [5, 5, 5] and path[1] == pytest.approx([20, 21, 22]) and error[0].tolist() == [0, 0, 0]
+    assert path[3] == pytest.approx(arima_forecast(mixed[3], 3, True)[0], abs=1e-5)
+
+
+def test_seasons_of_several_lengths():
+    season = np.array([5, 1, 0, 2, 8, 3, 9, 4, 7, 6, 2, 1.0])
+    path = holt_winters_forecasts([np.tile(season, 3)[:n] for n in (24, 30, 36)], 4)
+    for row, n in zip(path, (24, 30, 36)):
+        assert row == pytest.approx([season[(n + i) % 12] for i in range(4)], abs=1e-6)
+
+
+def test_explanation_counts_every_step(series_of):
+    row = forecast.explained_forecast(series_of(s=np.arange(1, 25) * 100.0), steps=6).first()
+    assert row.avg_monthly_change == pytest.approx((2750 - 2300) / 6) and "over the next 6 months" in row.explanation
