@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from salescope.session import materialise, ship
@@ -22,6 +23,15 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return materialise(df, label)
 
 
+def release(spark: SparkSession) -> None:
+    """Have the shuffle files of frames that nothing refers to any more dropped.
+
+    Spark drops them only when the driver's memory is collected, which by itself may come long after a step.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def unused(df: DataFrame, *names: str) -> str | list[str]:
     """Names for helper columns that no column of ``df`` has in any case of letters."""
     taken = {c.lower() for c in df.columns}

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from salescope.llm.common import map_batches, stored
+from salescope.llm.common import map_batches, release, stored
 from salescope.llm.components import connected_components
 
 SHINGLE, SHARE = 4, 85  # words of a shingle; per cent
@@ -282,6 +282,7 @@ def similar_groups(docs: DataFrame, shingle: int = SHINGLE, share: int = SHARE)
     parts of one document: they share a component and each has its own count. Other
     columns are not read.
     """
+    release(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     prints = stored(map_batches(texts, _prints(shingle), _PRINTS), "prints")
     named = prints.where("digest IS NOT NULL AND doc_id IS NOT NULL")
@@ -292,6 +293,8 @@ def similar_groups(docs: DataFrame, shingle: int = SHINGLE, share: int = SHARE)
     texts = texts.where("doc_id IS NOT NULL AND text IS NOT NULL")
     signed = map_batches(texts, _signed(shingle, share), "sig long, doc long")
     groups = stored(map_batches(signed.repartition("sig").sortWithinPartitions("sig", "doc"), _grouped, "sig long, leader long, doc long"), "signature-groups")
+    del signed
+    release(docs.sparkSession)  # the signatures are by far the largest shuffle
     first = groups.select("leader", "doc").distinct()
     rep_of = lambda column: member.select(F.col("doc_id").alias(column), F.col("rep").alias(f"{column}_rep"))
     stars = first.join(rep_of("leader"), "leader").join(rep_of("doc"), "doc")
@@ -303,6 +306,7 @@ def similar_groups(docs: DataFrame, shingle: int = SHINGLE, share: int = SHARE)
     tied = member.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a < b")
     tied = member.join(tied.select("doc_id", "a"), "doc_id").select("a", F.col("rep").alias("b")).where("a < b")
     links = stored(_links(texts, possible, classes, shingle, share).unionByName(tied).distinct(), "links-found")
+    release(docs.sparkSession)
     labels = connected_components(links)
 
     component = lambda name: labels.select(F.col("node").alias(f"{name}_rep"), F.col("component").alias(f"{name}_c"))
@@ -319,6 +323,7 @@ def similar_groups(docs: DataFrame, shingle: int = SHINGLE, share: int = SHARE)
         "groups-apart",
     )
     if not rest.isEmpty():
+        release(docs.sparkSession)
         left = _with_sketch(rest.select("sig", F.col("rep").alias("a"), F.col("c").alias("ac")), classes, "a")
         right = _with_sketch(rest.select("sig", F.col("rep").alias("b"), F.col("c").alias("bc")), classes, "b")
         across = left.join(right, "sig").where(F.col("ac") != F.col("bc")).where(F.col("a") < F.col("b")).where(_can_link(share))
