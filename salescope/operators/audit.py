@@ -149,7 +149,7 @@ def build_chain(entries: DataFrame, secret: str, order: Sequence[str], day: str
 
     Each hash depends on the one before, so a day is walked in order by one task;
     days run in parallel. Rows stream through in batches with only the last hash
-    held, so a large day costs time but not memory.
+    held, so a large day costs time but not memory; ``audit_tree.sharded_chain`` walks it by shards.
     """
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -167,7 +167,8 @@ def build_chain(entries: DataFrame, secret: str, order: Sequence[str], day: str
 
     ship(entries.sparkSession)
     arranged = entries.repartition(day).sortWithinPartitions(day, *order).select(day, "entry")
-    return arranged.mapInPandas(walk, f"{day} date, seq long, payload string, prev_hash string, hash string")
+    kind = entries.schema[day].dataType.simpleString()
+    return arranged.mapInPandas(walk, f"{day} {kind}, seq long, payload string, prev_hash string, hash string")
 
 
 @F.pandas_udf(StringType())

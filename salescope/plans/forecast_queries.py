@@ -157,7 +157,7 @@ SELECT {_label} AS period, CAST(i AS INTEGER) AS step, strftime(d + INTERVAL 1 M
 
 
 def _formed(spark, sf_dir, value):
-    """One series per brand over its months; ``value`` makes a month's revenue of the brand's lines and the month's place.
+    """One series per brand over its months; ``value`` makes a month's revenue of the brand's lines n and the month's place i.
 
     Half a unit is added, so that flooring a forecast does not depend on the last bit.
     """
@@ -165,10 +165,10 @@ def _formed(spark, sf_dir, value):
     month = F.trunc("date", "month")
     spans = lines.groupBy(F.col("brand").alias("series")).agg(F.min(month).alias("a"), F.max(month).alias("b"), F.count("*").alias("n"))
     listed = spans.select("series", "n", F.posexplode(F.sequence("a", "b", F.expr("INTERVAL 1 MONTH"))).alias("i", "month"))
-    return listed.select("series", F.col("month").cast("date").alias("month"), (value + 0.5).cast("double").alias("revenue"))
+    return listed.select("series", F.col("month").cast("date").alias("month"), (F.expr(value) + 0.5).cast("double").alias("revenue"))
 
 
-_CONSTANT, _LINEAR, _SEASONAL = F.col("n"), F.col("n") + 3 * F.col("i"), F.col("n") + 10 * F.month("month")
+_CONSTANT, _LINEAR, _SEASONAL = "n", "n + 3 * i", "n + 10 * month(month)"
 
 _FORMED_SQL = """
 , spans AS (SELECT brand AS series, date_trunc('month', min(date))::DATE AS a, date_trunc('month', max(date))::DATE AS b, count(*) AS n

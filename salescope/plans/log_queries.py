@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from salescope.functions.fixed_values import FIX_TEXTS, FLAT_TOKEN_PRICES, TOKEN_PRICES
-from salescope.operators import audit, calls, costs, experiments, failures, performance
+from salescope.operators import audit, audit_tree, calls, costs, experiments, failures, performance
 from salescope.plans.tables import table
 from salescope.session import materialise
 
@@ -551,3 +551,56 @@ _add(
 , spine AS ({_SPINE_SQL.format('2024-02-02', 29)})
 SELECT day, count(entry_id) AS entries, true AS intact FROM spine LEFT JOIN log ON log_date = day GROUP BY 1""",
 )
+
+
+# --- audit chains by shard ----------------------------------------------------------
+def audit_shards(spark, sf_dir, shards):
+    """The plain fields of the audit log chained within shards by entry number, stored."""
+    log = audit_log(spark, sf_dir)
+    stamp = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("timestamp")
+    entry = F.to_json(F.struct("action_type", "agent", "success", stamp, "user"))
+    return materialise(audit_tree.sharded_chain(log.withColumn("entry", entry), SECRET, ["ts", "entry_id"], shards, F.col("entry_id")), "audit-shards")
+
+
+def _tampered(spark, sf_dir):
+    """Entries whose payload was rewritten after the tree was stored: the third of each even shard on even days."""
+    chain = audit_shards(spark, sf_dir, 16)
+    hit = (F.dayofmonth("log_date") % 2 == 0) & (F.col("shard") % 2 == 0) & (F.col("seq") == 2)
+    changed = chain.withColumn("payload", F.when(hit, F.replace("payload", F.lit("user_"), F.lit("root_"))).otherwise(F.col("payload")))
+    return audit_tree.changed_entries(audit_tree.hash_tree(chain), audit_tree.hash_tree(changed))
+
+
+def _pad(byte: int) -> str:
+    return bytes(b ^ byte for b in SECRET.encode().ljust(64, b"\0")).hex()
+
+
+def _shards_sql(shards: int) -> str:
+    text = """'{"action_type": "' || action_type || '", "agent": "' || agent || '", "prev_hash": "' || PREV || '", "success": ' || CAST(success AS VARCHAR)
+              || ', "timestamp": "' || strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || '", "user": "' || "user" || '"}'"""
+    digest = f"sha256(unhex('{_pad(0x5C)}') || unhex(sha256(unhex('{_pad(0x36)}') || encode(PAYLOAD))))"
+    genesis, previous = (text.replace("PREV", x) for x in (f"'{audit.GENESIS_HASH}'", "c.hash"))
+    return AUDIT_SQL.replace("WITH e", "WITH RECURSIVE e", 1) + f"""
+, dealt AS (SELECT *, CAST(entry_id % {shards} AS INTEGER) AS shard, row_number() OVER (PARTITION BY log_date, entry_id % {shards} ORDER BY ts, entry_id) - 1 AS seq FROM log)
+, chain AS (
+    SELECT log_date, shard, seq, {genesis} AS payload, '{audit.GENESIS_HASH}' AS prev_hash, {digest.replace("PAYLOAD", genesis)} AS hash FROM dealt WHERE seq = 0
+    UNION ALL
+    SELECT d.log_date, d.shard, d.seq, {previous}, c.hash, {digest.replace("PAYLOAD", previous)}
+    FROM chain c JOIN dealt d ON d.log_date = c.log_date AND d.shard = c.shard AND d.seq = c.seq + 1)
+"""
+
+
+for _shards, _name in ((1, "audit_chain_one_shard"), (16, "audit_chain_sixteen_shards")):
+    _add(_name, lambda s, d, n=_shards: audit_shards(s, d, n), _shards_sql(_shards) + "SELECT * FROM chain")
+_add(
+    "audit_shards_verified",
+    lambda s, d: audit_tree.broken_shards(audit_shards(s, d, 16), SECRET),
+    AUDIT_SQL + """
+SELECT log_date, CAST(entry_id % 16 AS INTEGER) AS shard, count(*) AS entries, true AS intact, CAST(NULL AS BIGINT) AS first_broken FROM log GROUP BY 1, 2""",
+)
+_add(
+    "audit_tampering_located",
+    _tampered,
+    AUDIT_SQL + """
+, dealt AS (SELECT log_date, CAST(entry_id % 16 AS INTEGER) AS shard, row_number() OVER (PARTITION BY log_date, entry_id % 16 ORDER BY ts, entry_id) - 1 AS seq FROM log)
+SELECT * FROM dealt WHERE day(log_date) % 2 = 0 AND shard % 2 = 0 AND seq = 2""",
+)
