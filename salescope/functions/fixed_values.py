@@ -52,13 +52,11 @@ MAX_COLUMNS = 1_000
 MAX_UNMAPPED_SHARE = 0.3
 
 # Date forms beyond ISO: what they look like and how they are read.
-DATE_FORMATS = {
-    r"^[A-Za-z]{3} \d{4}$": "MMM yyyy",
-    r"^[A-Za-z]{3,9} \d{4}$": "MMMM yyyy",
-    r"^[A-Za-z]{3} \d{1,2} \d{4}$": "MMM d yyyy",
-    r"^[A-Za-z]{3,9} \d{1,2} \d{4}$": "MMMM d yyyy",
-    r"^\d{1,2} [A-Za-z]{3} \d{4}$": "d MMM yyyy",
-    r"^\d{1,2} [A-Za-z]{3,9} \d{4}$": "d MMMM yyyy",
+MONTH_NAMES = [
+    "January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December",
+]
+NAMED_DATE_FORMAT = {r"^\d{1,2} [A-Z][a-z]{2} \d{4}$": "d MMM yyyy"}
+NUMERIC_DATE_FORMATS = {
     r"^\d{4}/\d{1,2}/\d{1,2}$": "yyyy/M/d",
     r"^\d{8}$": "yyyyMMdd",
 }
@@ -107,6 +105,8 @@ GENESIS_HASH = "0" * 64
 
 # Failure handling.
 SIMILAR_MESSAGE_CHARS = 100
+SHOWN_COLUMNS = 10
+SUMMARY_CHARS = 200
 SIMILAR_HOURS = 24
 MIN_SIMILAR_FAILURES = 3
 AUTO_APPLY_CONFIDENCE = 0.85

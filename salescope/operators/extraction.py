@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from salescope.functions.dates import parse_date
-from salescope.functions.fixed_values import DEFAULT_ANSWER, INSIGHT_CONFIDENCE, KPI_CATEGORIES
+from salescope.functions.fixed_values import DEFAULT_ANSWER, INSIGHT_CONFIDENCE, KPI_CATEGORIES, SUMMARY_CHARS
 
 _VALUES = "map<string,variant>"
 _METRIC = "struct<metric_type:string,metric_value:double,category:string,category_name:string,metric_date:date>"
@@ -136,18 +136,20 @@ def _anomaly_texts(value: Column) -> Column:
     return F.coalesce(F.when(_is(value, "ARRAY"), listed).otherwise(of_item(value)), _empty("string"))
 
 
-def extract_insights(history: DataFrame, raw: str = "insights_json", fill_defaults: bool = False) -> DataFrame:
+def extract_insights(
+    history: DataFrame, raw: str = "insights_json", fill_defaults: bool = False, summary_chars: int | None = SUMMARY_CHARS
+) -> DataFrame:
     """``analysis_id`` and typed insight rows: answer, summary, anomalies, recommendations.
 
     ``fill_defaults`` supplies the answer and summary texts used when a response
-    lacks them.
+    lacks them; such a summary is the answer's first ``summary_chars`` characters, all with None.
     """
     schema = f"answer string, human_readable_summary string, confidence_score double, anomalies variant, recommended_metrics {_VALUES}"
     parsed = history.select(F.col("id").alias("analysis_id"), F.from_json(raw, schema).alias("_i"))
     answer, summary = F.col("_i.answer"), F.col("_i.human_readable_summary")
     if fill_defaults:
         answer = F.when(answer != "", answer).otherwise(F.lit(DEFAULT_ANSWER))
-        summary = F.when(summary != "", summary).otherwise(F.left(answer, F.lit(200)))
+        summary = F.when(summary != "", summary).otherwise(answer if summary_chars is None else F.left(answer, F.lit(summary_chars)))
 
     def insight(text: Column, kind: str, given: bool) -> Column:
         usual = F.lit(INSIGHT_CONFIDENCE[kind])

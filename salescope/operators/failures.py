@@ -14,6 +14,7 @@ from salescope.functions.fixed_values import (
     MIN_SIMILAR_FAILURES,
     NONE_ERROR_WORDS,
     NUMBER_ERROR_WORDS,
+    SHOWN_COLUMNS,
     SIMILAR_HOURS,
     SIMILAR_MESSAGE_CHARS,
 )
@@ -26,10 +27,13 @@ FIXABLE_ERRORS = [kind for kind in FIX_TEXTS if "," not in kind]
 _KIND = ["error_type", "tool", "_message"]
 
 
-def similar_failures(failures: DataFrame, hours: int = SIMILAR_HOURS, bucket_seconds: int = 60) -> DataFrame:
+def similar_failures(
+    failures: DataFrame, hours: int = SIMILAR_HOURS, bucket_seconds: int = 60, message_chars: int | None = SIMILAR_MESSAGE_CHARS
+) -> DataFrame:
     """Per failure, how many alike (itself included) happened in the ``hours`` up to it.
 
-    Alike means same type, tool and first 100 characters of the message. Counting
+    Alike means same type, tool and first ``message_chars`` characters of the message,
+    or the whole message with None. Counting
     is exact but not a window over all rows of one kind, which a frequent failure
     would turn into a single task: instants are counted first, whole buckets come
     from a running sum of bucket counts, and only the rows of one bucket are ever
@@ -38,9 +42,10 @@ def similar_failures(failures: DataFrame, hours: int = SIMILAR_HOURS, bucket_sec
     bucket, span = bucket_seconds * 1_000_000, hours * 3600 * 1_000_000
     if span % bucket:
         raise ValueError("the bucket must divide the window")
+    message = F.coalesce("message", F.lit(""))
     marked = failures.withColumns(
         {
-            "_message": F.left(F.coalesce("message", F.lit("")), F.lit(SIMILAR_MESSAGE_CHARS)),
+            "_message": message if message_chars is None else F.left(message, F.lit(message_chars)),
             "_at": micros(F.col("ts")),
         }
     )
@@ -80,20 +85,23 @@ def fix_success_rates(fixes: DataFrame) -> DataFrame:
     )
 
 
-def suggestion(error_type: Column, message: Column, columns: Column, object_type: Column) -> Column:
+def suggestion(
+    error_type: Column, message: Column, columns: Column, object_type: Column, shown_columns: int | None = SHOWN_COLUMNS
+) -> Column:
     """What to do about a failure; null for types nothing is known about.
 
-    Message tests ignore case throughout.
+    Message tests ignore case throughout. Of the available columns ``shown_columns`` are named, all with None.
     """
     lower = F.lower(message)
     named = F.when(F.contains(message, F.lit("'")), F.regexp_extract(message, "'([^']*)", 1)).otherwise("unknown")
-    shown = F.array_join(F.slice(columns, 1, 10), ", ")
+    shown = F.array_join(columns if shown_columns is None else F.slice(columns, 1, shown_columns), ", ")
+    cut = F.lit(False) if shown_columns is None else F.size(columns) > shown_columns
 
     def text(key: str, *parts: Column) -> Column:
         return F.format_string(FIX_TEXTS[key], *parts) if parts else F.lit(FIX_TEXTS[key])
 
     variants = {
-        "KeyError": F.when(F.size(columns) > 10, text("KeyError, more columns", named, shown))
+        "KeyError": F.when(cut, text("KeyError, more columns", named, shown))
         .when(F.size(columns) > 0, text("KeyError, up to 10 columns", named, shown))
         .otherwise(text("KeyError", named)),
         "ValueError": F.when(contains_any(lower, DATE_ERROR_WORDS), text("ValueError, date"))
@@ -108,10 +116,9 @@ def suggestion(error_type: Column, message: Column, columns: Column, object_type
     return F.coalesce(*[F.when(error_type == kind, variants.get(kind, text(kind))) for kind in FIXABLE_ERRORS])
 
 
-def with_suggestions(failures: DataFrame) -> DataFrame:
-    return failures.withColumn(
-        "suggestion", suggestion(F.col("error_type"), F.col("message"), F.col("available_columns"), F.col("object_type"))
-    )
+def with_suggestions(failures: DataFrame, shown_columns: int | None = SHOWN_COLUMNS) -> DataFrame:
+    parts = [F.col(c) for c in ("error_type", "message", "available_columns", "object_type")]
+    return failures.withColumn("suggestion", suggestion(*parts, shown_columns))
 
 
 def fix_actions(failures: DataFrame, fixes: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import DateType, StringType, TimestampNTZType, TimestampType
 
 from salescope.functions.dates import parse_date
 from salescope.functions.fixed_values import MAX_COLUMNS, MAX_TEXT_LENGTH, MIN_ROWS
@@ -48,7 +48,8 @@ def quality_report(
     texts = [f.name for f in df.schema.fields if isinstance(f.dataType, StringType)]
     customer = find_columns(df, ["customer"]).get("customer")
 
-    parsed = parse_date(date.cast("string"), day_first)
+    typed = isinstance(df.schema[found["date"]].dataType, (DateType, TimestampType, TimestampNTZType))
+    parsed = date if typed else parse_date(date.cast("string"), day_first)
     aggregates = [
         F.count("*").alias("rows"),
         F.count_if(parsed.isNull()).alias("bad_dates"),

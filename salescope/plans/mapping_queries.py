@@ -226,11 +226,13 @@ _FORMS = [
     ("yyyy/M/d", "%Y/%-m/%-d", False), ("M/d/yyyy", "%-m/%-d/%Y", False), ("d/M/yyyy", "%-d/%-m/%Y", True), ("MMM d, yyyy", "%b %-d, %Y", False),
     ("d MMM yyyy", "%-d %b %Y", False), ("MMMM d, yyyy", "%B %-d, %Y", False), ("yyyyMMdd", "%Y%m%d", False), ("M/d/yy", "%-m/%-d/%y", False),
     ("dd.MM.yyyy", "%d.%m.%Y", True), ("MM-dd-yyyy HH:mm", "%m-%d-%Y %H:%M", False), ("yyyy-MM-dd", "%Y-%m-%d", False),
+    ("dd-MMM-yyyy", "%d-%b-%Y", False), ("EEE MMM d yyyy", "%a %b %-d %Y", False), ("EEEE, MMMM d, yyyy", "%A, %B %-d, %Y", False),
+    ("EEE MMM dd HH:mm:ss yyyy", "%a %b %d %H:%M:%S %Y", False), ("d-MMM-yy", "%-d-%b-%y", False), ("yyyy-MMM-dd", "%Y-%b-%d", False),
 ]
 
 
 def _date_forms(spark, sf_dir):
-    """Order dates written in eleven forms and read again; the day comes first in two of them."""
+    """Order dates written in seventeen forms and read again; the day comes first in two of them."""
     orders = table(spark, sf_dir, "orders").withColumn("form", (F.col("o_orderkey") % len(_FORMS)).cast("int"))
     text, day = F.lit(None).cast("string"), F.lit(None).cast("date")
     for number, (fmt, _, _) in enumerate(_FORMS):

@@ -53,6 +53,19 @@ def test_dates(spark):
     assert apply(spark, parse_date, list(cases)) == want
 
 
+def test_named_dates(spark):
+    cases = [
+        ("15-Jan-2024", (2024, 1, 15)), ("15/Jan/2024", (2024, 1, 15)), ("15 Jan 24", (2024, 1, 15)), ("15-jan-75", (1975, 1, 15)),
+        ("Jan-24", (2024, 1, 1)), ("Jan'24", (2024, 1, 1)), ("Jan 24", None), ("Jan-2024", (2024, 1, 1)), ("2024 January", (2024, 1, 1)),
+        ("15 Sept 2024", (2024, 9, 15)), ("Sept. 2024", (2024, 9, 1)), ("Mon Jan 15 2024", (2024, 1, 15)),
+        ("Monday, January 15, 2024", (2024, 1, 15)), ("Mon, 15 Jan 2024 10:00:00 GMT", (2024, 1, 15)),
+        ("Mon Jan 15 10:00:00 2024", (2024, 1, 15)), ("Mon Jan 15 10:00:00 UTC 2024", (2024, 1, 15)), ("Jan 15th, 2024", (2024, 1, 15)),
+        ("2024-Jan-15", (2024, 1, 15)), ("31-Feb-2024", None), ("3-MEDIUM", None), ("Wednesday", None), ("Abc 2024", None), ("", None),
+    ]
+    want = [datetime.date(*day) if day else None for _, day in cases]
+    assert apply(spark, parse_date, [text for text, _ in cases]) == want
+
+
 def test_labels(spark):
     assert apply(spark, known, [None, "", " ", "a"]) == ["Unknown", "Unknown", " ", "a"]
     assert apply(spark, display_name, ["Premium Plan", "Basic_Plan", "ProPlan"]) == ["Premium Plan", "Basic Plan", "Pro Plan"]

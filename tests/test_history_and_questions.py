@@ -71,6 +71,12 @@ def test_insight_defaults(spark):
     assert got == [("answer", "Analysis complete.", 0.9), ("summary", "Analysis complete.", 0.85)]
 
 
+def test_summary_of_the_whole_answer(spark):
+    frame = spark.createDataFrame([(1, json.dumps({"answer": "x" * 300}))], "id long, insights_json string")
+    lengths = lambda **chars: [len(r.insight_text) for r in extraction.extract_insights(frame, fill_defaults=True, **chars).collect()]
+    assert lengths() == [300, 200] and lengths(summary_chars=None) == [300, 300]
+
+
 def label(spark, text, name, **options):
     frame = spark.createDataFrame([(text,)], "text string")
     return questions.label_questions(frame, [name], **options).first()[name]

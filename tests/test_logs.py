@@ -130,6 +130,25 @@ def test_suggestions(spark):
     assert got[3].startswith("'foo' not found on Frame.")
 
 
+def test_suggestions_name_all_columns(spark):
+    columns = [f"c{i}" for i in range(12)]
+    frame = spark.createDataFrame(
+        [(1, "KeyError", "'x'", columns, None)],
+        "failure_id long, error_type string, message string, available_columns array<string>, object_type string",
+    )
+    cut, whole = (failures.with_suggestions(frame, n).first().suggestion for n in (10, None))
+    assert "c9" in cut and "c10" not in cut
+    assert whole == f"Column 'x' not found. Available columns: {', '.join(columns)}. Check column name spelling."
+
+
+def test_whole_messages_tell_failures_apart(spark):
+    at = datetime.datetime(2024, 1, 1)
+    rows = [(n, at, "E", "t", "m" * 100 + tail) for n, tail in enumerate(["a", "b", "a"])]
+    frame = spark.createDataFrame(rows, "failure_id long, ts timestamp, error_type string, tool string, message string")
+    counts = lambda **chars: [r.similar_count for r in failures.similar_failures(frame, **chars).orderBy("failure_id").collect()]
+    assert counts() == [3, 3, 3] and counts(message_chars=None) == [2, 1, 2]
+
+
 def test_ab(spark):
     users = spark.range(200).select(F.col("id"), experiments.assigned_version(F.col("id"), "t").alias("v")).collect()
     for row in users:
