@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import gc
 from collections.abc import Callable, Iterator
 
@@ -32,6 +33,28 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def dropping_shuffles(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """An operator on ``docs`` whose steps each have their shuffle files removed as soon as they have been stored.
+
+    Spark does so by a setting of the session, which is as before once the operator returns. Without it the
+    shuffles of all steps add up until the driver's memory happens to be collected.
+    """
+    @functools.wraps(operator)
+    def run(docs: DataFrame, *args, **kwargs) -> DataFrame:
+        conf = docs.sparkSession.conf
+        before = conf.get(_CLEANUP, None)
+        conf.set(_CLEANUP, "true")
+        try:
+            return operator(docs, *args, **kwargs)
+        finally:
+            conf.unset(_CLEANUP) if before is None else conf.set(_CLEANUP, before)
+
+    return run
+
+
 def unused(df: DataFrame, *names: str) -> str | list[str]:
     """Names for helper columns that no column of ``df`` has in any case of letters."""
     taken = {c.lower() for c in df.columns}

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from salescope.llm.common import map_batches, release, stored
+from salescope.llm.common import dropping_shuffles, map_batches, release, stored
 from salescope.llm.components import connected_components
 
 SHINGLE, SHARE = 4, 85  # words of a shingle; per cent
@@ -272,6 +272,7 @@ def _with_sketch(pairs: DataFrame, classes: DataFrame, name: str) -> DataFrame:
     return pairs.join(classes.select(*[F.col(k).alias(v) for k, v in columns.items()]), name)
 
 
+@dropping_shuffles
 def similar_groups(docs: DataFrame, shingle: int = SHINGLE, share: int = SHARE) -> DataFrame:
     """(doc_id, digest, n_shingles, component_id) for every row of ``docs`` (doc_id, text).
 
