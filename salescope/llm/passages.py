@@ -8,6 +8,8 @@
    words, cut into blocks of which every window holds at least one, are compiled into an automaton; all
    texts of the shard stream through it, and each match is extended word by word. That a window recurs in another shard
    rests on the hash of its seed (64 bits) and its own (48 bits).
+
+Windows of a frequent seed are counted one by one, in part before they are shuffled, so that no task holds all its rows.
 """
 
 from __future__ import annotations
@@ -23,12 +25,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from salescope.llm.common import map_batches, stored
+from salescope.llm.common import map_batches, stored, unused
 
 WINDOW, SEED = 35, 14
 SHARD_BYTES = 8 << 20  # text that shares an automaton
-CHARACTERS = 0x110000 - 0x800  # distinct words that characters can stand for
-HOT_SHARE, HOT_LEAST = 100_000, 10_000  # seeds above this fraction of all rows are dealt by window
+DIGIT_BITS = 6  # of a word's number that one character of an automaton's text stands for
+HOT = 10_000  # texts that hold a seed from which on its windows are counted one by one
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
 
@@ -127,12 +129,13 @@ def _recurring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield held.filter(pa.array([carried])).select(["seed", "doc", "tag"])
 
 
-_WINDOWS = "seed long, part long, windows binary, doc long, tag long, start int, twice boolean"
+_WINDOWS = "seed long, windows binary, doc long, tag long, start int, twice boolean"
 
 
-def _windows(size: int, seed: int, hot: frozenset[int]):
+def _windows(size: int, seed: int, single: bool):
+    """The windows of a text's wanted seeds, those of a seed's place together or each by itself, equal ones once."""
     schema = pa.schema(
-        [("seed", pa.int64()), ("part", pa.int64()), ("windows", pa.binary()), ("doc", pa.int64()), ("tag", pa.int64()), ("start", pa.int32()), ("twice", pa.bool_())]
+        [("seed", pa.int64()), ("windows", pa.binary()), ("doc", pa.int64()), ("tag", pa.int64()), ("start", pa.int32()), ("twice", pa.bool_())]
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,33 +154,28 @@ def _windows(size: int, seed: int, hot: frozenset[int]):
                 continue
             full = _runs(hashes, size)
             packed = np.ascontiguousarray(full.view(np.uint8).reshape(-1, 8)[:, :6])
-            cuts = np.flatnonzero(np.diff(places, prepend=-1))
+            cuts = np.arange(len(places)) if single else np.flatnonzero(np.diff(places, prepend=-1))
             seen: dict[tuple, int] = {}
             for begin, end in zip(cuts, np.append(cuts[1:], len(places))):
                 if not wanted[begin]:
                     continue
-                name = int(own[begin])
-                if name in hot:
-                    pieces = [(int(full[i] >> np.uint64(1)), packed[i].tobytes(), i) for i in range(begin, end)]
-                else:
-                    pieces = [(0, packed[begin:end].tobytes(), begin)]
-                for part, windows, start in pieces:
-                    key = (name, part, windows)
-                    if key in seen:  # the automaton will find it again
-                        out["twice"][seen[key]] = True
-                        continue
-                    seen[key] = len(out["seed"])
-                    for column, value in zip(schema.names, (name, part, windows, doc, tag, int(start), False)):
-                        out[column].append(value)
+                name, windows = int(own[begin]), packed[begin:end].tobytes()
+                key = (name, windows)
+                if key in seen:  # the automaton will find it again
+                    out["twice"][seen[key]] = True
+                    continue
+                seen[key] = len(out["seed"])
+                for column, value in zip(schema.names, (name, windows, doc, tag, int(begin), False)):
+                    out[column].append(value)
         return pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in schema], schema=schema)
 
     return run
 
 
 def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by (seed, part, windows): which of each row's windows another row has too, as bits.
+    """Of rows sorted by (seed, windows): which of each row's windows another row has too, as bits.
 
-    A seed's rows are held, those with the same windows only once; seeds with very many rows come dealt by window.
+    A seed's rows, less than ``HOT``, are held, those with the same windows only once.
     """
     schema = pa.schema([("doc", pa.int64()), ("tag", pa.int64()), ("start", pa.int32()), ("bits", pa.int32())])
     out: dict[str, list] = {n: [] for n in schema.names}
@@ -209,11 +207,11 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     group, variants = None, []
     for batch in batches:
-        for seed, part, windows, doc, tag, start, twice in zip(*(c.to_pylist() for c in batch.columns)):
+        for seed, windows, doc, tag, start, twice in zip(*(c.to_pylist() for c in batch.columns)):
             row, every = (doc, tag, start), (1 << len(windows) // 6) - 1
-            if (seed, part) != group:
+            if seed != group:
                 close(variants)
-                group, variants = (seed, part), []
+                group, variants = seed, []
             if variants and variants[-1][0] == windows:
                 last = variants[-1]
                 if not last[2]:
@@ -229,29 +227,31 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield flush()
 
 
-def as_text(numbers: np.ndarray) -> str:
-    """Numbers of words as the characters of a text, the surrogates left out."""
-    return (numbers + 0x800 * (numbers >= 0xD800)).astype("<u4").tobytes().decode("utf-32-le")
+def as_text(numbers: np.ndarray, digits: int) -> str:
+    """Numbers of words as ``digits`` characters each, every place of a digit with characters of its own."""
+    places = np.arange(digits)
+    codes = (numbers[:, None] >> places * DIGIT_BITS & (1 << DIGIT_BITS) - 1) + (places << DIGIT_BITS)
+    return codes.astype("<u2").tobytes().decode("utf-16-le")
 
 
 class Automaton:
     """Passages as sequences of word numbers, found by blocks of which each window holds at least one.
 
-    The automaton runs over a text with one character for each word; only where a shard has more distinct words than there
-    are characters does it run over tuples of numbers.
+    Numbers are below ``words``. The automaton runs over their digits, as it looks for a node's successor one by one: with
+    a character for each word its root would have as many as there are words. A match begins and ends with a word, because
+    every place of a digit has its own characters.
     """
 
-    def __init__(self, passages: list[np.ndarray], size: int, words: int = 0):
+    def __init__(self, passages: list[np.ndarray], size: int, words: int):
         self.size, self.block = size, (size + 1) // 2
         self.passages = passages
-        self.as_text = words <= CHARACTERS
-        self.places: dict[str | tuple, list[tuple[int, int]]] = {}
-        kind = ahocorasick.KEY_STRING if self.as_text else ahocorasick.KEY_SEQUENCE
-        self.find = ahocorasick.Automaton(ahocorasick.STORE_ANY, kind)
+        self.digits = max(1, -(-(words - 1).bit_length() // DIGIT_BITS))
+        self.places: dict[str, list[tuple[int, int]]] = {}
+        self.find = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_STRING)
         for number, passage in enumerate(passages):
-            whole = self._keys(passage)
+            whole = as_text(passage, self.digits)
             for at in range(0, len(passage) - self.block + 1, self.block):
-                key = whole[at : at + self.block]
+                key = whole[at * self.digits : (at + self.block) * self.digits]
                 if key in self.places:
                     self.places[key].append((number, at))
                 else:
@@ -260,34 +260,33 @@ class Automaton:
         if passages:
             self.find.make_automaton()
 
-    def _keys(self, words: np.ndarray) -> str | tuple[int, ...]:
-        return as_text(words) if self.as_text else tuple(words.tolist())
-
     def covered(self, words: np.ndarray) -> np.ndarray | None:
         """Which words lie in a stretch of at least ``size`` words that a passage has too; None if no block is found."""
         if not self.passages or len(words) < self.size:
             return None
         out = None
+        done_low = done_high = 0  # the stretch covered last
         tried: set[tuple[int, int]] = set()
-        for end, found in self.find.iter(self._keys(words)):
+        for end, found in self.find.iter(as_text(words, self.digits)):
             if out is None:
                 out = np.zeros(len(words), bool)
             for number, at in found:
-                offset = end - self.block + 1 - at
+                offset = end // self.digits - self.block + 1 - at
                 if (number, offset) in tried:
                     continue
                 tried.add((number, offset))
                 passage = self.passages[number]
                 low, high = max(0, offset), min(len(words), offset + len(passage))
-                equal = words[low:high] == passage[low - offset : high - offset]
-                if equal.all():
-                    if high - low >= self.size:
-                        out[low:high] = True
+                if high - low < self.size or done_low <= low and high <= done_high:
+                    continue
+                other = np.flatnonzero(words[low:high] != passage[low - offset : high - offset])
+                if not len(other):
+                    out[low:high] = True
+                    done_low, done_high = low, high
                     continue
-                edges = np.flatnonzero(np.diff(np.concatenate(([0], equal.view(np.int8), [0]))))
-                for begin, stop in zip(edges[::2], edges[1::2]):
-                    if stop - begin >= self.size:
-                        out[low + begin : low + stop] = True
+                edges = np.concatenate(([-1], other, [high - low]))
+                for i in np.flatnonzero(np.diff(edges) > self.size):
+                    out[low + edges[i] + 1 : low + edges[i + 1]] = True
         return out
 
 
@@ -307,11 +306,12 @@ def passages_of(words: np.ndarray, starts: np.ndarray, size: int) -> list[np.nda
     return [words[run[0] : run[-1] + size] for run in np.split(starts, cuts)]
 
 
-def _removed(size: int, with_text: bool):
+def _removed(size: int, with_text: bool, body: str, places: str):
+    """``body`` and ``places`` name the columns of the words' text and of the recurring windows."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             begin, held = 0, 0
-            lengths = pa.compute.fill_null(pa.compute.binary_length(batch.column("_text")), 0).to_pylist()
+            lengths = pa.compute.fill_null(pa.compute.binary_length(batch.column(body)), 0).to_pylist()
             for row, length in enumerate(lengths):
                 held += length
                 if held > SHARD_BYTES or row == batch.num_rows - 1:
@@ -322,11 +322,11 @@ def _removed(size: int, with_text: bool):
         numbers = _Numbers()
         seen: set[bytes] = set()  # windows that a passage holds already
         texts, rows, passages = [], [], []
-        found = batch.column("_found")
+        found = batch.column(places)
         edges = np.concatenate([[0], np.cumsum(pa.compute.fill_null(pa.compute.list_value_length(found), 0).to_numpy())])
-        places = found.flatten()
-        begins, bits = (places.field(n).to_numpy(zero_copy_only=False).astype(np.int64) for n in ("start", "bits"))
-        for at, text in enumerate(batch.column("_text").to_pylist()):
+        stretches = found.flatten()
+        begins, bits = (stretches.field(n).to_numpy(zero_copy_only=False).astype(np.int64) for n in ("start", "bits"))
+        for at, text in enumerate(batch.column(body).to_pylist()):
             words = text.split()
             row = np.fromiter(map(numbers.__getitem__, words), np.int64, len(words))
             texts.append(words)
@@ -353,7 +353,7 @@ def _removed(size: int, with_text: bool):
             removed.append(0 if gone is None else int(gone.sum()))
             hashes.append(hashlib.sha256(kept).hexdigest())
             kept_texts.append(kept)
-        names = [n for n in batch.schema.names if n not in ("_text", "_found", "text")]
+        names = [n for n in batch.schema.names if n not in (body, places, "text")]
         columns = [batch.column(n) for n in names] + [pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(hashes)]
         names += ["n_words", "n_removed", "kept_sha256"]
         if with_text:
@@ -375,28 +375,30 @@ def remove_repeated(docs: DataFrame, size: int = WINDOW, seed: int = SEED, with_
     """
     if not 1 < seed < size or size - seed + 1 > 30:
         raise ValueError("a seed must be shorter than the window, by 29 words at most")
-    docs = docs.drop("n_words", "n_removed", "kept_sha256", "_doc", "_tag", "_text", "_found")
+    docs = docs.drop("n_words", "n_removed", "kept_sha256")
+    key, mark, key_found, mark_found, body, places = unused(docs, "key", "mark", "key_found", "mark_found", "body", "places")
     rows = _rows(docs)
     seeds = map_batches(rows, _seeds(size, seed), "seed long, doc long, tag long, twice boolean")
     recurring = stored(
         map_batches(seeds.repartition("seed").sortWithinPartitions("seed"), _recurring, "seed long, doc long, tag long"), "recurring-seeds"
     )
-    total = recurring.count()
-    # at most HOT_SHARE seeds can be as frequent as this
-    frequent = recurring.groupBy("seed").count().where(F.col("count") >= max(HOT_LEAST, total // HOT_SHARE))
-    hot = frozenset(r[0] for r in frequent.select("seed").toLocalIterator())
-    per_text = recurring.groupBy("doc", "tag").agg(F.collect_set("seed").alias("seeds"))
-    windows = map_batches(rows.join(per_text, ["doc", "tag"]), _windows(size, seed, hot), _WINDOWS)
-    dealt = windows.repartition("seed", "part").sortWithinPartitions("seed", "part", "windows")
+    frequent = stored(recurring.groupBy("seed").count().where(F.col("count") >= HOT).select("seed"), "frequent-seeds")
+    per_text = lambda of: of.groupBy("doc", "tag").agg(F.collect_set("seed").alias("seeds"))
+    windows = lambda of, single: map_batches(rows.join(per_text(of), ["doc", "tag"]), _windows(size, seed, single), _WINDOWS)
+    dealt = windows(recurring.join(frequent, "seed", "left_anti"), False).repartition("seed").sortWithinPartitions("seed", "windows")
     found = map_batches(dealt, _confirmed, "doc long, tag long, start int, bits int")
-    per_doc = found.groupBy(F.col("doc").alias("_doc"), F.col("tag").alias("_tag")).agg(F.collect_list(F.struct("start", "bits")).alias("_found"))
-    text = F.coalesce(F.col("text"), F.lit(""))
+    if not frequent.isEmpty():
+        single = stored(windows(recurring.join(frequent, "seed", "left_semi"), True), "frequent-windows")
+        counted = single.groupBy("seed", "windows").agg(F.count("*").alias("n"), F.max("twice").alias("twice")).where("n > 1 OR twice")
+        again = single.join(counted.select("seed", "windows"), ["seed", "windows"])
+        found = found.unionByName(again.select("doc", "tag", "start", F.lit(1).alias("bits")))
+    per_doc = found.groupBy(F.col("doc").alias(key_found), F.col("tag").alias(mark_found)).agg(F.collect_list(F.struct("start", "bits")).alias(places))
     doc, tag = _name(docs)
-    keyed = docs.withColumns({"_key": doc, "_mark": tag, "_text": F.coalesce(F.col("text"), F.lit("")).cast("binary")})
-    joined = keyed.join(per_doc, (F.col("_key") == F.col("_doc")) & (F.col("_mark") == F.col("_tag")), "left").drop("_key", "_mark", "_doc", "_tag")
-    joined = joined.drop("text")
+    keyed = docs.withColumns({key: doc, mark: tag, body: F.coalesce(F.col("text"), F.lit("")).cast("binary")})
+    joined = keyed.join(per_doc, (F.col(key) == F.col(key_found)) & (F.col(mark) == F.col(mark_found)), "left")
+    joined = joined.drop(key, mark, key_found, mark_found, "text")
     added = [StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("kept_sha256", StringType())]
     if with_text:
         added.append(StructField("text", StringType()))
     schema = StructType([*[f for f in docs.schema.fields if f.name != "text"], *added])
-    return map_batches(joined, _removed(size, with_text), schema)
+    return map_batches(joined, _removed(size, with_text, body, places), schema)

@@ -256,11 +256,11 @@ def test_passages_against_brute_force(spark, size, seed):
     assert remove_repeated(frame.limit(0)).count() == 0
 
 
-def test_frequent_seeds_are_dealt_by_window(spark, monkeypatch):
+@pytest.mark.parametrize("hot", [2, 5, 12])
+def test_windows_of_frequent_seeds_are_counted_one_by_one(spark, monkeypatch, hot):
     from salescope.llm import passages
 
-    monkeypatch.setattr(passages, "HOT_LEAST", 2)
-    monkeypatch.setattr(passages, "HOT_SHARE", 10**9)
+    monkeypatch.setattr(passages, "HOT", hot)
     random.seed(9)
     shared = [f"s{i}" for i in range(40)]
     docs = [(n, " ".join([f"p{random.randrange(99)}" for _ in range(9)] + shared[n % 4 :] + [f"q{random.randrange(99)}" for _ in range(9)])) for n in range(25)]
@@ -284,11 +284,27 @@ def test_automaton_finds_every_stretch(words):
         assert (np.zeros(60, bool) if got is None else got).tolist() == want.tolist()
 
 
-def test_texts_of_word_numbers_leave_out_surrogates():
-    from salescope.llm.passages import CHARACTERS, as_text
+def test_word_numbers_as_digits():
+    from salescope.llm.passages import DIGIT_BITS, as_text
 
-    numbers = np.array([0, 1, 0xD7FF, 0xD800, 0xDFFF, CHARACTERS - 1])
-    assert [ord(c) for c in as_text(numbers)] == [0, 1, 0xD7FF, 0xE000, 0xE7FF, 0x10FFFF]
+    base = 1 << DIGIT_BITS
+    assert [ord(c) for c in as_text(np.array([0, 1, base, base * base + 2]), 3)] == [
+        0, base, 2 * base, 1, base, 2 * base, 0, base + 1, 2 * base, 2, base, 2 * base + 1
+    ]
+    random.seed(3)
+    numbers = np.array([random.randrange(10**9) for _ in range(2_000)])
+    texts = {as_text(numbers[i : i + 1], 5) for i in range(len(numbers))}
+    assert len(texts) == len(set(numbers.tolist()))
+
+
+def test_columns_named_like_helpers_pass_through(spark):
+    names = ["key", "mark", "key_found", "mark_found", "body", "places", "doc", "tag", "_doc", "_tag", "_text", "_found", "_mark"]
+    shared = " ".join(f"w{i}" for i in range(40))
+    frame = spark.createDataFrame([(1, shared), (2, "new " + shared), (3, "alone")], DOCS)
+    wide = frame.withColumns({n: F.concat(F.lit(n), F.col("doc_id").cast("string")) for n in names})
+    got = {r["doc_id"]: r for r in remove_repeated(wide).collect()}
+    assert [got[i]["n_removed"] for i in (1, 2, 3)] == [40, 40, 0]
+    assert all(got[i][n] == f"{n}{i}" for i in got for n in names)
 
 
 def test_rows_of_one_id_whose_texts_share_a_short_hash(spark):
