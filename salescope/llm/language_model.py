@@ -15,6 +15,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,7 @@ HELD_TOKENS = 250_000  # distinct tokens that a counting task holds at a time
 SCORED_ROWS = 500  # texts whose rare tokens a task holds
 HELD_PAIRS = 2_000_000  # that a task adds to its table at a time
 FITTED_PAIRS = 150_000  # that a task fits at a time, or those of one class
+FITTED_TOGETHER, FITTED_PADDED = 2_000, 100_000  # vectors and pairs in one batch of matrices, or one vector
 SUMMED = 2_000  # classes whose sums one task takes
 VECTOR, NOISE, DRAWN, ROUNDS, STEPS, RATE, RIDGE = 24, 5.0, 500, 2, 12, 0.2, 1.0
 
@@ -114,7 +116,7 @@ def _classes(words: list[bytes], classes: dict[bytes, int], other: int) -> np.nd
     """Classes of a text's tokens, led by the end that precedes every text."""
     out = np.empty(len(words) + 1, np.int64)
     out[0] = classes.get(END, other)
-    out[1:] = [classes.get(w, other) for w in words]
+    out[1:] = list(map(classes.get, words, repeat(other)))
     return out
 
 
@@ -131,20 +133,36 @@ def _improved(starts: np.ndarray, to: np.ndarray, n: np.ndarray, other: np.ndarr
     is the score less the logarithm of the noise's rate. A vector's last component is the bias less that
     logarithm, or one on the side that has none and keeps it.
     """
-    own = np.zeros((len(starts), VECTOR + 1), np.float32)
-    own[:, VECTOR] = -math.log(NOISE) if biased else 1
+    out = np.empty((len(starts), VECTOR + 1), np.float32)
     sizes = np.diff(starts, append=len(to))
-    x, noise = other[to], other[drawn]
+    noise = other[drawn]
     weight = (NOISE / DRAWN * np.add.reduceat(n, starts)).astype(np.float32)[:, None]
-    n = n.astype(np.float32)
+    order = np.argsort(sizes, kind="stable")
+    at = 0
+    while at < len(order):
+        # vectors with about as many pairs each make a batch of matrices, filled up with pairs that count nothing
+        least = int(sizes[order[at]])
+        most = max(1, min(FITTED_TOGETHER, FITTED_PADDED // (least + least // 2)))
+        end = min(at + most, int(np.searchsorted(sizes[order], least + least // 2, side="right")))
+        ids = order[at:end]
+        place = np.arange(int(sizes[ids[-1]]))
+        filled = place < sizes[ids][:, None]
+        pairs = np.where(filled, starts[ids][:, None] + place, 0)
+        out[ids] = _steps(other[to[pairs]], np.where(filled, n[pairs], 0).astype(np.float32), noise, weight[ids], biased)
+        at = end
+    return out
+
+
+def _steps(x: np.ndarray, n: np.ndarray, noise: np.ndarray, weight: np.ndarray, biased: bool) -> np.ndarray:
+    """Vectors from zero; those of each one's pairs are a matrix of ``x`` and come ``n`` times."""
+    own = np.zeros((len(x), VECTOR + 1), np.float32)
+    own[:, VECTOR] = -math.log(NOISE) if biased else 1
     first, second = np.zeros_like(own), np.zeros_like(own)
     for step in range(1, STEPS + 1):
-        odds = np.einsum("ij,ij->i", x, np.repeat(own, sizes, axis=0))
+        odds = np.matmul(x, own[:, :, None])[:, :, 0]
         pull = n / (1 + np.exp(np.clip(odds, -30, 30)))
-        g = -np.add.reduceat(x * pull[:, None], starts, axis=0)
-        for at in range(0, len(own), 5_000):
-            part = slice(at, at + 5_000)
-            g[part] += (weight[part] / (1 + np.exp(-np.clip(own[part] @ noise.T, -30, 30)))) @ noise
+        g = -np.matmul(pull[:, None, :], x)[:, 0]
+        g += (weight / (1 + np.exp(-np.clip(own @ noise.T, -30, 30)))) @ noise
         g[:, :VECTOR] += RIDGE * own[:, :VECTOR]
         if not biased:
             g[:, VECTOR] = 0
@@ -280,42 +298,44 @@ def _scored(head: dict[bytes, int], classes: dict[bytes, int], model: tuple[np.n
     added = [("n_tokens", pa.int64()), ("_head_known", pa.int64()), ("_head_base", pa.float64()), ("_head_score", pa.float64())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        logs = {w: (math.log10((c + SMOOTHING) / base[0]), 0.0 if w in classes else math.log10(c / other)) for w, c in head.items()}
+        # tokens by their place in the head, of which the first are the classes; the last place is that of all others
+        known = np.fromiter(head.values(), float, len(head))
+        logs = np.append(np.log10((known + SMOOTHING) / base[0]), 0.0)
+        in_class = np.append(np.log10(known / other), 0.0)
+        in_class[:shared] = 0
+        places = dict(zip(head, range(len(head))))
+        vectors = rows.astype(np.float32), columns.astype(np.float32)
         for batch in batches:
             for at in range(0, batch.num_rows, SCORED_ROWS):
-                yield scored(batch.slice(at, SCORED_ROWS), logs)
+                yield scored(batch.slice(at, SCORED_ROWS), places, logs, in_class, *vectors)
 
-    def bilinear(row: np.ndarray) -> float:
+    def bilinear(row: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> float:
         """Logarithm to 10 of the probability of all classes after the first."""
         total = 0.0
         for at in range(0, len(row) - 1, 50_000):
             before, after = row[at : at + 50_000], row[at + 1 : at + 50_001]
             before = before[: len(after)]
-            total += np.einsum("ij,ij->i", rows[before].astype(np.float32), columns[after].astype(np.float32)).sum(dtype=np.float64) - sums[before].sum()
+            total += np.einsum("ij,ij->i", rows[before], columns[after]).sum(dtype=np.float64) - sums[before].sum()
         return total / math.log(10)
 
-    def scored(batch: pa.RecordBatch, logs: dict[bytes, tuple[float, float]]) -> pa.RecordBatch:
+    def scored(batch: pa.RecordBatch, places: dict[bytes, int], logs: np.ndarray, in_class: np.ndarray, *vectors: np.ndarray) -> pa.RecordBatch:
         out: dict[str, list] = {n: [] for n, _ in added}
         tail_words: list[bytes] = []
         tail_counts: list[int] = []
         ends = [0]
         for text in batch.column("_text").to_pylist():
             words = tokens(text)
-            row = _classes(words, classes, shared)
-            found, in_class, known = 0.0, 0.0, 0
-            for word, n in Counter(words).items():
-                held = logs.get(word)
-                if held is None:
-                    tail_words.append(word)
-                    tail_counts.append(n)
-                else:
-                    known += n
-                    found += n * held[0]
-                    in_class += n * held[1]
+            row = _classes(words, places, len(head))
+            own = row[1:]
+            rare = np.flatnonzero(own == len(head))
+            if len(rare):
+                counts = Counter(map(words.__getitem__, rare.tolist()))
+                tail_words += counts.keys()
+                tail_counts += counts.values()
             out["n_tokens"].append(len(words))
-            out["_head_known"].append(known)
-            out["_head_base"].append(found)
-            out["_head_score"].append(in_class + bilinear(row))
+            out["_head_known"].append(len(words) - len(rare))
+            out["_head_base"].append(float(logs[own].sum()))
+            out["_head_score"].append(float(in_class[own].sum()) + bilinear(np.minimum(row, shared), *vectors))
             ends.append(len(tail_words))
         pairs = pa.StructArray.from_arrays([pa.array(tail_words, pa.binary()), pa.array(tail_counts, pa.int64())], names=["token", "n"])
         names = [n for n in batch.schema.names if n != "_text"]

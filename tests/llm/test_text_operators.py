@@ -370,6 +370,21 @@ def test_words_beyond_the_most_frequent_have_context(spark):
     assert better >= 1_900
 
 
+def test_vectors_fitted_together_equal_those_fitted_alone():
+    from salescope.llm.language_model import VECTOR, _improved
+
+    draw = np.random.default_rng(4)
+    other = draw.standard_normal((300, VECTOR + 1)).astype(np.float32)
+    sizes = np.array([1, 1, 2, 3, 40, 41, 5, 1, 260, 7])
+    starts = np.cumsum(sizes) - sizes
+    to, n, drawn = draw.integers(0, 300, sizes.sum()), draw.integers(1, 9, sizes.sum()), draw.integers(0, 300, 50)
+    for biased in (False, True):
+        together = _improved(starts, to, n, other, drawn, biased)
+        for i, (at, size) in enumerate(zip(starts, sizes)):
+            alone = _improved(np.array([0]), to[at : at + size], n[at : at + size], other, drawn, biased)
+            assert np.allclose(together[i], alone[0], atol=1e-4)
+
+
 def test_fit_in_tasks_is_normalised_and_learns(spark, monkeypatch):
     from salescope.llm import language_model
 
