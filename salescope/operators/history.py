@@ -21,6 +21,15 @@ def _of_user(history: DataFrame, user_id: int | None) -> DataFrame:
     return history if user_id is None else history.where(F.col("user_id") == user_id)
 
 
+def _of_known(rows: DataFrame, owners: DataFrame, all_users: bool) -> DataFrame:
+    """The rows of ``owners`` (column ``analysis_id``).
+
+    Over all analyses the ids are hashed, not sorted: a task then holds its part of the ids and streams the
+    wide rows, however many there are. A user's own ids are few, and Spark may send them to all tasks.
+    """
+    return rows.join(owners.hint("shuffle_hash") if all_users else owners, "analysis_id", "left_semi")
+
+
 def history_page(
     history: DataFrame,
     metrics: DataFrame,
@@ -97,7 +106,7 @@ def analysis_detail(
     rows = parts[0].unionByName(parts[1]).unionByName(parts[2])
     if analysis_id is not None:
         rows = rows.where(F.col("analysis_id") == analysis_id)
-    return rows.join(owners, "analysis_id", "left_semi")
+    return _of_known(rows, owners, user_id is None and analysis_id is None)
 
 
 def owned_metrics(
@@ -109,7 +118,7 @@ def owned_metrics(
         if value is not None:
             metrics = metrics.where(F.col(column) == value)
     owners = _of_user(history, user_id).select(F.col("id").alias("analysis_id"))
-    return metrics.join(owners, "analysis_id", "left_semi")
+    return _of_known(metrics, owners, user_id is None and analysis_id is None)
 
 
 def owned_insights(
@@ -120,7 +129,7 @@ def owned_insights(
         if value is not None:
             insights = insights.where(F.col(column) == value)
     owners = _of_user(history, user_id).select(F.col("id").alias("analysis_id"))
-    return insights.join(owners, "analysis_id", "left_semi")
+    return _of_known(insights, owners, user_id is None and analysis_id is None)
 
 
 def charts_with_links(charts: DataFrame, history: DataFrame, user_id: int | None = None) -> DataFrame:
@@ -128,7 +137,7 @@ def charts_with_links(charts: DataFrame, history: DataFrame, user_id: int | None
     owners = _of_user(history, user_id).select(F.col("id").alias("analysis_id"))
     name = F.element_at(F.split("chart_path", "/"), -1)
     return (
-        charts.join(owners, "analysis_id", "left_semi")
+        _of_known(charts, owners, user_id is None)
         .withColumn("file_name", name)
         .withColumn("url", F.concat(F.lit(CHART_URL), F.col("file_name")))
     )

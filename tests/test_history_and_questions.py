@@ -134,3 +134,21 @@ def test_tools(spark):
 def test_routing_needs_length(spark):
     assert label(spark, "why so low", "routing_type") == "simple"
     assert label(spark, "why so low " + "x" * 100, "routing_type") == "complex"
+
+
+def test_details_of_all_analyses_sort_no_rows(spark):
+    """Ids are hashed, the wide rows only stream by; null and repeated ids neither match nor multiply rows."""
+    h = spark.createDataFrame([(i, 7) for i in (1, 2, 2, None)], "id long, user_id long")
+    m = spark.createDataFrame([(a, "revenue", Decimal(a or 0)) for a in (1, 2, 3, None, 1)], "analysis_id long, metric_type string, metric_value decimal(20,2)").selectExpr(
+        "*", "cast(null as date) AS metric_date", "cast(null as string) AS category", "cast(null as string) AS category_name"
+    )
+    i = spark.createDataFrame([(2, "answer", "t", Decimal("0.90"))], "analysis_id long, insight_type string, insight_text string, confidence_score decimal(5,2)")
+    c = spark.createDataFrame([(3, "bar", "/a/b.png", None)], "analysis_id long, chart_type string, chart_path string, chart_data string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        details = history.analysis_detail(h, m, i, c)
+        assert "Sort" not in details._jdf.queryExecution().executedPlan().toString()
+        assert sorted((r.analysis_id, r.section) for r in details.collect()) == [(1, "metrics"), (1, "metrics"), (2, "insights"), (2, "metrics")]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
