@@ -176,6 +176,7 @@ def extract_insights(
 
 def backfill(existing: DataFrame, extracted: DataFrame, history: DataFrame) -> DataFrame:
     """``existing`` with every row of the processed analyses replaced; running twice changes nothing."""
-    processed = history.select(F.col("id").alias("analysis_id"))
+    # the processed ids are hashed, so the rows to keep stream by unsorted
+    processed = history.select(F.col("id").alias("analysis_id")).hint("shuffle_hash")
     kept = existing.join(processed, "analysis_id", "left_anti")
     return kept.unionByName(extracted, allowMissingColumns=True)

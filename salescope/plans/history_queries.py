@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from salescope.operators import extraction, history
 from salescope.plans.tables import over_sales, sales, table
+from salescope.session import spread
 
 QUERIES = {}
 ORACLES = {}
@@ -175,6 +176,7 @@ def stored_results(spark, sf_dir):
     nested = F.concat(F.lit('{"total_revenue": '), F.col("r").cast("string"), F.lit(', "trend": [1]}'))
     shown = F.when(F.col("n") > 1, nested).otherwise(F.col("r").cast("string"))
     item = F.concat(F.lit('"'), "brand", F.lit('": '), shown)
+    cell = spread(cell, table(spark, sf_dir, "lineitem").count(), "customer")
     docs = cell.groupBy("customer").agg(
         F.sum("r").alias("total"), F.sum("n").alias("n"), F.array_join(F.array_sort(F.collect_list(item)), ", ").alias("brands")
     )

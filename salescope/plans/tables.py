@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from salescope.functions.numbers import to_money
 from salescope.operators.mapping import with_profit
+from salescope.session import spread
 
 SALES_COLUMNS = [
     "date", "customer", "product", "brand", "region", "revenue", "cost", "currency", "quantity", "payment_status",
@@ -30,11 +31,13 @@ def sales(spark: SparkSession, sf_dir: str, columns: Iterable[str] | None = None
     """Order lines as the canonical sales table; ``profit`` may be asked for too.
 
     Dimensions are left joins from the order line: no line is lost, and a join
-    that no wanted column needs is not planned at all.
+    that no wanted column needs is not planned at all. Lines and orders are dealt to
+    partitions by the number of lines, which the files' footers tell.
     """
     wanted = list(columns or [*SALES_COLUMNS, "profit"])
     base = {c for c in wanted if c != "profit"} | ({"revenue", "cost"} if "profit" in wanted else set())
-    lines = table(spark, sf_dir, "lineitem").select(
+    lineitem = table(spark, sf_dir, "lineitem")
+    lines = lineitem.select(
         "l_orderkey",
         "l_partkey",
         to_money(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("revenue"),
@@ -65,6 +68,8 @@ def sales(spark: SparkSession, sf_dir: str, columns: Iterable[str] | None = None
                 places = nations.join(regions, F.col("n_regionkey") == F.col("r_regionkey"), "left")
                 customers = customers.join(places, F.col("c_nationkey") == F.col("n_nationkey"), "left")
             orders = orders.join(customers, F.col("o_custkey") == F.col("c_custkey"), "left")
+        rows = lineitem.count()
+        lines, orders = spread(lines, rows, "l_orderkey"), spread(orders, rows, "o_orderkey")
         lines = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"), "left")
     if base & {"product", "brand"}:
         parts = table(spark, sf_dir, "part").select(

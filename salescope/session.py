@@ -83,6 +83,19 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return os.path.join(shared_folder(spark), "salescope", f"{label}-{uuid.uuid4().hex}")
 
 
+ROWS_PER_TASK = 250_000
+LEFT_TO_SPARK = 1_000_000  # so few rows need no partitions of their own
+
+
+def spread(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """``df`` dealt by ``keys`` to tasks of about ``ROWS_PER_TASK`` of ``rows`` rows; few rows are left to Spark.
+
+    Spark joins shuffle partitions up to a size after compression, so that what a task sorts grows with how well
+    its rows compress. Frames that are joined are dealt by the same number.
+    """
+    return df if rows <= LEFT_TO_SPARK else df.repartition(-(-rows // ROWS_PER_TASK), *keys)
+
+
 def materialise(df: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back, cutting its lineage there."""
     spark = df.sparkSession

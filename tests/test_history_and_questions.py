@@ -152,3 +152,33 @@ def test_details_of_all_analyses_sort_no_rows(spark):
         assert sorted((r.analysis_id, r.section) for r in details.collect()) == [(1, "metrics"), (1, "metrics"), (2, "insights"), (2, "metrics")]
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_backfill_sorts_no_rows(spark):
+    rows = "analysis_id long, metric_type string, metric_value double"
+    old = spark.createDataFrame([(1, "a", 1.0), (2, "b", 2.0), (2, "b", 2.0), (None, "c", 3.0)], rows)
+    fresh, docs = spark.createDataFrame([(2, "b", 5.0)], rows), spark.createDataFrame([(2,), (2,), (3,), (None,)], "id long")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        filled = extraction.backfill(old, fresh, docs)
+        assert "Sort" not in filled._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(str, (tuple(r) for r in filled.collect()))) == ["(1, 'a', 1.0)", "(2, 'b', 5.0)", "(None, 'c', 3.0)"]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_stored_results_are_dealt_by_the_number_of_lines(spark, monkeypatch):
+    from salescope import session
+    from salescope.plans import history_queries
+
+    lines = spark.range(600).selectExpr(
+        "DATE'2024-01-05' AS date", "concat('Customer#', lpad(string(id % 97), 9, '0')) AS customer", "concat('Brand#', id % 7) AS brand", "cast(id AS decimal(18,2)) AS revenue"
+    )
+    monkeypatch.setattr(history_queries, "sales", lambda s, d, columns: lines.select(*columns))
+    monkeypatch.setattr(history_queries, "table", lambda s, d, name: lines)
+    plain = sorted(history_queries.stored_results(spark, "").collect())
+    monkeypatch.setattr(session, "LEFT_TO_SPARK", 100)
+    monkeypatch.setattr(session, "ROWS_PER_TASK", 50)
+    dealt = history_queries.stored_results(spark, "")
+    assert dealt.rdd.getNumPartitions() == 12 and sorted(dealt.collect()) == plain and len(plain) == 97

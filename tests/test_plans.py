@@ -61,3 +61,19 @@ def test_same_results_without_broadcasts(spark, name):
         spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
         for key, value in before.items():
             spark.conf.set(key, value)
+
+
+def test_many_lines_are_dealt_by_their_number(spark, tmp_path, monkeypatch):
+    """Lines and orders meet in partitions of a bounded number of lines; lines without an order are kept."""
+    from salescope import session
+
+    spark.range(1000).selectExpr(
+        "if(id % 50 = 0, null, id div 3) AS l_orderkey", "id AS l_partkey", "10.0D AS l_extendedprice", "0.0D AS l_discount", "1.0D AS l_quantity"
+    ).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.range(300).selectExpr("id AS o_orderkey", "id AS o_custkey", "timestamp_ntz'2024-01-01 00:00:00' AS o_orderdate", "'F' AS o_orderstatus").write.parquet(f"{tmp_path}/orders.parquet")
+    plain = sorted(map(str, sales(spark, str(tmp_path), ["date", "revenue"]).collect()))
+    monkeypatch.setattr(session, "LEFT_TO_SPARK", 100)
+    monkeypatch.setattr(session, "ROWS_PER_TASK", 50)
+    dealt = sales(spark, str(tmp_path), ["date", "revenue"])
+    assert "REPARTITION_BY_NUM" in plan_of(dealt) and dealt.rdd.getNumPartitions() >= 20
+    assert sorted(map(str, dealt.collect())) == plain and len(plain) == 1000
