@@ -22,7 +22,7 @@ from salescope.functions.numbers import floor_double, plain_number
 from salescope.functions.text import display_name
 from salescope.operators.models import arima_forecasts, holt_winters_forecasts
 from salescope.operators.timeseries import fill_months, filled_months, series_window, sparse_months
-from salescope.session import materialise, ship
+from salescope.session import materialise, ship, spread
 
 ARIMA, MOVING_AVERAGE, HOLT_WINTERS = "ARIMA (1,1,1)", "Moving Average", "ETS"
 FALLBACK = "Moving Average (fallback)"
@@ -299,7 +299,8 @@ def product_forecasts(
     """
     # one row per product and month, stored, as the latest month and every strategy read it
     series = materialise(observed_product_series(sales, product), "product-series")
-    tagged = with_strategy(series)
+    months = series.count()
+    tagged = with_strategy(spread(series, months, "product"))
     forecasts = _simple_product_forecasts(tagged, steps)
     if methods is None or _ARIMA101 in methods:
         forecasts = forecasts.unionByName(_modelled_product_forecasts(tagged, steps))
@@ -312,7 +313,7 @@ def product_forecasts(
         F.lit(None).cast("int").alias("step"), F.lit(None).cast("double").alias("_value")
     )
     return (
-        forecasts.unionByName(short)
+        spread(forecasts.unionByName(short), months, "product")
         .withColumn("_sum", F.sum("_value").over(per_product))
         .select(
             "product",

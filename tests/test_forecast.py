@@ -201,3 +201,21 @@ def test_seasons_of_several_lengths():
 def test_explanation_counts_every_step(series_of):
     row = forecast.explained_forecast(series_of(s=np.arange(1, 25) * 100.0), steps=6).first()
     assert row.avg_monthly_change == pytest.approx((2750 - 2300) / 6) and "over the next 6 months" in row.explanation
+
+
+def test_many_months_are_dealt_by_their_number(sales_of, monkeypatch):
+    """A task's share of the series does not grow with the table, and the rows stay the same."""
+    from salescope import session
+
+    rng = np.random.default_rng(3)
+    rows = [(m.isoformat(), "c", f"p{i}", "r", int(rng.integers(0, 50)), 0, 1.0, "paid") for i in range(40) for m in months(1 + i % 9, 2024)]
+    sales = sales_of([*rows, ("2024-01-01", "c", None, "r", 5, 0, 1.0, "paid"), *rows[:30]])
+    plain = forecast.product_forecasts(sales)
+    monkeypatch.setattr(session, "LEFT_TO_SPARK", 10)
+    monkeypatch.setattr(session, "ROWS_PER_TASK", 10)
+    dealt = forecast.product_forecasts(sales)
+    assert dealt.rdd.getNumPartitions() >= 18  # 196 months
+    key = lambda r: (r.product, r.step or 0)
+    assert sorted(dealt.collect(), key=key) == sorted(plain.collect(), key=key)
+    trends = forecast.forecast_trends(dealt)
+    assert trends.rdd.getNumPartitions() >= 18 and trends.count() == 40
