@@ -91,7 +91,8 @@ def redact_json(details: Column) -> Column:
     session = SparkSession.getActiveSession()
     if session is not None:
         ship(session)
-    return F.when(~suspect, details).when(simple, in_place).otherwise(_redacted(F.when(suspect & ~simple, details)))
+    # Only the rest comes back from Python, so what is simple is asked once.
+    return F.coalesce(_redacted(F.when(suspect & ~simple, details)), F.when(suspect, in_place).otherwise(details))
 
 
 def query_log(
@@ -154,13 +155,16 @@ def build_chain(entries: DataFrame, secret: str, order: Sequence[str], day: str
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, seq, previous = object(), 0, GENESIS_HASH
+        encode, keyed = json.JSONEncoder(sort_keys=True).encode, hmac.new(secret.encode(), digestmod=hashlib.sha256)
         for batch in batches:
             out = []
             for date, entry in zip(batch[day], batch["entry"]):
                 if date != current:
                     current, seq, previous = date, 0, GENESIS_HASH
-                payload = json.dumps({**json.loads(entry), "prev_hash": previous}, sort_keys=True)
-                digest = hmac.new(secret.encode(), payload.encode(), hashlib.sha256).hexdigest()
+                payload = encode({**json.loads(entry), "prev_hash": previous})
+                signed = keyed.copy()
+                signed.update(payload.encode())
+                digest = signed.hexdigest()
                 out.append((date, seq, payload, previous, digest))
                 seq, previous = seq + 1, digest
             yield pd.DataFrame(out, columns=[day, "seq", "payload", "prev_hash", "hash"])
@@ -198,17 +202,24 @@ def chain_from_lines(lines: DataFrame, day: str = "log_date") -> DataFrame:
 def check_entries(chain: DataFrame, secret: str, day: str = "log_date") -> DataFrame:
     """Per entry: does it follow its predecessor, and does its hash recompute?
 
-    The predecessor is joined on (day, seq), which spreads a large day over tasks.
+    The predecessor is joined on (day, seq), which spreads a large day over tasks. Payloads are judged
+    before, so that only hashes are shuffled and sorted.
     """
     following = chain.select(day, (F.col("seq") + 1).alias("seq"), F.col("hash").alias("_expected"))
     expected = F.when(F.col("seq") == 0, F.lit(GENESIS_HASH)).otherwise(F.col("_expected"))
-    recorded = F.get_json_object("payload", "$.prev_hash")
-    return chain.join(following, [day, "seq"], "left").select(
+    judged = chain.select(
         day,
         "seq",
-        F.coalesce((F.col("prev_hash") == expected) & (recorded == F.col("prev_hash")), F.lit(False)).alias("linked"),
+        "prev_hash",
+        (F.get_json_object("payload", "$.prev_hash") == F.col("prev_hash")).alias("_recorded"),
         F.coalesce(hmac_sha256(F.col("payload"), secret) == F.col("hash"), F.lit(False)).alias("genuine"),
     )
+    return judged.join(following, [day, "seq"], "left").select(
+        day,
+        "seq",
+        F.coalesce((F.col("prev_hash") == expected) & F.col("_recorded"), F.lit(False)).alias("linked"),
+        "genuine",
+    )
 
 
 def verify_chains(chain: DataFrame, secret: str, day: str = "log_date") -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from salescope.functions.fixed_values import FIX_TEXTS, FLAT_TOKEN_PRICES, TOKEN_PRICES
 from salescope.operators import audit, audit_tree, calls, costs, experiments, failures, performance
 from salescope.plans.tables import table
-from salescope.session import materialise
+from salescope.session import materialise, spread
 
 QUERIES = {}
 ORACLES = {}
@@ -449,7 +449,9 @@ def audit_rows(events):
 
 def audit_chain(spark, sf_dir):
     """The whole audit log, redacted, chained per day and stored."""
-    log = audit_log(spark, sf_dir).withColumn("details", audit.redact_json(F.col("details")))
+    events = _events(spark, sf_dir)
+    # few files make few tasks; redaction is spread evenly
+    log = audit_rows(spread(events, events.count(), "event_id")).withColumn("details", audit.redact_json(F.col("details")))
     entry = F.to_json(
         F.struct(
             F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("timestamp"), "action_type", "agent", "user", "success", "details"

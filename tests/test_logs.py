@@ -165,3 +165,22 @@ def test_call_stats_without_success(spark):
     frame = spark.createDataFrame([("gpt-4o", NOW, 1, 5.0, 1000, 1000, False)], "model string, ts timestamp_ntz, call_id long, latency_ms double, input_tokens long, output_tokens long, success boolean")
     row = calls.call_stats(frame).first()
     assert row.avg_latency_ms == 0.0 and row.success_rate == 0.0 and row.estimated_cost == 0.01
+
+
+def test_checking_shuffles_hashes_only(spark, capsys):
+    """Payloads are judged where they are read; entries without hash, predecessor or payload are found as before."""
+    day = datetime.date(2024, 1, 1)
+    chain = audit.build_chain(spark.createDataFrame([(day, i, json.dumps({"i": i})) for i in range(5)], "log_date date, at int, entry string"), "key", ["at"])
+    rows = [r.asDict() for r in chain.collect()]
+    rows[2]["payload"], rows[4]["hash"] = None, None
+    stored = spark.createDataFrame([tuple(r.values()) for r in rows], chain.schema)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        checked = audit.check_entries(stored, "key")
+        checked.explain("formatted")
+        sorts = [part.split("Input")[1].split("]\n")[0] for part in capsys.readouterr().out.split("\n\n") if ") Sort" in part and "Input" in part]
+        assert len(sorts) == 2 and not any("payload" in columns for columns in sorts)
+        assert sorted(tuple(r)[1:] for r in checked.collect()) == [(0, True, True), (1, True, True), (2, False, False), (3, True, True), (4, True, False)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
