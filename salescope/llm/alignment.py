@@ -11,7 +11,6 @@ for each. The counts of the ``HEAD`` most frequent pairs go to every task; those
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import json
 import re
@@ -26,7 +25,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StringType, StructField, StructType
 
 from salescope.functions.ranking import ordered_bin
-from salescope.llm.common import map_batches, stored, unused
+from salescope.llm.common import kept_by_worker, map_batches, stored, unused
 
 SPACE = "▁"
 HEAD = 1_000_000  # pairs whose counts go to every task
@@ -176,7 +175,7 @@ class Pair:
         return found
 
 
-@functools.lru_cache(maxsize=2)
+@kept_by_worker
 def tokenizer_pair(a_path: str, b_path: str) -> Pair:
     return Pair(a_path, b_path)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import functools
 import gc
 from collections.abc import Callable, Iterator
@@ -13,10 +14,53 @@ from pyspark.sql.types import StructType
 from salescope.session import materialise, ship
 
 
-def map_batches(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+Batches = Iterator[pa.RecordBatch]
+
+_CLEARS: list[Callable[[], None]] = []  # of the tables that operators keep in a Python worker
+_LAST = [""]  # the module whose task a Python worker ran last
+
+
+def kept_by_worker(build: Callable) -> Callable:
+    """Remember what ``build`` makes for the tasks of a Python worker, until a task of another module starts in it."""
+    kept = functools.lru_cache(maxsize=2)(build)
+    _CLEARS.append(kept.cache_clear)
+    return kept
+
+
+def give_back() -> None:
+    """Return freed memory to the system; a worker that waits for its next task else holds on to it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
+def run_task(function: Callable[[Batches], Batches], batches: Batches) -> Batches:
+    """``function`` in a Python worker, without the tables of other operators and without memory left at its end.
+
+    Spark keeps workers for later tasks, also those of other queries, and counts them to the executor.
+    """
+    if _LAST[0] != function.__module__:
+        _LAST[0] = function.__module__
+        for clear in _CLEARS:
+            clear()
+        gc.collect()
+        give_back()
+    try:
+        yield from function(batches)
+    finally:
+        give_back()
+
+
+def map_batches(df: DataFrame, function: Callable[[Batches], Batches], schema) -> DataFrame:
     """``mapInArrow`` with the package sent along."""
     ship(df.sparkSession)
-    return df.mapInArrow(function, schema)
+
+    def run(batches: Batches) -> Batches:
+        yield from run_task(function, batches)
+
+    return df.mapInArrow(run, schema)
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:

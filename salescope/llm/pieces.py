@@ -10,7 +10,6 @@ it is stored. The ids are then read from the table backwards.
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import heapq
 import re
@@ -24,11 +23,11 @@ import sentencepiece
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from salescope.llm.common import map_batches
+from salescope.llm.common import kept_by_worker, map_batches
 
 SPACE = "▁"
-CACHED_WORDS = 1_200_000  # of a Python worker; emptied when full
-CACHED_PAIRS = 1_000_000  # the same
+CACHED_WORDS = 400_000  # of a Python worker; half of them go when full, those that were not met lately
+CACHED_PAIRS = 1_000_000  # of a Python worker; emptied when full
 
 
 class PieceTable:
@@ -188,27 +187,34 @@ class PieceTable:
         """Ids with begin and end, as little-endian unsigned 32-bit integers."""
         words = self.split.findall(SPACE + text.replace(" ", SPACE)) if text else []
         out = b"".join(map(self.cache.__getitem__, words))
-        if len(self.cache) > CACHED_WORDS:
-            self.cache.clear()
+        if len(self.cache) > CACHED_WORDS // 2:
+            self.cache.age()
         return b"".join((self.bos.to_bytes(4, "little"), out, self.eos.to_bytes(4, "little")))
 
 
 class _Words(dict):
-    """Ids of words seen lately."""
+    """Ids of words seen lately; those of the generation before come back when they are met again."""
 
     def __init__(self, table: PieceTable):
         super().__init__()
         self.table = table
+        self.before: dict[str, bytes] = {}
+
+    def age(self) -> None:
+        self.before = dict(self)
+        self.clear()
 
     def __missing__(self, word: str) -> bytes:
-        found = self.table.word_ids(word)
-        ids = struct.pack(f"<{len(found)}I", *found)
+        ids = self.before.get(word)
+        if ids is None:
+            found = self.table.word_ids(word)
+            ids = struct.pack(f"<{len(found)}I", *found)
         if len(word) <= 64:
             self[word] = ids
         return ids
 
 
-@functools.lru_cache(maxsize=2)
+@kept_by_worker
 def piece_table(path: str) -> PieceTable:
     return PieceTable(path)
 

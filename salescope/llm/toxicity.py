@@ -39,6 +39,7 @@ MIN_DOCS = 8
 MIN_RATIO = 3.0  # of a feature's rates in the two classes
 THRESHOLD = 0.3
 CACHED_WORDS = 500_000
+SCORED_ROWS = 500  # texts that a task holds besides a batch
 
 
 def word_features(word: bytes) -> list[bytes]:
@@ -202,16 +203,17 @@ def _scored(model: Toxicity, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[bytes, tuple[bytes, ...]] = {}
         for batch in batches:
-            scores = []
-            for text in batch.column("_text").to_pylist():
-                scores.append(model.score(text, cache))
-                if len(cache) > CACHED_WORDS:
-                    cache.clear()
-            names = [n for n in batch.schema.names if n != "_text"]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(n) for n in names] + [pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32())],
-                names=names + ["score", "predicted"],
-            )
+            for at in range(0, batch.num_rows, SCORED_ROWS):
+                part = batch.slice(at, SCORED_ROWS)
+                scores = []
+                for text in part.column("text").cast(pa.binary()).to_pylist():
+                    scores.append(model.score(text, cache))
+                    if len(cache) > CACHED_WORDS:
+                        cache.clear()
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns, pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32())],
+                    names=[*part.schema.names, "score", "predicted"],
+                )
 
     return run
 
@@ -220,11 +222,11 @@ def score_toxicity(docs: DataFrame, model: Toxicity, threshold: float = THRESHOL
     """``docs`` with ``score`` (0 to 1) and ``predicted`` (1 from ``threshold`` on), judged on the whole text alone.
 
     A null text scores like an empty one. Columns of the two names are replaced, all others and
-    every row, repeated ones too, pass through.
+    every row, repeated ones too, pass through. A task holds one copy of its texts.
     """
-    docs = docs.drop("score", "predicted", "_text")
+    docs = docs.drop("score", "predicted")
     schema = StructType([*docs.schema.fields, StructField("score", DoubleType()), StructField("predicted", IntegerType())])
-    return map_batches(docs.withColumn("_text", F.col("text").cast("binary")), _scored(model, threshold), schema)
+    return map_batches(docs, _scored(model, threshold), schema)
 
 
 def id_remainder(doc_id: Column, by: int) -> Column:
