@@ -13,6 +13,7 @@ the logarithm of its sum of scores, so log-probabilities are normalised.
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from itertools import repeat
@@ -29,9 +30,13 @@ END = b"\n"  # no word holds white space, so this stands for the end of a text
 SMOOTHING = 0.1
 WORDS = 200_000  # classes besides the shared one
 HEAD = 200_000  # tokens whose counts go to every task; the counts of all others are joined
+PART_BYTES = 12_000_000  # of texts for each part of the token counts, so their number grows with the table
 HELD_TOKENS = 250_000  # distinct tokens that a counting task holds at a time
 SCORED_ROWS = 500  # texts whose rare tokens a task holds
 HELD_PAIRS = 2_000_000  # that a task adds to its table at a time
+PART_PAIRS = 1_000_000  # or so, that are summed or sorted at a time
+PACKS = "part int, size long, keys binary, n binary"  # keys and n are int64, keys as differences
+PACKED = pa.schema([("part", pa.int32()), ("size", pa.int64()), ("keys", pa.binary()), ("n", pa.binary())])
 FITTED_PAIRS = 150_000  # that a task fits at a time, or those of one class
 FITTED_TOGETHER, FITTED_PADDED = 2_000, 100_000  # vectors and pairs in one batch of matrices, or one vector
 SUMMED = 2_000  # classes whose sums one task takes
@@ -39,31 +44,64 @@ VECTOR, NOISE, DRAWN, ROUNDS, STEPS, RATE, RIDGE = 24, 5.0, 500, 2, 12, 0.2, 1.0
 
 
 def tokens(text: bytes | None) -> list[bytes]:
-    """Words between white space (space, 0x09 to 0x0D), and one end."""
-    words = text.split() if text else []
+    """Words between white space (space, 0x09 to 0x0D), A-Z lower-cased, and one end."""
+    words = text.lower().split() if text else []
     words.append(END)
     return words
 
 
-def _token_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: Counter = Counter()
+def _token_counts(parts: int):
+    """Packs of distinct tokens by their part, each with its count in some texts."""
 
-    def out() -> pa.RecordBatch:
-        batch = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["token", "n"])
-        counts.clear()
-        return batch
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter = Counter()
 
-    for batch in batches:
-        for text in batch.column(0).to_pylist():
-            counts.update(tokens(text))
-            if len(counts) > HELD_TOKENS:
-                yield out()
-    yield out()
+        def out() -> Iterator[pa.RecordBatch]:
+            part = np.fromiter(map(zlib.crc32, counts), np.uint32, len(counts)) % np.uint32(parts)
+            order, ends = np.argsort(part, kind="stable"), np.cumsum(np.bincount(part, minlength=parts))
+            words, n = pa.array(list(counts), pa.binary()).take(pa.array(order)), np.fromiter(counts.values(), np.int64, len(counts))[order]
+            counts.clear()
+            starts = np.frombuffer(words.buffers()[1], np.int32, len(words) + 1)
+            data = memoryview(words.buffers()[2] or b"")
+            rows = [(k, i, j) for k, (i, j) in enumerate(zip([0, *ends[:-1].tolist()], ends.tolist())) if i < j]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([k for k, _, _ in rows], pa.int32()), pa.array([np.diff(starts[i : j + 1]).tobytes() for _, i, j in rows], pa.binary()),
+                    pa.array([data[starts[i] : starts[j]].tobytes() for _, i, j in rows], pa.binary()), pa.array([n[i:j].tobytes() for _, i, j in rows], pa.binary()),
+                ],
+                names=["part", "sizes", "words", "n"],
+            )
+
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                counts.update(tokens(text))
+                if len(counts) > HELD_TOKENS:
+                    yield from out()
+        if counts:
+            yield from out()
+
+    return run
+
+
+def _added(packs: pa.Table) -> pa.Table:
+    """(token, n) of a part's packs."""
+    sizes = np.concatenate([np.frombuffer(x.as_buffer(), np.int32) for x in packs.column("sizes")])
+    ends = np.cumsum(sizes, dtype=np.int64)
+    words = b"".join(x.as_py() for x in packs.column("words"))
+    found = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(np.append(0, ends)), pa.py_buffer(words)])
+    n = np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in packs.column("n")])
+    summed = pa.table({"token": found, "n": n}).group_by("token").aggregate([("n", "sum")])
+    return pa.table({"token": summed.column("token").cast(pa.binary()), "n": summed.column("n_sum")})
 
 
 def token_counts(texts: DataFrame) -> DataFrame:
-    """Stored (token, n) over all rows of ``texts`` (text as bytes)."""
-    return stored(map_batches(texts.select("text"), _token_counts, "token binary, n long").groupBy("token").agg(F.sum("n").alias("n")), "token-counts")
+    """Stored (token, n) over all rows of ``texts`` (text as bytes).
+
+    A task's counts go in packs to parts by the tokens' checksum, a pack being one row for Spark, and are added there.
+    """
+    size = texts.agg(F.sum(F.length("text"))).first()[0] or 0
+    packs = map_batches(texts.select("text"), _token_counts(1 + size // PART_BYTES), "part int, sizes binary, words binary, n binary")
+    return stored(packs.groupBy("part").applyInArrow(_added, "token binary, n long"), "token-counts")
 
 
 def _frequent(counts: DataFrame, most: int) -> dict[bytes, int]:
@@ -85,8 +123,82 @@ def _frequent(counts: DataFrame, most: int) -> dict[bytes, int]:
     return dict(sorted(zip(rows.column("token").to_pylist(), rows.column("n").to_pylist()), key=lambda x: (-x[1], x[0])))
 
 
-def _pair_counts(classes: dict[bytes, int]):
-    """(pair, n): a pair is the class before times the number of classes, plus the class."""
+def _mixed(numbers: np.ndarray, parts: int) -> np.ndarray:
+    """The part of each number; neighbours and multiples are spread."""
+    return ((numbers.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)) % np.uint64(parts)
+
+
+def _packs(keys: np.ndarray, n: np.ndarray, part: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(part, size, keys, n): what goes to one part is one row; ``keys`` are ascending and packed as their differences."""
+    order = np.argsort(part.astype(np.uint16) if len(part) and part.max() < 1 << 16 else part, kind="stable")
+    part, keys, n = part[order], keys[order], n[order].astype(np.int64)
+    starts = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else np.empty(0, int)
+    ends = np.append(starts[1:], len(part))
+    for at in range(0, len(starts), 1_000):
+        rows = list(zip(starts[at : at + 1_000].tolist(), ends[at : at + 1_000].tolist()))
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array([int(part[i]) for i, _ in rows], pa.int32()), pa.array([k - i for i, k in rows], pa.int64()),
+                pa.array([np.diff(keys[i:k], prepend=0).tobytes() for i, k in rows], pa.binary()), pa.array([n[i:k].tobytes() for i, k in rows], pa.binary()),
+            ],
+            names=PACKED.names,
+        )
+
+
+def _unpacked(keys: pa.ChunkedArray, n: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in ascending order and their sums, of all packs."""
+    found = np.concatenate([np.cumsum(np.frombuffer(x.as_buffer(), np.int64)) for x in keys])
+    times = np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in n])
+    order = np.argsort(found, kind="stable")
+    found, times = found[order], times[order]
+    starts = np.flatnonzero(np.diff(found, prepend=-1))
+    return found[starts], np.add.reduceat(times, starts)
+
+
+def _summed(packs: pa.Table) -> pa.Table:
+    """One pack of the pairs of a part, each with its count over all tasks."""
+    pairs, n = _unpacked(packs.column("keys"), packs.column("n"))
+    return pa.Table.from_batches(_packs(pairs, n, np.zeros(len(pairs), np.int64)), PACKED)
+
+
+def _dealt(width: int, parts: int, turned: bool):
+    """Packs of pairs anew by the class of one side, whose pairs all go to one part; ``turned``: by the class after."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for keys, n in zip(batch.column("keys"), batch.column("n")):
+                pairs, times = np.cumsum(np.frombuffer(keys.as_buffer(), np.int64)), np.frombuffer(n.as_buffer(), np.int64)
+                if turned:
+                    pairs = pairs % width * width + pairs // width
+                    order = np.argsort(pairs)
+                    pairs, times = pairs[order], times[order]
+                yield from _packs(pairs, times, _mixed(pairs // width, parts))
+
+    return run
+
+
+def _gathered(width: int):
+    """Of a part's packs: rows of some whole classes with their totals, and their pairs in order of the class."""
+
+    def run(packs: pa.Table) -> pa.Table:
+        pairs, n = _unpacked(packs.column("keys"), packs.column("n"))
+        own = pairs // width
+        starts = np.flatnonzero(np.diff(own, prepend=-1))
+        totals, ends = np.add.reduceat(n, starts), np.append(starts[1:], len(own))
+        rows, first = [], 0
+        while first < len(starts):
+            last = max(first + 1, int(np.searchsorted(ends, starts[first] + FITTED_PAIRS, side="right")))
+            at = slice(int(starts[first]), int(ends[last - 1]))
+            ids = own[starts[first:last]].astype(np.int32)
+            rows.append((ids, totals[first:last], (starts[first:last] - starts[first]).astype(np.int32), (pairs[at] % width).astype(np.int32), n[at]))
+            first = last
+        return pa.Table.from_arrays([pa.array([x.tobytes() for x in c], pa.binary()) for c in zip(*rows)], names=["ids", "totals", "starts", "to", "n"])
+
+    return run
+
+
+def _pair_counts(classes: dict[bytes, int], parts: int):
+    """Packs of pairs by their part; a pair is the class before times the number of classes, plus the class."""
     other, width = len(classes), len(classes) + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,8 +207,7 @@ def _pair_counts(classes: dict[bytes, int]):
 
         def out() -> Iterator[pa.RecordBatch]:
             pairs, n = np.unique(np.concatenate(held), return_counts=True)
-            for at in range(0, len(pairs), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[at : at + 100_000]), pa.array(n[at : at + 100_000])], names=["pair", "n"])
+            yield from _packs(pairs, n, _mixed(pairs, parts))
 
         for batch in batches:
             for text in batch.column(0).to_pylist():
@@ -112,6 +223,18 @@ def _pair_counts(classes: dict[bytes, int]):
     return run
 
 
+def _packed(parts: int):
+    """Packs of rows (pair, n)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs, n = (batch.column(i).to_numpy() for i in range(2))
+            order = np.argsort(pairs)
+            yield from _packs(pairs[order], n[order], _mixed(pairs[order], parts))
+
+    return run
+
+
 def _classes(words: list[bytes], classes: dict[bytes, int], other: int) -> np.ndarray:
     """Classes of a text's tokens, led by the end that precedes every text."""
     out = np.empty(len(words) + 1, np.int64)
@@ -158,11 +281,12 @@ def _steps(x: np.ndarray, n: np.ndarray, noise: np.ndarray, weight: np.ndarray,
     own = np.zeros((len(x), VECTOR + 1), np.float32)
     own[:, VECTOR] = -math.log(NOISE) if biased else 1
     first, second = np.zeros_like(own), np.zeros_like(own)
+    away = np.ascontiguousarray(-noise.T)
+    push = np.empty((len(x), len(noise)), np.float32)
     for step in range(1, STEPS + 1):
-        odds = np.matmul(x, own[:, :, None])[:, :, 0]
-        pull = n / (1 + np.exp(np.clip(odds, -30, 30)))
-        g = -np.matmul(pull[:, None, :], x)[:, 0]
-        g += (weight / (1 + np.exp(-np.clip(own @ noise.T, -30, 30)))) @ noise
+        pull = _share(n, np.matmul(x, own[:, :, None])[:, :, 0])
+        g = _share(weight, np.matmul(own, away, out=push)) @ noise
+        g -= np.matmul(pull[:, None, :], x)[:, 0]
         g[:, :VECTOR] += RIDGE * own[:, :VECTOR]
         if not biased:
             g[:, VECTOR] = 0
@@ -173,35 +297,24 @@ def _steps(x: np.ndarray, n: np.ndarray, noise: np.ndarray, weight: np.ndarray,
     return own
 
 
+def _share(n: np.ndarray, odds: np.ndarray) -> np.ndarray:
+    """``n / (1 + exp(odds))`` in the place of ``odds``."""
+    np.minimum(odds, 30, out=odds)
+    np.exp(odds, out=odds)
+    odds += 1
+    return np.divide(n, odds, out=odds)
+
+
 def _fitted(shared: Broadcast, drawn: np.ndarray, biased: bool):
-    """Of rows (class of this side, class of the other, n), together by the first: the first's new vectors."""
+    """Of rows that hold whole classes of this side with their pairs: the new vectors of the classes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         other = shared.value.astype(np.float32)
-        held: list[list[np.ndarray]] = []
-        size = 0
-
-        def out(last: bool) -> Iterator[pa.RecordBatch]:
-            nonlocal held, size
-            at, to, n = (np.concatenate(x) for x in zip(*held))
-            starts = np.flatnonzero(np.diff(at, prepend=-1))
-            end = len(at) if last else starts[-1]  # the last class may have more pairs to come
-            held, size = [[at[end:], to[end:], n[end:]]], len(at) - end
-            starts = starts[starts < end]
-            if len(starts):
-                ids = at[starts]
-                vectors = _improved(starts, to[:end], n[:end], other, drawn, biased)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([ids.astype(np.int32).tobytes()], pa.binary()), pa.array([vectors.astype(np.float16).tobytes()], pa.binary())], names=["ids", "vectors"]
-                )
-
         for batch in batches:
-            held.append([batch.column(i).to_numpy() for i in range(3)])
-            size += batch.num_rows
-            if size > FITTED_PAIRS:
-                yield from out(False)
-        if size:
-            yield from out(True)
+            for i in range(batch.num_rows):
+                starts, to, n = (np.frombuffer(batch.column(name)[i].as_buffer(), kind) for name, kind in (("starts", np.int32), ("to", np.int32), ("n", np.int64)))
+                vectors = _improved(starts, to, n, other, drawn, biased)
+                yield pa.RecordBatch.from_arrays([batch.column("ids").slice(i, 1), pa.array([vectors.astype(np.float16).tobytes()], pa.binary())], names=["ids", "vectors"])
 
     return run
 
@@ -224,21 +337,21 @@ def _with_rate(columns: np.ndarray, counts: np.ndarray) -> np.ndarray:
 def log_sums(rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
     """Logarithms of the sums of all scores, for each of ``rows``."""
     out = np.empty(len(rows))
-    for at in range(0, len(rows), 256):
-        own = rows[at : at + 256]
+    turned = np.ascontiguousarray(columns.T)
+    for at in range(0, len(rows), 64):
+        own = rows[at : at + 64]
         with np.errstate(over="ignore", divide="ignore"):
-            total = sum(_exp(own @ columns[k : k + 2_048].T).sum(axis=1) for k in range(0, len(columns), 2_048))
-            out[at : at + 256] = np.log(total, dtype=np.float64)
+            total = np.zeros(len(own))
+            for k in range(0, len(columns), 512):
+                scores = own @ turned[:, k : k + 512]
+                total += np.exp(scores, out=scores).sum(axis=1)
+            out[at : at + 64] = np.log(total)
         for i in np.flatnonzero(~np.isfinite(total) | (total < 1e-20)):  # beyond what a float holds
             scores = (columns @ own[i]).astype(np.float64)
             out[at + i] = scores.max() + np.log(np.exp(scores - scores.max()).sum())
     return out
 
 
-def _exp(scores: np.ndarray) -> np.ndarray:
-    return np.exp(scores, out=scores)
-
-
 def fit_vectors(pairs: np.ndarray, seed: int = 0) -> np.ndarray:
     """Normalised log-probabilities [before, class] from a small table of the counts of pairs."""
     rows, columns, random = _start(len(pairs), seed)
@@ -258,16 +371,28 @@ def fit_pairs(pairs: DataFrame, width: int, seed: int = 0) -> tuple[np.ndarray,
 
     Vectors are sent and kept as half floats, and the sums are those of the vectors so rounded.
     """
+    parts = 1 + pairs.count() // PART_PAIRS
+    return fit_packs(map_batches(pairs, _packed(parts), PACKS), width, seed)
+
+
+def fit_packs(packs: DataFrame, width: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same from packs of pairs; a pair may be in several, which must then be of one part.
+
+    Pairs are summed by part, dealt by the class of either side and sorted in numpy, a pack being one row for Spark.
+    """
     rows, columns, random = _start(width, seed)
-    context = pairs.sparkSession.sparkContext
-    before, after = F.expr(f"cast(pair div {width} as int)"), F.expr(f"cast(pair % {width} as int)")
-    together = lambda df, name: stored(df.repartition("own").sortWithinPartitions("own"), name)
-    sides = [together(pairs.select(before.alias("own"), after.alias("to"), "n"), "pairs-before")]
-    sides.append(together(sides[0].select(F.col("to").alias("own"), F.col("own").alias("to"), "n"), "pairs-after"))
+    context = packs.sparkSession.sparkContext
+    summed = stored(packs.groupBy("part").applyInArrow(_summed, PACKS), "pairs")
+    parts = 1 + (summed.agg(F.sum("size")).first()[0] or 0) // PART_PAIRS
+    kinds = "ids binary, totals binary, starts binary, to binary, n binary"
+    sides = [
+        stored(map_batches(summed, _dealt(width, parts, turned), PACKS).groupBy("part").applyInArrow(_gathered(width), kinds), name)
+        for turned, name in ((False, "pairs-before"), (True, "pairs-after"))
+    ]
     counts = [np.zeros(width) for _ in sides]
     for side, own in zip(sides, counts):
-        found = side.groupBy("own").agg(F.sum("n").alias("n")).toArrow()
-        own[found.column("own").to_numpy()] = found.column("n").to_numpy()
+        for ids, totals in zip(*side.select("ids", "totals").toArrow().to_pydict().values()):
+            own[np.frombuffer(ids, np.int32)] = np.frombuffer(totals, np.int64)
     if counts[0].sum():
         for _ in range(ROUNDS):
             for at, (own, other) in enumerate(((rows, columns), (columns, rows))):
@@ -285,7 +410,7 @@ def fit_pairs(pairs: DataFrame, width: int, seed: int = 0) -> tuple[np.ndarray,
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(log_sums(before[batch.column(0).to_numpy()], after))], names=["id", "log_sum"])
 
     out = np.empty(width)
-    found = map_batches(pairs.sparkSession.range(0, width, 1, -(-width // SUMMED)), sums, "id long, log_sum double").toArrow()
+    found = map_batches(packs.sparkSession.range(0, width, 1, -(-width // SUMMED)), sums, "id long, log_sum double").toArrow()
     out[found.column("id").to_numpy()] = found.column("log_sum").to_numpy()
     shared.destroy()
     return rows, columns, out
@@ -312,10 +437,12 @@ def _scored(head: dict[bytes, int], classes: dict[bytes, int], model: tuple[np.n
     def bilinear(row: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> float:
         """Logarithm to 10 of the probability of all classes after the first."""
         total = 0.0
-        for at in range(0, len(row) - 1, 50_000):
-            before, after = row[at : at + 50_000], row[at + 1 : at + 50_001]
+        for at in range(0, len(row) - 1, 2_000):  # so that the vectors stay in the cache
+            before, after = row[at : at + 2_000], row[at + 1 : at + 2_001]
             before = before[: len(after)]
-            total += np.einsum("ij,ij->i", rows[before], columns[after]).sum(dtype=np.float64) - sums[before].sum()
+            scores = rows.take(before, axis=0)
+            scores *= columns.take(after, axis=0)
+            total += scores.sum(axis=1).sum(dtype=np.float64) - sums.take(before).sum()
         return total / math.log(10)
 
     def scored(batch: pa.RecordBatch, places: dict[bytes, int], logs: np.ndarray, in_class: np.ndarray, *vectors: np.ndarray) -> pa.RecordBatch:
@@ -357,8 +484,8 @@ def score_texts(docs: DataFrame, training: Column) -> DataFrame:
     columns pass through and columns with the new names are replaced.
     """
     docs = docs.drop("n_tokens", "n_known", "train_tokens", "base_score", "score", "_text", "_tail", "_row")
-    lowered = F.translate(F.coalesce("text", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz").cast("binary")
-    learnt = docs.where(training).select(lowered.alias("text"))
+    whole = F.col("text").cast("binary")
+    learnt = docs.where(training).select(whole.alias("text"))
     counts = token_counts(learnt)
     head = _frequent(counts, HEAD)
     classes = {w: i for i, w in enumerate(list(head)[:WORDS])}
@@ -369,15 +496,14 @@ def score_texts(docs: DataFrame, training: Column) -> DataFrame:
     # Within the shared class: unknown tokens get the share of those seen once, known ones the rest by their counts.
     unknown = (once + 1) / (shared + once + 2)
     class_total = shared / (1 - unknown) if shared else 1.0
-    counted = map_batches(learnt, _pair_counts(classes), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
-    model = fit_pairs(counted, len(classes) + 1)
+    model = fit_packs(map_batches(learnt, _pair_counts(classes, 1 + n_train // PART_PAIRS), PACKS), len(classes) + 1)
     base_total = n_train + SMOOTHING * (types + 1)
     added = [StructField("n_tokens", LongType()), StructField("_head_known", LongType()), StructField("_head_base", DoubleType()), StructField("_head_score", DoubleType())]
     tail = StructField("_tail", ArrayType(StructType([StructField("token", BinaryType()), StructField("n", LongType())])))
     kept = docs.drop("text")
     schema = StructType([*kept.schema.fields, *added, tail])
     scored = map_batches(
-        docs.withColumn("_text", lowered).drop("text"), _scored(head, classes, model, (base_total, 0.0), class_total), schema
+        docs.withColumn("_text", whole).drop("text"), _scored(head, classes, model, (base_total, 0.0), class_total), schema
     )
     scored = stored(scored.withColumn("_row", F.monotonically_increasing_id()), "scored")
     rare = scored.select("_row", F.explode("_tail").alias("t")).select("_row", F.col("t.token").alias("token"), F.col("t.n").alias("times"))
