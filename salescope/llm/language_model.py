@@ -35,7 +35,7 @@ HELD_TOKENS = 250_000  # distinct tokens that a counting task holds at a time
 SCORED_ROWS = 500  # texts whose rare tokens a task holds
 HELD_PAIRS = 2_000_000  # that a task adds to its table at a time
 PART_PAIRS = 1_000_000  # or so, that are summed or sorted at a time
-PACKS = "part int, size long, keys binary, n binary"  # keys and n are int64, keys as differences
+PACKS = "part int, size long, keys binary, n binary"  # keys and n are int64, keys as differences, both compressed
 PACKED = pa.schema([("part", pa.int32()), ("size", pa.int64()), ("keys", pa.binary()), ("n", pa.binary())])
 FITTED_PAIRS = 150_000  # that a task fits at a time, or those of one class
 FITTED_TOGETHER, FITTED_PADDED = 2_000, 100_000  # vectors and pairs in one batch of matrices, or one vector
@@ -64,13 +64,15 @@ def _token_counts(parts: int):
             starts = np.frombuffer(words.buffers()[1], np.int32, len(words) + 1)
             data = memoryview(words.buffers()[2] or b"")
             rows = [(k, i, j) for k, (i, j) in enumerate(zip([0, *ends[:-1].tolist()], ends.tolist())) if i < j]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([k for k, _, _ in rows], pa.int32()), pa.array([np.diff(starts[i : j + 1]).tobytes() for _, i, j in rows], pa.binary()),
-                    pa.array([data[starts[i] : starts[j]].tobytes() for _, i, j in rows], pa.binary()), pa.array([n[i:j].tobytes() for _, i, j in rows], pa.binary()),
-                ],
-                names=["part", "sizes", "words", "n"],
-            )
+            for at in range(0, len(rows), 100):
+                some = rows[at : at + 100]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([k for k, _, _ in some], pa.int32()), pa.array([np.diff(starts[i : j + 1]).tobytes() for _, i, j in some], pa.binary()),
+                        pa.array([data[starts[i] : starts[j]].tobytes() for _, i, j in some], pa.binary()), pa.array([n[i:j].tobytes() for _, i, j in some], pa.binary()),
+                    ],
+                    names=["part", "sizes", "words", "n"],
+                )
 
         for batch in batches:
             for text in batch.column(0).to_pylist():
@@ -128,27 +130,41 @@ def _mixed(numbers: np.ndarray, parts: int) -> np.ndarray:
     return ((numbers.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)) % np.uint64(parts)
 
 
+def _small(numbers: np.ndarray) -> bytes:
+    """Compressed, so that rows of packs take little of the memory that Spark and Arrow hold for them."""
+    return pa.compress(numbers.tobytes(), "zstd", asbytes=True)
+
+
+def _whole(packed: bytes, size: int, kind: type = np.int64) -> np.ndarray:
+    return np.frombuffer(pa.decompress(packed, size * np.dtype(kind).itemsize, "zstd", asbytes=True), kind)
+
+
 def _packs(keys: np.ndarray, n: np.ndarray, part: np.ndarray) -> Iterator[pa.RecordBatch]:
     """(part, size, keys, n): what goes to one part is one row; ``keys`` are ascending and packed as their differences."""
     order = np.argsort(part.astype(np.uint16) if len(part) and part.max() < 1 << 16 else part, kind="stable")
     part, keys, n = part[order], keys[order], n[order].astype(np.int64)
     starts = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else np.empty(0, int)
     ends = np.append(starts[1:], len(part))
-    for at in range(0, len(starts), 1_000):
-        rows = list(zip(starts[at : at + 1_000].tolist(), ends[at : at + 1_000].tolist()))
+    for at in range(0, len(starts), 100):
+        rows = list(zip(starts[at : at + 100].tolist(), ends[at : at + 100].tolist()))
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array([int(part[i]) for i, _ in rows], pa.int32()), pa.array([k - i for i, k in rows], pa.int64()),
-                pa.array([np.diff(keys[i:k], prepend=0).tobytes() for i, k in rows], pa.binary()), pa.array([n[i:k].tobytes() for i, k in rows], pa.binary()),
+                pa.array([_small(np.diff(keys[i:k], prepend=0)) for i, k in rows], pa.binary()), pa.array([_small(n[i:k]) for i, k in rows], pa.binary()),
             ],
             names=PACKED.names,
         )
 
 
-def _unpacked(keys: pa.ChunkedArray, n: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+def _opened(packs: pa.Table | pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Keys and counts of each pack."""
+    for size, keys, n in zip(*(packs.column(name) for name in ("size", "keys", "n"))):
+        yield np.cumsum(_whole(keys.as_buffer(), size.as_py())), _whole(n.as_buffer(), size.as_py())
+
+
+def _unpacked(packs: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys in ascending order and their sums, of all packs."""
-    found = np.concatenate([np.cumsum(np.frombuffer(x.as_buffer(), np.int64)) for x in keys])
-    times = np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in n])
+    found, times = (np.concatenate(x) for x in zip(*_opened(packs)))
     order = np.argsort(found, kind="stable")
     found, times = found[order], times[order]
     starts = np.flatnonzero(np.diff(found, prepend=-1))
@@ -157,7 +173,7 @@ def _unpacked(keys: pa.ChunkedArray, n: pa.ChunkedArray) -> tuple[np.ndarray, np
 
 def _summed(packs: pa.Table) -> pa.Table:
     """One pack of the pairs of a part, each with its count over all tasks."""
-    pairs, n = _unpacked(packs.column("keys"), packs.column("n"))
+    pairs, n = _unpacked(packs)
     return pa.Table.from_batches(_packs(pairs, n, np.zeros(len(pairs), np.int64)), PACKED)
 
 
@@ -166,8 +182,7 @@ def _dealt(width: int, parts: int, turned: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for keys, n in zip(batch.column("keys"), batch.column("n")):
-                pairs, times = np.cumsum(np.frombuffer(keys.as_buffer(), np.int64)), np.frombuffer(n.as_buffer(), np.int64)
+            for pairs, times in _opened(batch):
                 if turned:
                     pairs = pairs % width * width + pairs // width
                     order = np.argsort(pairs)
@@ -181,7 +196,7 @@ def _gathered(width: int):
     """Of a part's packs: rows of some whole classes with their totals, and their pairs in order of the class."""
 
     def run(packs: pa.Table) -> pa.Table:
-        pairs, n = _unpacked(packs.column("keys"), packs.column("n"))
+        pairs, n = _unpacked(packs)
         own = pairs // width
         starts = np.flatnonzero(np.diff(own, prepend=-1))
         totals, ends = np.add.reduceat(n, starts), np.append(starts[1:], len(own))
@@ -190,9 +205,11 @@ def _gathered(width: int):
             last = max(first + 1, int(np.searchsorted(ends, starts[first] + FITTED_PAIRS, side="right")))
             at = slice(int(starts[first]), int(ends[last - 1]))
             ids = own[starts[first:last]].astype(np.int32)
-            rows.append((ids, totals[first:last], (starts[first:last] - starts[first]).astype(np.int32), (pairs[at] % width).astype(np.int32), n[at]))
+            begun = (starts[first:last] - starts[first]).astype(np.int32)
+            rows.append((at.stop - at.start, ids.tobytes(), totals[first:last].tobytes(), begun.tobytes(), _small((pairs[at] % width).astype(np.int32)), _small(n[at])))
             first = last
-        return pa.Table.from_arrays([pa.array([x.tobytes() for x in c], pa.binary()) for c in zip(*rows)], names=["ids", "totals", "starts", "to", "n"])
+        sizes, *others = zip(*rows)
+        return pa.Table.from_arrays([pa.array(sizes, pa.int64()), *(pa.array(c, pa.binary()) for c in others)], names=["size", "ids", "totals", "starts", "to", "n"])
 
     return run
 
@@ -312,7 +329,8 @@ def _fitted(shared: Broadcast, drawn: np.ndarray, biased: bool):
         other = shared.value.astype(np.float32)
         for batch in batches:
             for i in range(batch.num_rows):
-                starts, to, n = (np.frombuffer(batch.column(name)[i].as_buffer(), kind) for name, kind in (("starts", np.int32), ("to", np.int32), ("n", np.int64)))
+                size, starts = batch.column("size")[i].as_py(), np.frombuffer(batch.column("starts")[i].as_buffer(), np.int32)
+                to, n = (_whole(batch.column(name)[i].as_buffer(), size, kind) for name, kind in (("to", np.int32), ("n", np.int64)))
                 vectors = _improved(starts, to, n, other, drawn, biased)
                 yield pa.RecordBatch.from_arrays([batch.column("ids").slice(i, 1), pa.array([vectors.astype(np.float16).tobytes()], pa.binary())], names=["ids", "vectors"])
 
@@ -337,13 +355,12 @@ def _with_rate(columns: np.ndarray, counts: np.ndarray) -> np.ndarray:
 def log_sums(rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
     """Logarithms of the sums of all scores, for each of ``rows``."""
     out = np.empty(len(rows))
-    turned = np.ascontiguousarray(columns.T)
     for at in range(0, len(rows), 64):
         own = rows[at : at + 64]
         with np.errstate(over="ignore", divide="ignore"):
             total = np.zeros(len(own))
             for k in range(0, len(columns), 512):
-                scores = own @ turned[:, k : k + 512]
+                scores = own @ columns[k : k + 512].T
                 total += np.exp(scores, out=scores).sum(axis=1)
             out[at : at + 64] = np.log(total)
         for i in np.flatnonzero(~np.isfinite(total) | (total < 1e-20)):  # beyond what a float holds
@@ -384,7 +401,7 @@ def fit_packs(packs: DataFrame, width: int, seed: int = 0) -> tuple[np.ndarray,
     context = packs.sparkSession.sparkContext
     summed = stored(packs.groupBy("part").applyInArrow(_summed, PACKS), "pairs")
     parts = 1 + (summed.agg(F.sum("size")).first()[0] or 0) // PART_PAIRS
-    kinds = "ids binary, totals binary, starts binary, to binary, n binary"
+    kinds = "size long, ids binary, totals binary, starts binary, to binary, n binary"
     sides = [
         stored(map_batches(summed, _dealt(width, parts, turned), PACKS).groupBy("part").applyInArrow(_gathered(width), kinds), name)
         for turned, name in ((False, "pairs-before"), (True, "pairs-after"))
@@ -405,9 +422,10 @@ def fit_packs(packs: DataFrame, width: int, seed: int = 0) -> tuple[np.ndarray,
     shared = context.broadcast((rows, columns))
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before, after = (x.astype(np.float32) for x in shared.value)
+        before, after = shared.value[0], shared.value[1].astype(np.float32)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(log_sums(before[batch.column(0).to_numpy()], after))], names=["id", "log_sum"])
+            own = before[batch.column(0).to_numpy()].astype(np.float32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(log_sums(own, after))], names=["id", "log_sum"])
 
     out = np.empty(width)
     found = map_batches(packs.sparkSession.range(0, width, 1, -(-width // SUMMED)), sums, "id long, log_sum double").toArrow()
@@ -416,9 +434,8 @@ def fit_packs(packs: DataFrame, width: int, seed: int = 0) -> tuple[np.ndarray,
     return rows, columns, out
 
 
-def _scored(head: dict[bytes, int], classes: dict[bytes, int], model: tuple[np.ndarray, np.ndarray, np.ndarray], base: tuple[float, float], other: float):
-    """base: logarithm's denominator terms; other: tokens of training that share the last class."""
-    shared = len(classes)
+def _scored(head: dict[bytes, int], shared: int, model: tuple[np.ndarray, np.ndarray, np.ndarray], base: tuple[float, float], other: float):
+    """shared: the last class; base: logarithm's denominator terms; other: tokens of training that share the last class."""
     rows, columns, sums = model
     added = [("n_tokens", pa.int64()), ("_head_known", pa.int64()), ("_head_base", pa.float64()), ("_head_score", pa.float64())]
 
@@ -429,23 +446,22 @@ def _scored(head: dict[bytes, int], classes: dict[bytes, int], model: tuple[np.n
         in_class = np.append(np.log10(known / other), 0.0)
         in_class[:shared] = 0
         places = dict(zip(head, range(len(head))))
-        vectors = rows.astype(np.float32), columns.astype(np.float32)
         for batch in batches:
             for at in range(0, batch.num_rows, SCORED_ROWS):
-                yield scored(batch.slice(at, SCORED_ROWS), places, logs, in_class, *vectors)
+                yield scored(batch.slice(at, SCORED_ROWS), places, logs, in_class)
 
-    def bilinear(row: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> float:
+    def bilinear(row: np.ndarray) -> float:
         """Logarithm to 10 of the probability of all classes after the first."""
         total = 0.0
         for at in range(0, len(row) - 1, 2_000):  # so that the vectors stay in the cache
             before, after = row[at : at + 2_000], row[at + 1 : at + 2_001]
             before = before[: len(after)]
-            scores = rows.take(before, axis=0)
-            scores *= columns.take(after, axis=0)
+            scores = rows.take(before, axis=0).astype(np.float32)
+            scores *= columns.take(after, axis=0).astype(np.float32)
             total += scores.sum(axis=1).sum(dtype=np.float64) - sums.take(before).sum()
         return total / math.log(10)
 
-    def scored(batch: pa.RecordBatch, places: dict[bytes, int], logs: np.ndarray, in_class: np.ndarray, *vectors: np.ndarray) -> pa.RecordBatch:
+    def scored(batch: pa.RecordBatch, places: dict[bytes, int], logs: np.ndarray, in_class: np.ndarray) -> pa.RecordBatch:
         out: dict[str, list] = {n: [] for n, _ in added}
         tail_words: list[bytes] = []
         tail_counts: list[int] = []
@@ -462,7 +478,7 @@ def _scored(head: dict[bytes, int], classes: dict[bytes, int], model: tuple[np.n
             out["n_tokens"].append(len(words))
             out["_head_known"].append(len(words) - len(rare))
             out["_head_base"].append(float(logs[own].sum()))
-            out["_head_score"].append(float(in_class[own].sum()) + bilinear(np.minimum(row, shared), *vectors))
+            out["_head_score"].append(float(in_class[own].sum()) + bilinear(np.minimum(row, shared)))
             ends.append(len(tail_words))
         pairs = pa.StructArray.from_arrays([pa.array(tail_words, pa.binary()), pa.array(tail_counts, pa.int64())], names=["token", "n"])
         names = [n for n in batch.schema.names if n != "_text"]
@@ -503,7 +519,7 @@ def score_texts(docs: DataFrame, training: Column) -> DataFrame:
     kept = docs.drop("text")
     schema = StructType([*kept.schema.fields, *added, tail])
     scored = map_batches(
-        docs.withColumn("_text", whole).drop("text"), _scored(head, classes, model, (base_total, 0.0), class_total), schema
+        docs.withColumn("_text", whole).drop("text"), _scored(head, len(classes), model, (base_total, 0.0), class_total), schema
     )
     scored = stored(scored.withColumn("_row", F.monotonically_increasing_id()), "scored")
     rare = scored.select("_row", F.explode("_tail").alias("t")).select("_row", F.col("t.token").alias("token"), F.col("t.n").alias("times"))

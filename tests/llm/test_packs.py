@@ -38,7 +38,7 @@ def test_packs_give_back_keys_and_sums():
         assert sum(own.column("size").to_pylist()) >= 1
         summed = lm._summed(own)
         assert summed.num_rows == 1
-        found |= dict(zip(*(x.tolist() for x in lm._unpacked(summed.column("keys"), summed.column("n")))))
+        found |= dict(zip(*(x.tolist() for x in lm._unpacked(summed))))
     assert found == want
     assert list(lm._packs(*[np.empty(0, np.int64)] * 3)) == []
 
@@ -52,8 +52,8 @@ def test_pairs_are_dealt_by_whole_classes(turned, monkeypatch):
     got, owners = {}, []
     for part in set(dealt.column("part").to_pylist()):
         for row in lm._gathered(width)(dealt.filter(pa.compute.equal(dealt.column("part"), part))).to_pylist():
-            ids, starts, to = (np.frombuffer(row[k], np.int32) for k in ("ids", "starts", "to"))
-            totals, times = (np.frombuffer(row[k], np.int64) for k in ("totals", "n"))
+            ids, starts, totals = np.frombuffer(row["ids"], np.int32), np.frombuffer(row["starts"], np.int32), np.frombuffer(row["totals"], np.int64)
+            to, times = lm._whole(row["to"], row["size"], np.int32), lm._whole(row["n"], row["size"])
             assert len(ids) == 1 or len(to) <= 5
             owners += ids.tolist()
             for i, own in enumerate(np.repeat(ids, np.diff(starts, append=len(to))).tolist()):
